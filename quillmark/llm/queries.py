@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, language, simhash, tokens
+from quillmark.llm import chat, language, mixture, quality, simhash, tokens
 from quillmark.llm.common import read, remainder
 
 
@@ -49,3 +49,44 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = language.fit(docs.where(~held_out))
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixture.plan(read(spark, sf_dir, "documents"))
+    first = planned.withColumn("position", F.try_element_at("copies", F.lit(1))["position"])
+    return mixture.by_position(first).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_MIXTURE = r"""
+WITH own AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+    coalesce(md5(CAST(doc_id AS VARCHAR)), 'g') AS place
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::HUGEINT AS source_size, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM own GROUP BY source
+), ordered AS (
+  SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight::DOUBLE, source ASC NULLS LAST) AS n FROM sources
+), sums AS (
+  SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_left,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS others
+  FROM ordered
+), capped AS (
+  SELECT *, max(CASE WHEN 3 * source_size * others > weight * words_left THEN 1 ELSE 0 END) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) = 0 AS is_capped FROM sums
+), rate AS (
+  SELECT max(words_left)::DOUBLE / max(others)::DOUBLE AS rate FROM capped WHERE NOT is_capped
+), goals AS (
+  SELECT source, source_size, CASE WHEN is_capped THEN (3 * source_size)::DOUBLE ELSE weight * rate END AS target FROM capped LEFT JOIN rate ON true
+), placed AS (
+  SELECT doc_id, size, source_size, target, round(target)::HUGEINT AS goal,
+    coalesce(sum(size) OVER (PARTITION BY own.source ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM own JOIN goals ON own.source IS NOT DISTINCT FROM goals.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+  (CASE WHEN source_size > 0 THEN (goal // source_size) * size + greatest(0, least(size, goal % source_size - start)) ELSE 0 END)::BIGINT AS taken
+FROM placed
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
