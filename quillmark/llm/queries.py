@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, language, mixture, quality, simhash, tokens
+from quillmark.llm import chat, decontaminate, language, mixture, pii, quality, simhash, tokens
 from quillmark.llm.common import read, remainder
 
 
@@ -90,3 +90,16 @@ FROM placed
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+#: The key of the surrogates here and in the pipeline. A secret one belongs in its place where originals must stay unknown.
+PII_KEY = b"surrogates of the corpus"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_replaced"), "entities")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
