@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -72,3 +73,13 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import _parse_datatype_string
 
     return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder, which all executors share: smaller than a checkpoint of as many rows."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, decontaminate, language, mixture, pii, quality, simhash, tokens
+from quillmark.llm import chat, decontaminate, language, mixture, pii, quality, scoring, simhash, tokens
 from quillmark.llm.common import read, remainder
 
 
@@ -103,3 +103,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = scoring.score(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(True)))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
