@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, decontaminate, language, mixture, pii, quality, scoring, simhash, tokens
+from quillmark.llm import chat, decontaminate, language, mixture, pii, quality, scoring, simhash, substrings, tokens
 from quillmark.llm.common import read, remainder
 
 
@@ -110,3 +110,7 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scoring.score(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(True)))
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(read(spark, sf_dir, "documents"), width=35, digest=True)
