@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +71,13 @@ def record_batches(out: dict, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
 
+def numbered(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """The words of several texts as numbers in the order in which they first come, and the words that have those numbers."""
+    number: defaultdict = defaultdict()
+    number.default_factory = number.__len__
+    return np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64), list(number)
+
+
 def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

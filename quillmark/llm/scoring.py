@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import context_tree as tree
-from quillmark.llm.common import arrow_schema, shuffle_partitions, written
+from quillmark.llm.common import arrow_schema, numbered, shuffle_partitions, written
 
 #: Byte grams, and frequent words, that are sent to the tasks whole: bounds of what is broadcast. More grams are joined instead,
 #: and so are all other words.
@@ -126,23 +126,24 @@ def frequent(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
 ROWS = "doc_id long, n_tokens long, known long, logs double, score double, rare array<long>, grams array<long>"
 
 
-def scored(docs: DataFrame, words: tuple[np.ndarray, np.ndarray], lookup: tree.Lookup | None) -> DataFrame:
+def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup: tree.Lookup | None) -> DataFrame:
     """A row for each document: sums over its frequent words and its byte grams, and what has still to be joined."""
     sc = docs.sparkSession.sparkContext
-    shared, arrow = sc.broadcast((words, lookup)), arrow_schema(docs.sparkSession, ROWS)
+    shared, arrow = sc.broadcast((known_words, lookup)), arrow_schema(docs.sparkSession, ROWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (keys, n), find = shared.value
         logs = np.log10(n + 0.5)
         for b in batches:
-            number: dict[bytes, int] = {}
-            out, docs_words = [], []
+            out, docs_tokens = [], []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 own = tokens(text)
-                docs_words.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own)))
+                docs_tokens.append(own)
                 g = tree.byte_grams(b" ".join(own[:-1]))
                 out.append((float(find(g).sum(dtype=np.float64)), None) if find else (0.0, g.astype(np.int64)))
-            every = np.fromiter(map(word_key, number), np.int64, len(number))
+            ids, words = numbered(docs_tokens)
+            docs_words = np.split(ids, np.cumsum([len(own) for own in docs_tokens])[:-1])
+            every = np.fromiter(map(word_key, words), np.int64, len(words))
             at = np.searchsorted(keys, every)
             there = np.zeros(len(every), bool)
             inside = at < len(keys)

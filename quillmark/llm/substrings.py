@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import arrow_schema, shuffle_partitions, written
+from quillmark.llm.common import arrow_schema, numbered, shuffle_partitions, written
 from quillmark.llm.recompress import Sums, anchors, mix
 
 #: Words named together; bounds a task's memory but for one text that is longer by itself.
@@ -22,9 +22,8 @@ WINDOWS = "hash long, doc long, first int, place int, alone boolean"
 
 def word_tokens(texts: list[list[bytes]]) -> np.ndarray:
     """64-bit tokens of the words of several texts."""
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for words in texts for w in words), np.int64)
-    every = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in number), np.uint64, len(number))
+    ids, words = numbered(texts)
+    every = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in words), np.uint64, len(words))
     return every[ids] if len(ids) else np.zeros(0, np.uint64)
 
 
