@@ -19,9 +19,14 @@ GAP = r"[\x20\x09-\x0D]+"
 TEXT_ROWS = 1000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the folder, with Arrow batches small enough for whole texts."""
+def bound_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of the session are small enough for whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder, with Arrow batches bounded."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

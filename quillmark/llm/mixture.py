@@ -58,7 +58,7 @@ def position(pieces: Column, share: Column) -> Column:
     return F.least(F.lit(1.0), at["t"] + F.when(at["w"] + root > 0, 2 * rest / (at["w"] + root)).otherwise(F.lit(0.0)))
 
 
-def plan(docs: DataFrame, knots: Column | None = None) -> DataFrame:
+def plan(docs: DataFrame, knots: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs(doc_id, text, source): size, source_size, target, taken, copies.
 
     size counts words, none for null. Documents of a source stand in the order of their ids' MD5; the source gives all of
@@ -66,9 +66,10 @@ def plan(docs: DataFrame, knots: Column | None = None) -> DataFrame:
     document there may be cut. copies has for each time a document is taken its position from 0 to 1 and its words.
     knots: a schedule array(struct(t, w)) over `weight`; a constant one if None. Only its shape counts, for the targets
     come from the weights. No source takes more than MOST_COPIES times what it has, so no document does. Ties and repeated
-    rows stand side by side and each count; a null source is a source, a null doc_id comes last. Other columns are ignored.
+    rows stand side by side and each count; a null source is a source, a null doc_id comes last. Other columns are ignored,
+    but for those to carry.
     """
-    own = docs.select("doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"))
+    own = docs.select("doc_id", "source", *carry, F.size(word_array(F.col("text"))).cast("long").alias("size"))
     own = own.withColumn("_order", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("g"))).withColumn("_part", F.substring("_order", 1, PART_DIGITS))
     own = checkpointed(own)
     parts = own.groupBy("source", "_part").agg(F.sum("size").alias("_words"))
@@ -91,10 +92,24 @@ def plan(docs: DataFrame, knots: Column | None = None) -> DataFrame:
         lambda k: F.struct(position(F.col("_pieces"), (k * F.col("source_size") + F.col("_start")) / F.greatest(F.col("_goal"), F.lit(1))).alias("position"), F.when(k < F.col("_full"), F.col("size")).otherwise(F.col("_cut")).alias("words")),
     )
     taken = F.col("_full") * F.col("size") + F.col("_cut")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.filter(copies, lambda c: c["words"] > 0).alias("copies"))
+    return placed.select("doc_id", "source", *carry, "size", "source_size", "target", taken.alias("taken"), F.filter(copies, lambda c: c["words"] > 0).alias("copies"))
 
 
 def by_position(rows: DataFrame, column: str = "position") -> DataFrame:
     """The rows sorted over all partitions by training position, then doc_id."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, column, "doc_id").sortWithinPartitions(column, "doc_id")
+
+
+def training_order(docs: DataFrame, knots: Column | None = None) -> DataFrame:
+    """A row for each time the mix takes a document, by training position: doc_id, text, lang, source, position, words.
+
+    A copy that is cut has the first of its words, joined by one space. Rows that repeat are taken each.
+    """
+    docs = docs.withColumn("_text", F.xxhash64("text"))
+    planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "size", F.explode("copies").alias("copy"))
+    texts = docs.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text", "lang", "source", "_text")
+    rows = texts.join(planned, texts.doc_id.eqNullSafe(planned._doc) & (texts._text == planned._hash))
+    words = F.col("copy")["words"]
+    text = F.when(words < F.col("size"), F.array_join(F.slice(word_array(F.col("text")), 1, words.cast("int")), " ")).otherwise(F.col("text"))
+    return by_position(rows.select("doc_id", text.alias("text"), "lang", "source", F.col("copy")["position"].alias("position"), words.alias("words")))

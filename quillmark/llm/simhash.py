@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -91,7 +92,7 @@ def links(distinct: DataFrame, *, bits: int, blocks: int, same: int, distance: i
     part = lambda k: F.substring("fingerprint", k * digits + 1, digits)
     keys = [F.concat(F.lit(f"{n}:"), *(part(k) for k in chosen)) for n, chosen in enumerate(combinations(range(blocks), same))]
     rows = distinct.select(F.explode(F.array(*keys)).alias("block"), F.unhex("fingerprint").alias("fp"))
-    rows = rows.repartition(shuffle_partitions(distinct.sparkSession), "block").sortWithinPartitions("block", "fp")
+    rows = rows.repartition(shuffle_partitions(distinct.sparkSession), "block").sortWithinPartitions("block")
     arrow = arrow_schema(distinct.sparkSession, "a string, b string")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,6 +211,11 @@ def scans(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def distance_of(similarity: float, bits: int) -> int:
+    """Bits that differ on average where this share of all shingles of two equally long texts is common (Jaccard)."""
+    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but the smallest doc_id of each component. Rows without a doc_id stay."""
     found = near_duplicates(docs, **how)

@@ -15,7 +15,7 @@ from quillmark.llm.common import arrow_schema, numbered, shuffle_partitions, wri
 from quillmark.llm.recompress import Sums, anchors, mix
 
 #: Words named together; bounds a task's memory but for one text that is longer by itself.
-WORDS_HELD = 400_000
+WORDS_HELD = 50_000
 OCCURRENCES = "anchor long, span long, doc long, first int, n int"
 WINDOWS = "hash long, doc long, first int, place int, alone boolean"
 
