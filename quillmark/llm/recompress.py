@@ -11,6 +11,8 @@ windows have equal cores at equal places: they share the token chosen from it, t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U = np.uint64
@@ -24,6 +26,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Bytes hashed together; a longer text is cut between words.
+BYTES_HELD = 1 << 18
+#: A number for each byte, so that words are sums of well-mixed terms.
+OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * RUN)
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit tokens of the words of UTF-8 texts, one text after the other, and how many each text has."""
+    tokens, counts = [np.zeros(0, U)], []
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        if len(text) > BYTES_HELD:
+            held, size = _flushed(held, tokens, counts)
+            parts = [_hashed(part)[0] for part in _pieces(text)]
+            tokens += parts
+            counts.append(np.array([sum(map(len, parts))]))
+            continue
+        held.append(text)
+        size += len(text)
+        if size > BYTES_HELD:
+            held, size = _flushed(held, tokens, counts)
+    _flushed(held, tokens, counts)
+    return np.concatenate(tokens), np.concatenate(counts) if counts else np.zeros(0, np.int64)
+
+
+def _flushed(held: list[bytes], tokens: list, counts: list) -> tuple[list, int]:
+    if held:
+        own, starts = _hashed(b"\n".join(held))
+        tokens.append(own)
+        counts.append(np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held])), prepend=0))
+    return [], 0
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that end between words."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + BYTES_HELD)
+        while end < len(text) and not BLANK[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the words of a text, and the bytes where they start."""
+    b = np.frombuffer(text, np.uint8)
+    blank = np.ones(len(b) + 2, bool)
+    blank[1:-1] = BLANK[b]
+    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    if not len(starts):
+        return np.zeros(0, U), starts
+    return Sums(OF_BYTE[b])(starts, ends) ^ U(1), starts
+
+
 class Sums:
     """Hashes of any span of a sequence of tokens."""
 

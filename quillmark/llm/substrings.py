@@ -4,34 +4,27 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import arrow_schema, numbered, shuffle_partitions, written
-from quillmark.llm.recompress import Sums, anchors, mix
+from quillmark.llm.common import arrow_schema, shuffle_partitions, written
+from quillmark.llm.recompress import Sums, anchors, mix, word_tokens
 
-#: Words named together; bounds a task's memory but for one text that is longer by itself.
-WORDS_HELD = 50_000
-OCCURRENCES = "anchor long, span long, doc long, first int, n int"
+#: Bytes of texts named together, and anchors held in a task until equal ones become one row.
+BYTES_HELD, ANCHORS_HELD = 320_000, 1_000_000
+OCCURRENCES = "route long, span long, doc long, first int, n int, times int"
 WINDOWS = "hash long, doc long, first int, place int, alone boolean"
 
 
-def word_tokens(texts: list[list[bytes]]) -> np.ndarray:
-    """64-bit tokens of the words of several texts."""
-    ids, words = numbered(texts)
-    every = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in words), np.uint64, len(words))
-    return every[ids] if len(ids) else np.zeros(0, np.uint64)
-
-
-def occurrences(texts: list[list[bytes]], width: int) -> tuple[np.ndarray, ...]:
+def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Anchors of the texts' windows: name, hash of all words of the windows that share it, text, first window, their number."""
-    sizes = np.array([len(t) for t in texts])
-    offsets = np.r_[0, np.cumsum(sizes)]
-    tokens, part = word_tokens(texts), np.repeat(np.arange(len(texts)), sizes)
+    tokens, sizes = word_tokens(texts)
+    offsets, part = np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(len(texts)), sizes)
     starts = np.flatnonzero(np.arange(len(tokens)) + width <= offsets[1:][part]) if len(tokens) else np.zeros(0, np.int64)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 5
@@ -41,56 +34,74 @@ def occurrences(texts: list[list[bytes]], width: int) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
     span = Sums(tokens)(first, first + n - 1 + width)
-    span = mix(span ^ mix((at[begin] - first).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)))
+    span = mix(span ^ mix((at[begin] - first).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)) ^ mix(name[begin]))
     return name[begin].astype(np.int64), span.astype(np.int64), part[first], first - offsets[part[first]], n
 
 
 def found_anchors(docs: DataFrame, width: int) -> DataFrame:
+    """A row for each anchor and span of a task, times it came, and one for each further place of it. The first go to their
+    anchor's name; the others, which are repeats whatever comes, go anywhere: route is a hash of their place."""
     arrow = arrow_schema(docs.sparkSession, OCCURRENCES)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[list[bytes]] = []
-        keys: list[int] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def batch():
-            anchor, span, text, first, n = occurrences(texts, width)
-            columns = [anchor, span, np.array(keys, np.int64)[text], first.astype(np.int32), n.astype(np.int32)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+        def rows():
+            anchor, span, doc, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, example, of, times = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
+            route, count = mix(doc.astype(np.uint64) + first.astype(np.uint64)).astype(np.int64), np.zeros(len(span), np.int32)
+            route[example], count[example] = anchor[example], times
+            columns = (route, span, doc, first.astype(np.int32), n.astype(np.int32), count)
+            for at in range(0, len(span), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
-        held = 0
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                words = (text or b"").split()
-                if len(words) < width:
-                    continue
-                texts.append(words)
-                keys.append(key)
-                held += len(words)
-                if held > WORDS_HELD:
-                    yield batch()
-                    texts, keys, held = [], [], 0
-        if texts:
-            yield batch()
+            keys, texts, size, first_key = b.column(0).to_numpy(), [], 0, 0
+            every = b.column(1).cast(pa.binary()).to_pylist()
+            for i, text in enumerate(every):
+                texts.append(text)
+                size += len(text)
+                if size > BYTES_HELD or i == len(every) - 1:
+                    anchor, span, part, first, n = occurrences(texts, width)
+                    held.append((anchor, span, keys[part + first_key], first, n))
+                    texts, size, first_key = [], 0, i + 1
+            if sum(len(h[0]) for h in held) > ANCHORS_HELD:
+                yield from rows()
+                held.clear()
+        if held:
+            yield from rows()
 
     return docs.select("_doc", "text").mapInArrow(run, OCCURRENCES)
 
 
+def listed(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Of an array of structs: the row that each element is in, and its fields."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, of = column.flatten(), pc.list_parent_indices(column).to_numpy()
+    return of, *(flat.field(flat.type.get_field_index(f)).to_numpy(zero_copy_only=False) for f in fields)
+
+
+def every(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, first + 1, ... n times for each, and which it is of."""
+    of = np.repeat(np.arange(len(first)), n)
+    return first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n), of
+
+
 def open_windows(joined: DataFrame, width: int) -> DataFrame:
     """A hash for each window of the anchors that are still open (kind > 0), of rows (_doc, text, ranges)."""
     arrow = arrow_schema(joined.sparkSession, WINDOWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for key, text, ranges in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ranges = [r for r in ranges if r["kind"]]
-                sums = Sums(word_tokens([(text or b"").split()]))
-                for r in ranges:
-                    at = np.arange(r["first"], r["first"] + r["n"])
-                    for column, values in zip(out, (sums(at, at + width).astype(np.int64), np.full(r["n"], key, np.int64), np.full(r["n"], r["first"], np.int32), at - r["first"], np.full(r["n"], r["kind"] == 1)), strict=True):
-                        column.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, arrow.types, strict=True)], schema=arrow)
+            of, first, n, kind = listed(b.column(2), "first", "n", "kind")
+            opened = kind > 0
+            of, first, n, kind = of[opened], first[opened].astype(np.int64), n[opened].astype(np.int64), kind[opened]
+            if not len(of):
+                continue
+            tokens, sizes = word_tokens(b.column(1).cast(pa.binary()).to_pylist())
+            start, r = every((np.cumsum(sizes) - sizes)[of] + first, n)
+            columns = (Sums(tokens)(start, start + width).astype(np.int64), b.column(0).to_numpy()[of[r]], first[r].astype(np.int32), (start - (np.cumsum(sizes) - sizes)[of[r]] - first[r]).astype(np.int32), kind[r] == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return joined.mapInArrow(run, WINDOWS)
 
@@ -99,20 +110,22 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def keep(words: list[bytes], ranges: list[dict] | None, singles: list[dict] | None, width: int) -> list[bytes]:
-    """The words outside all removed windows."""
-    edge = np.zeros(len(words) + 1, np.int64)
-    for r in ranges or ():
-        if r["kind"] != 1:
-            edge[r["first"]] += 1
-            edge[r["first"] + r["n"] - 1 + width] -= 1
-    for s in singles or ():
-        for k in range(s["mask"].bit_length()):
-            if s["mask"] >> k & 1:
-                edge[s["first"] + k] += 1
-                edge[s["first"] + k + width] -= 1
-    covered = np.cumsum(edge[:-1]) > 0
-    return [w for w, gone in zip(words, covered.tolist(), strict=True) if not gone] if covered.any() else words
+def removed(batch: pa.RecordBatch, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Which of a batch's words are covered by a removed window; columns 2 and 3 are ranges and singles."""
+    offsets = np.cumsum(sizes) - sizes
+    edge = np.zeros(int(sizes.sum()) + 1, np.int64)
+    of, first, n, kind = listed(batch.column(2), "first", "n", "kind")
+    gone = kind != 1
+    start = offsets[of[gone]] + first[gone]
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + n[gone] - 1 + width, -1)
+    of, first, mask = listed(batch.column(3), "first", "mask")
+    for k in range(width if len(mask) else 0):
+        own = mask >> k & 1 == 1
+        start = offsets[of[own]] + first[own] + k
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + width, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def without_repeats(docs: DataFrame, *, width: int = 35, digest: bool = False) -> DataFrame:
@@ -131,11 +144,12 @@ def without_repeats(docs: DataFrame, *, width: int = 35, digest: bool = False) -
     parts = shuffle_partitions(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    seen = found_anchors(docs, width).repartition(parts, "anchor")
-    same_anchor, same_span = Window.partitionBy("anchor"), Window.partitionBy("anchor", "span")
-    seen = seen.withColumn("_span", F.count("*").over(same_span)).withColumn("_nth", F.row_number().over(same_span.orderBy("doc", "first")))
-    seen = seen.withColumn("_all", F.count("*").over(same_anchor))
-    settled, example = F.col("_span") > 1, (F.col("_all") > F.col("_span")) & (F.col("_nth") == 1)
+    seen = found_anchors(docs, width).repartition(parts, "route")
+    same_anchor, same_span = Window.partitionBy("route"), Window.partitionBy("route", "span")
+    seen = seen.withColumn("_span", F.sum("times").over(same_span)).withColumn("_nth", F.row_number().over(same_span.orderBy("doc", "first")))
+    seen = seen.withColumn("_all", F.sum("times").over(same_anchor))
+    again = F.col("times") == 0
+    settled, example = again | (F.col("_span") > 1), ~again & (F.col("_all") > F.col("_span")) & (F.col("_nth") == 1)
     kind = F.when(settled & example, 2).when(settled, 0).when(example, 1)  # 1: open, 2: gone, and an example for the open ones
     ranges = seen.select("doc", F.struct("first", "n", kind.cast("int").alias("kind")).alias("range")).where("range.kind is not null")
     ranges = written(ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("range").alias("ranges")))
@@ -149,13 +163,17 @@ def without_repeats(docs: DataFrame, *, width: int = 35, digest: bool = False) -
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for doc_id, text, own, single in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                words = text.split()
-                kept = keep(words, own, single, width) if own else words
+            texts = [text.split() for text in b.column(1).cast(pa.binary()).to_pylist()]
+            sizes = np.array([len(words) for words in texts], np.int64)
+            gone = removed(b, sizes, width)
+            n_gone = np.diff(np.r_[0, np.cumsum(gone)][np.r_[0, np.cumsum(sizes)]])
+            out, at = [], 0
+            for words, n in zip(texts, n_gone, strict=True):
+                kept = words if not n else [] if n == len(words) else list(compress(words, (~gone[at : at + len(words)]).tolist()))
+                at += len(words)
                 joined = b" ".join(kept)
-                rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest() if digest else joined))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+                out.append(hashlib.sha256(joined).hexdigest() if digest else joined)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.array(n_gone), pa.array(out, pa.string())], schema=arrow)
 
     return whole.mapInArrow(run, schema)
 
