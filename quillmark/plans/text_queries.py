@@ -189,7 +189,7 @@ def json_payload_extract(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.max(value).alias("latest"), F.count("*").alias("n"))
 
 
-@query("""SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR) || chr(0) || o_orderstatus || chr(0) || 'paper' || chr(0)) AS id, CAST(ceil(CAST(o_totalprice AS DECIMAL(18, 2)) / 1000 * 1000000) AS BIGINT) AS micros FROM orders""")
+@query("""SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR) || chr(0) || o_orderstatus || chr(0) || 'paper' || chr(0)) AS id, CAST(round(o_totalprice * 100) AS BIGINT) * 10 AS micros FROM orders""")
 def framed_ids(spark: SparkSession, folder: str) -> DataFrame:
     usd = F.format_string("%.5f", F.col("o_totalprice") / 1000)
     return table(spark, folder, "orders").select("o_orderkey", framed_sha256(F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.lit("paper")).alias("id"), texts.micros(usd).alias("micros"))
@@ -203,9 +203,9 @@ def canonical_json_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, list_sort(list_intersect(string_split(p_type, ' '), ['PROMO', 'STEEL', 'BRUSHED', 'TIN', 'SMALL'])) AS both, len(list_intersect(string_split(p_type, ' '), ['PROMO', 'STEEL', 'BRUSHED', 'TIN', 'SMALL'])) = 0 AS gap FROM part
+SELECT p_partkey, list_sort(list_intersect(string_split(p_type, ' '), ['PROMO', 'STEEL', 'BRUSHED', 'TIN', 'SMALL'])) AS shared, len(list_intersect(string_split(p_type, ' '), ['PROMO', 'STEEL', 'BRUSHED', 'TIN', 'SMALL'])) = 0 AS gap FROM part
 """)
 def source_intersection(spark: SparkSession, folder: str) -> DataFrame:
     """Sources of both a profile and a domain; where there are none, a gap."""
     both = F.array_sort(F.array_intersect(F.split("p_type", " "), F.array(*map(F.lit, ["PROMO", "STEEL", "BRUSHED", "TIN", "SMALL"]))))
-    return table(spark, folder, "part").select("p_partkey", both.alias("both"), (F.size(both) == 0).alias("gap"))
+    return table(spark, folder, "part").select("p_partkey", both.alias("shared"), (F.size(both) == 0).alias("gap"))
