@@ -72,9 +72,12 @@ def sample(labelled: DataFrame, per_language: int) -> list[tuple[str, np.ndarray
                 rows.append((lang, doc_id, h.astype(np.int32), n.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["lang", "doc_id", "h", "n"])
 
-    found = chosen.select("lang", "doc_id", "text").mapInPandas(run, "lang string, doc_id long, h array<int>, n array<int>").collect()
-    found.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, len(r["h"]), r["h"][:8]))
-    return [(r["lang"], np.array(r["h"], np.int64), np.array(r["n"], np.float64)) for r in found if r["h"]]
+    found = chosen.select("lang", "doc_id", "text").mapInPandas(run, "lang string, doc_id long, h array<int>, n array<int>").toArrow()
+    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    parts = {c: (found[c].combine_chunks().values.to_numpy(), found[c].combine_chunks().offsets.to_numpy()) for c in ("h", "n")}
+    cut = lambda c, i: parts[c][0][parts[c][1][i] : parts[c][1][i + 1]]
+    rows = [(lang, cut("h", i), cut("n", i)) for i, lang in enumerate(found["lang"].to_pylist())]
+    return [r for r in rows if len(r[1])]
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, rate: float = 0.5, seed: int = 7, most_rejected: float = 0.001) -> Model:
@@ -96,7 +99,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     steps, done = max(1, epochs * len(taken)), 0
     for _ in range(epochs):
         for i in rng.permutation(taken):
-            _, h, n = rows[i]
+            h, n = rows[i][1], rows[i][2].astype(np.float64)
             if done % 2:
                 h = rng.choice(h, min(40, len(h)), p=n / n.sum())
                 n = np.ones(len(h))
