@@ -140,3 +140,17 @@ def unit_name(unit: Column) -> Column:
 def quoted_at(text: Column, start: Column, quote: Column) -> Column:
     """Whether the quote stands at this offset, counted in code points from 0."""
     return F.substring(text, start + 1, F.char_length(quote)) == quote
+
+
+#: A number and a unit behind it.
+MEASURED = (
+    r"([+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)\s*(%|(?i:(?:mhz|khz|hz|ms|mm|cm|km|kg|m|s|g)(?:/[A-Za-z0-9µμ°]+)?|"
+    + "|".join(sorted((w for ws in UNITS.values() for w in ws), key=len, reverse=True))
+    + r"|人|段|篇|次))(?![A-Za-z0-9µμ°])"
+)
+
+
+def measured(text: Column) -> Column:
+    """All numbers with a unit: struct(number, unit), units by one name each."""
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(MEASURED), F.lit(1)).alias("number"), F.regexp_extract_all(text, F.lit(MEASURED), F.lit(2)).alias("unit"))
+    return F.transform(found, lambda m: F.struct(m["number"].alias("number"), unit_name(m["unit"]).alias("unit")))

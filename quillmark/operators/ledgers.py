@@ -6,15 +6,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a delivery is, by the state of its outbox and its digest.
+#: What a delivery is, by the state of its outbox and its digest, and what an item is, by outbox and ledger.
 DELIVERY_STATUS = {
-    ("pending", "queued"): "queued",
+    ("pending", "queued"): "pending",
     ("sending", "queued"): "sending",
-    ("accepted", "delivered"): "accepted",
+    ("provider_accepted", "sent"): "sent",
+    ("failed", "queued"): "failed",
     ("unknown", "unknown"): "unknown",
-    ("failed", "failed"): "failed",
     ("cancelled", "cancelled"): "cancelled",
 }
+ITEM_STATUS = {
+    ("pending", "reserved"): "pending",
+    ("sending", "reserved"): "sending",
+    ("provider_accepted", "accepted"): "sent",
+    ("failed", "reserved"): "failed",
+    ("unknown", "unknown"): "unknown",
+    ("cancelled", "cancelled"): "cancelled",
+}
+#: By what a sender reports, the states of attempt, outbox, digest and ledger; anything else makes all unknown.
+SENT_STATES = {
+    "provider_accepted": ("provider_accepted", "provider_accepted", "sent", "accepted"),
+    "retryable": ("failed", "pending", "queued", "reserved"),
+    "rejected": ("failed", "failed", "queued", "reserved"),
+}
 
 
 def budget_used(reservations: DataFrame) -> DataFrame:
@@ -48,11 +62,21 @@ def with_attempts(parents: DataFrame, attempts: DataFrame, key: str) -> DataFram
     return parents.join(own, key, "left").withColumn("n_attempts", F.coalesce("n_attempts", F.lit(0).cast("long")))
 
 
-def delivery_status(outbox: Column, digest: Column) -> Column:
-    """By the closed table of pairs; `corrupt` for any other."""
+def paired(table: dict[tuple[str, str], str], first: Column, second: Column) -> Column:
+    """By a closed table of pairs; `corrupt` for any other."""
     out = F.lit("corrupt")
-    for (o, d), status in DELIVERY_STATUS.items():
-        out = F.when((outbox == o) & (digest == d), status).otherwise(out)
+    for (a, b), status in table.items():
+        out = F.when((first == a) & (second == b), status).otherwise(out)
+    return out
+
+
+def sent_states(result: Column) -> Column:
+    """struct(attempt, outbox, digest, ledger) after a dispatch."""
+    names = ("attempt", "outbox", "digest", "ledger")
+    state = lambda values: F.struct(*(F.lit(v).alias(n) for n, v in zip(names, values, strict=True)))
+    out = state(("unknown",) * 4)
+    for name, values in SENT_STATES.items():
+        out = F.when(result == name, state(values)).otherwise(out)
     return out
 
 

@@ -1,4 +1,4 @@
 """All queries of the library by name, with the SQL that gives the same rows."""
 
-from quillmark.plans import digest_queries, graph_queries, ledger_queries, text_queries, version_queries  # noqa: F401
+from quillmark.plans import digest_queries, graph_queries, ledger_queries, text_queries, version_queries, workflow_queries  # noqa: F401
 from quillmark.plans.registry import ORACLES, QUERIES  # noqa: F401

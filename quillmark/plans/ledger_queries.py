@@ -47,32 +47,41 @@ def budget_admission(spark: SparkSession, folder: str) -> DataFrame:
     return ledgers.admitted(requests, 900_000)
 
 
-PAIRS = """CASE o_orderkey % 8 WHEN 0 THEN 'pending' WHEN 1 THEN 'sending' WHEN 2 THEN 'accepted' WHEN 3 THEN 'unknown' WHEN 4 THEN 'failed' WHEN 5 THEN 'cancelled' ELSE 'pending' END"""
+PAIRS = """CASE o_orderkey % 8 WHEN 0 THEN 'pending' WHEN 1 THEN 'sending' WHEN 2 THEN 'provider_accepted' WHEN 3 THEN 'unknown' WHEN 4 THEN 'failed' WHEN 5 THEN 'cancelled' ELSE 'pending' END"""
 
 
 @query(f"""
 WITH parents AS (SELECT o_orderkey, o_custkey, o_orderdate, {PAIRS} AS outbox FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100),
 a AS (
-  SELECT l_orderkey AS o_orderkey, count(*) AS n_attempts, arg_max(l_shipmode, (l_linenumber, l_partkey, l_suppkey)) AS last_error
-  FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE 'none' END AS l_shipmode FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1
+  SELECT l_orderkey AS o_orderkey, count(*) AS n_attempts, arg_max(error, (l_linenumber, l_partkey, l_suppkey)) AS last_error
+  FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE 'none' END AS error FROM lineitem WHERE l_linestatus = 'O') GROUP BY 1
 )
 SELECT p.o_orderkey, coalesce(n_attempts, 0) AS n_attempts, last_error, c_name,
-  CASE outbox WHEN 'accepted' THEN CASE WHEN p.o_orderkey % 3 = 0 THEN 'corrupt' ELSE 'accepted' END WHEN 'pending' THEN CASE WHEN p.o_orderkey % 3 = 0 THEN 'queued' ELSE 'corrupt' END
-    WHEN 'sending' THEN CASE WHEN p.o_orderkey % 3 = 0 THEN 'sending' ELSE 'corrupt' END ELSE 'corrupt' END AS status
+  CASE WHEN p.o_orderkey % 3 = 0 AND outbox IN ('pending', 'sending', 'failed') THEN outbox WHEN p.o_orderkey % 3 > 0 AND outbox = 'provider_accepted' THEN 'sent' ELSE 'corrupt' END AS status
 FROM parents p LEFT JOIN a USING (o_orderkey) LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'BUILDING'
 """)
 def delivery_history(spark: SparkSession, folder: str) -> DataFrame:
     """The last hundred deliveries with their attempts, the last error and the reader."""
-    k = F.col("o_orderkey")
-    outbox = F.expr(PAIRS)
     parents = table(spark, folder, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(100)
-    parents = parents.select("o_orderkey", "o_custkey", outbox.alias("outbox"), F.when(k % 3 == 0, "queued").otherwise("delivered").alias("digest"))
+    digest = F.when(F.col("o_orderkey") % 3 == 0, "queued").otherwise("sent")
+    parents = parents.select("o_orderkey", "o_custkey", F.expr(PAIRS).alias("outbox"), digest.alias("digest"))
     error = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("none")
     attempts = table(spark, folder, "lineitem").where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("attempt_no"), error.alias("error"))
     rows = ledgers.with_attempts(parents, attempts, "o_orderkey")
     reader = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
     rows = rows.join(reader, (F.col("c_custkey") == F.col("o_custkey")) & (F.col("c_mktsegment") != "BUILDING"), "left")
-    return rows.select("o_orderkey", "n_attempts", "last_error", "c_name", ledgers.delivery_status(F.col("outbox"), F.col("digest")).alias("status"))
+    return rows.select("o_orderkey", "n_attempts", "last_error", "c_name", ledgers.paired(ledgers.DELIVERY_STATUS, F.col("outbox"), F.col("digest")).alias("status"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'provider_accepted' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' ELSE 'unknown' END AS attempt,
+  CASE o_orderkey % 4 WHEN 0 THEN 'provider_accepted' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'unknown' END AS outbox,
+  CASE o_orderkey % 4 WHEN 0 THEN 'sent' WHEN 3 THEN 'unknown' ELSE 'queued' END AS digest, CASE o_orderkey % 4 WHEN 0 THEN 'accepted' WHEN 3 THEN 'unknown' ELSE 'reserved' END AS ledger
+FROM orders
+""")
+def dispatch_results(spark: SparkSession, folder: str) -> DataFrame:
+    result = F.get(F.array(*map(F.lit, ["provider_accepted", "retryable", "rejected", "lost"])), (F.col("o_orderkey") % 4).cast("int"))
+    return table(spark, folder, "orders").select("o_orderkey", ledgers.sent_states(result).alias("s")).select("o_orderkey", "s.*")
 
 
 @query("""
@@ -163,8 +172,8 @@ def prior_recipient(spark: SparkSession, folder: str) -> DataFrame:
 WITH l AS (
   SELECT o_custkey AS alias_id, arg_max((o_orderstatus, o_orderkey % 100), (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY 1
 )
-SELECT alias_id, last[2] AS canonical_id FROM (SELECT alias_id, [last[1]::VARCHAR, last[2]::VARCHAR] AS last FROM l) WHERE last[1] <> 'F'
-""".replace("last[2] AS canonical_id", "CAST(last[2] AS BIGINT) AS canonical_id"))
+SELECT alias_id, CAST(last[2] AS BIGINT) AS canonical_id FROM (SELECT alias_id, [last[1]::VARCHAR, last[2]::VARCHAR] AS last FROM l) WHERE last[1] <> 'F'
+""")
 def alias_log(spark: SparkSession, folder: str) -> DataFrame:
     """Aliases that hold after merges and revocations."""
     log = table(spark, folder, "orders").select(F.col("o_custkey").alias("alias_id"), (F.col("o_orderkey") % 100).alias("canonical_id"), F.when(F.col("o_orderstatus") == "F", "revoked").otherwise("merged").alias("action"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
