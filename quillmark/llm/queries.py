@@ -92,6 +92,43 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+OP9_QUALITY = r"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    CASE LISTS ELSE [] END AS listed
+  FROM (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents)
+), spots AS (
+  SELECT r, unnest(range(1, len(words) - 6)) AS i, unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(words[i:i + 7], ' '))) AS win FROM w WHERE len(words) > 7
+), again AS (
+  SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, win) AS n FROM spots) WHERE n > 1
+), covered AS (
+  SELECT r, sum(least(8, gap)) AS n_repeat_words FROM (SELECT r, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8) AS gap FROM again) GROUP BY r
+), base AS MATERIALIZED (
+  SELECT w.r, doc_id, lang, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    [length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')), length(text) - length(regexp_replace(text, '[0-9]', '', 'g')),
+     length(text) - length(regexp_replace(text, '[!-/:-@\[-`{-~]', '', 'g')), length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g'))] AS found,
+    length(text) AS chars, list_transform(listed, lambda v: len(list_filter(words, lambda x: x = v))) AS seen
+  FROM w LEFT JOIN covered USING (r)
+), entries AS (
+  SELECT r, lang, 'class' AS kind, unnest(range(6)) AS k, unnest(list_concat(found, [chars - word_chars, word_chars - list_sum(found)])) AS n FROM base
+  UNION ALL SELECT r, lang, 'word', unnest(range(len(seen) + 1)), unnest(list_append(seen, greatest(n_words - coalesce(list_sum(seen), 0), 0))) FROM base
+), usual AS (
+  SELECT lang, kind, k, sum(n) AS u FROM entries GROUP BY ALL
+), share AS (
+  SELECT r, e.kind, coalesce(n / nullif(sum(n) OVER (PARTITION BY r, e.kind), 0), 0) AS p, coalesce(u / nullif(sum(u) OVER (PARTITION BY r, e.kind), 0), 0) AS q
+  FROM entries e JOIN usual ON e.lang IS NOT DISTINCT FROM usual.lang AND e.kind = usual.kind AND e.k = usual.k
+), far AS (
+  SELECT r, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0)) AS d FROM share GROUP BY ALL
+), judged AS (
+  SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (n_words >= 50 AND c.d > 0.35) OR (n_words >= 150 AND v.d > 0.6) AS is_far
+  FROM base JOIN far c ON c.r = base.r AND c.kind = 'class' JOIN far v ON v.r = base.r AND v.kind = 'word'
+)
+SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT is_far AS kept FROM judged
+""".replace("LISTS", " ".join(f"WHEN lang = '{lang}' THEN {words}" for lang, words in quality.COMMON_WORDS.items()))
+
+
 #: The key of the surrogates here and in the pipeline. A secret one belongs in its place where originals must stay unknown.
 PII_KEY = b"surrogates of the corpus"
 
