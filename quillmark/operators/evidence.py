@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import texts
@@ -15,15 +15,12 @@ def anchors_checked(anchors: DataFrame, snapshots: DataFrame) -> DataFrame:
     return joined.withColumn("status", status).drop("text")
 
 
-def coverage(complete: Column, included: Column, missing: Column) -> Column:
-    """full_text if complete with nothing missing, selected_sections if anything is included, else abstract_only; `invalid`
-    where a section is both included and missing."""
-    return (
-        F.when(F.arrays_overlap(included, missing), "invalid")
-        .when(complete & (F.size(missing) == 0) & (F.size(included) > 0), "full_text")
-        .when(F.size(included) > 0, "selected_sections")
-        .otherwise("abstract_only")
-    )
+def coverage(scope: Column, complete: Column, included: Column, missing: Column) -> Column:
+    """abstract_only, selected_sections or full_text; `invalid` where a section is both included and missing, something complete
+    misses one, or an abstract is more or less than that."""
+    abstract = scope == "abstract"
+    wrong = F.arrays_overlap(included, missing) | (abstract & (complete | (included != F.array(F.lit("abstract"))))) | (~abstract & complete & (F.size(missing) > 0))
+    return F.when(wrong, "invalid").when(abstract, "abstract_only").when(complete, "full_text").otherwise("selected_sections")
 
 
 def number_findings(pairs: DataFrame) -> DataFrame:
@@ -50,3 +47,43 @@ def cites_phrase(rows: DataFrame, phrases: list[str]) -> DataFrame:
 def claims_outside(claims: DataFrame, anchors: DataFrame) -> DataFrame:
     """claims(claim_id, snapshot_id, anchor_id) whose anchor isn't one of the same snapshot."""
     return claims.join(anchors.select("snapshot_id", "anchor_id"), ["snapshot_id", "anchor_id"], "left_anti")
+
+
+def parsed_claims(candidates: DataFrame, anchors: DataFrame, kinds: list[str], most_anchors: int = 8) -> DataFrame:
+    """A row for each claim of candidates(run_id, snapshot_id, input_fingerprint, content_json): claim_id, kind, anchor_ids, error.
+
+    error: snapshot_mismatch, input_mismatch or invalid_response for a whole response; for a claim unknown_kind, anchor_count,
+    anchor_repeated, anchor_unknown (not one of the snapshot's anchors(snapshot_id, anchor_id)) or repeated.
+    """
+    schema = "struct<snapshot_id:string,input_fingerprint:string,claims:array<struct<claim_type:string,anchor_ids:array<string>>>>"
+    rows = candidates.withColumn("_r", F.from_json("content_json", schema))
+    whole = (
+        F.when(F.col("_r.claims").isNull(), "invalid_response")
+        .when(F.col("_r.snapshot_id") != F.col("snapshot_id"), "snapshot_mismatch")
+        .when(F.col("_r.input_fingerprint") != F.col("input_fingerprint"), "input_mismatch")
+    )
+    rows = rows.withColumn("_whole", whole)
+    known = anchors.groupBy("snapshot_id").agg(F.collect_set("anchor_id").alias("_known"))
+    rows = rows.join(known, "snapshot_id", "left").select("run_id", "input_fingerprint", "_whole", "_known", F.posexplode_outer(F.when(F.col("_whole").isNull(), F.col("_r.claims"))).alias("place", "_c"))
+    ids = F.array_sort("_c.anchor_ids")
+    payload = F.to_json(F.struct(ids.alias("anchor_ids"), F.col("_c.claim_type").alias("claim_type"), "input_fingerprint"))
+    rows = rows.withColumns({"claim_id": F.concat(F.lit("claim:"), F.sha2(payload, 256)), "kind": F.col("_c.claim_type"), "anchor_ids": ids})
+    came = F.row_number().over(Window.partitionBy("run_id", "claim_id").orderBy("place"))
+    error = (
+        F.when(F.col("_whole").isNotNull(), F.col("_whole"))
+        .when(F.col("place").isNull(), None)
+        .when(~F.col("kind").isin(kinds), "unknown_kind")
+        .when((F.size("anchor_ids") < 1) | (F.size("anchor_ids") > most_anchors), "anchor_count")
+        .when(F.size(F.array_distinct("anchor_ids")) < F.size("anchor_ids"), "anchor_repeated")
+        .when(F.size(F.array_except("anchor_ids", F.coalesce("_known", F.array().cast("array<string>")))) > 0, "anchor_unknown")
+        .when(came > 1, "repeated")
+    )
+    return rows.withColumn("error", error).where("place is not null or error is not null").select("run_id", "place", F.when(F.col("place").isNotNull(), F.col("claim_id")).alias("claim_id"), "kind", "anchor_ids", "error")
+
+
+def findings(pairs: DataFrame, all_numbers: bool = False) -> DataFrame:
+    """(pair_id, finding) of pairs(pair_id, text, source): number_mismatch and unit_mismatch, each once."""
+    numbers, units = texts.numbers, lambda t: F.transform(texts.measured(t), lambda m: F.concat_ws(" ", m["number"], m["unit"]))
+    same = F.array_sort(numbers(F.col("text"))) == F.array_sort(numbers(F.col("source"))) if all_numbers else texts.contained(numbers(F.col("text")), numbers(F.col("source")))
+    found = F.array_compact(F.array(F.when(~same, F.lit("number_mismatch")), F.when(~texts.contained(units(F.col("text")), units(F.col("source"))), F.lit("unit_mismatch"))))
+    return pairs.select("pair_id", F.explode(found).alias("finding"))

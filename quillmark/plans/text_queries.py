@@ -112,13 +112,17 @@ def anchor_verify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT doc_id, list_filter(['abstract', 'methods', 'results'], lambda x: (doc_id + length(x)) % 3 = 0) AS included, list_filter(['methods', 'results', 'appendix'], lambda x: (doc_id + length(x)) % 4 = 0) AS missing FROM documents)
-SELECT doc_id, CASE WHEN list_has_any(included, missing) THEN 'invalid' WHEN doc_id % 2 = 0 AND len(missing) = 0 AND len(included) > 0 THEN 'full_text' WHEN len(included) > 0 THEN 'selected_sections' ELSE 'abstract_only' END AS level FROM s
+WITH s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'abstract' ELSE 'full_text' END AS scope, doc_id % 3 = 0 AS complete,
+  CASE WHEN doc_id % 5 = 0 THEN ['methods'] ELSE ['abstract'] END AS included, CASE doc_id % 7 WHEN 0 THEN ['appendix'] WHEN 1 THEN ['methods'] ELSE [] END AS missing FROM documents)
+SELECT doc_id, CASE WHEN list_has_any(included, missing) OR (scope = 'abstract' AND (complete OR included <> ['abstract'])) OR (scope <> 'abstract' AND complete AND len(missing) > 0) THEN 'invalid'
+  WHEN scope = 'abstract' THEN 'abstract_only' WHEN complete THEN 'full_text' ELSE 'selected_sections' END AS level FROM s
 """)
 def evidence_level(spark: SparkSession, folder: str) -> DataFrame:
-    some = lambda names, n: F.filter(F.array(*map(F.lit, names)), lambda x: (F.col("doc_id") + F.length(x)) % n == 0)
-    included, missing = some(["abstract", "methods", "results"], 3), some(["methods", "results", "appendix"], 4)
-    return table(spark, folder, "documents").select("doc_id", evidence.coverage(F.col("doc_id") % 2 == 0, included, missing).alias("level"))
+    k = F.col("doc_id")
+    one = lambda x: F.array(F.lit(x))
+    missing = F.when(k % 7 == 0, one("appendix")).when(k % 7 == 1, one("methods")).otherwise(F.array().cast("array<string>"))
+    level = evidence.coverage(F.when(k % 4 == 0, "abstract").otherwise("full_text"), k % 3 == 0, F.when(k % 5 == 0, one("methods")).otherwise(one("abstract")), missing)
+    return table(spark, folder, "documents").select("doc_id", level.alias("level"))
 
 
 NUMBERS = """list_filter(regexp_extract_all({0}, '(^|[^A-Za-z0-9_])([+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?)', 2), lambda x: x <> '')"""

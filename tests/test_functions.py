@@ -86,6 +86,12 @@ def test_feeds(spark):
 
 
 def test_coverage(spark):
-    rows = spark.sql("SELECT * FROM VALUES (0, true, array('a'), array()), (1, false, array('a'), array('b')), (2, true, array(), array()), (3, true, array('a'), array('a')) AS t(i, c, x, y)")
-    got = rows.select("i", evidence.coverage(F.col("c"), F.col("x").cast("array<string>"), F.col("y").cast("array<string>")).alias("level")).orderBy("i").collect()
-    assert [r.level for r in got] == ["full_text", "selected_sections", "abstract_only", "invalid"]
+    rows = spark.sql("SELECT * FROM VALUES (0, 'full', true, array('a'), array()), (1, 'full', false, array('a'), array('b')), (2, 'abstract', false, array('abstract'), array()), (3, 'full', false, array('a'), array('a')), (4, 'full', true, array('a'), array('b')) AS t(i, s, c, x, y)")
+    got = rows.select("i", evidence.coverage(F.col("s"), F.col("c"), F.col("x").cast("array<string>"), F.col("y").cast("array<string>")).alias("level")).orderBy("i").collect()
+    assert [r.level for r in got] == ["full_text", "selected_sections", "abstract_only", "invalid", "invalid"]
+
+
+def test_findings(spark):
+    rows = spark.createDataFrame([(1, "took 5 hours", "5 h and 6"), (2, "5 kg", "5 m"), (3, "7", "8")], "pair_id int, text string, source string")
+    assert sorted(map(tuple, evidence.findings(rows).collect())) == [(2, "unit_mismatch"), (3, "number_mismatch")]
+    assert (1, "number_mismatch") in map(tuple, evidence.findings(rows, all_numbers=True).collect())
