@@ -132,7 +132,7 @@ def _numbered(batches: list[pa.RecordBatch], bits: int) -> Iterator[tuple[np.nda
 
 
 def linked(block: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the links inside each block (rows of a block stand together)."""
+    """Ends of links that connect what is linked inside each block (rows of a block stand together)."""
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     sizes = np.diff(np.r_[starts, len(block)])
     a, b = [], []
@@ -150,10 +150,24 @@ def linked(block: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarra
         b.append(s + y)
     if not a:
         return fps[:0], fps[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
+    a, b = stars(len(fps), np.concatenate(a), np.concatenate(b))
     return fps[a], fps[b]
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between n rows: one from the first row of what they connect to each other row of it, instead of all."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    other = np.flatnonzero(label != np.arange(n))
+    return label[other], other
+
+
 def balls(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of up to two bits in a large block: two fingerprints are that close just if some value is within one bit of both.
 
