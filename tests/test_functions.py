@@ -92,6 +92,6 @@ def test_coverage(spark):
 
 
 def test_findings(spark):
-    rows = spark.createDataFrame([(1, "took 5 hours", "5 h and 6"), (2, "5 kg", "5 m"), (3, "7", "8")], "pair_id int, text string, source string")
+    rows = spark.createDataFrame([(1, "took 5 hours", "5 Hour and 6"), (2, "5 kg", "5 m"), (3, "7", "8")], "pair_id int, text string, source string")
     assert sorted(map(tuple, evidence.findings(rows).collect())) == [(2, "unit_mismatch"), (3, "number_mismatch")]
     assert (1, "number_mismatch") in map(tuple, evidence.findings(rows, all_numbers=True).collect())
