@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.ranking import placed
+
 NOTICES = ("correction", "retraction")
 NOTICE_PRIORITY, DIRECT_PRIORITY, ADJACENT_PRIORITY = 100, 20, 10
 
@@ -57,8 +59,9 @@ def select(events: DataFrame, ledger: DataFrame, prior: DataFrame, summaries: Da
     papers = fresh.where(~is_notice).join(summaries.select("work_id").distinct(), "work_id", "left_semi")
     papers = papers.join(work_relevance(relevance), "work_id").withColumn("item_kind", F.lit("paper"))
     both = papers.unionByName(notices)
-    place = Window.orderBy(F.desc("priority"), F.desc("observed_at"), F.asc("event_id"))
-    return both.withColumn("position", F.row_number().over(place)).select(
+    hour = F.date_trunc("hour", "observed_at")
+    ranked = placed(both, "position", [(F.col("priority"), True), (hour, True)], F.desc("observed_at"), F.asc("event_id"))
+    return ranked.select(
         "position", "event_id", "work_id", "item_kind", "event_kind", "observed_at", "priority", "domains", "title"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import texts
+from quillmark.functions.hashing import canonical_json_utf8
 
 
 def anchors_checked(anchors: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -87,3 +88,66 @@ def findings(pairs: DataFrame, all_numbers: bool = False) -> DataFrame:
     same = F.array_sort(numbers(F.col("text"))) == F.array_sort(numbers(F.col("source"))) if all_numbers else texts.contained(numbers(F.col("text")), numbers(F.col("source")))
     found = F.array_compact(F.array(F.when(~same, F.lit("number_mismatch")), F.when(~texts.contained(units(F.col("text")), units(F.col("source"))), F.lit("unit_mismatch"))))
     return pairs.select("pair_id", F.explode(found).alias("finding"))
+
+
+#: Words for the two roles of a compared value.
+ROLES = {
+    "baseline": r"baseline|基準|基线",
+    "proposed": r"proposed(?: method)?|new method|our method|新方法|本方法|所提方法|提出的方法",
+}
+VALUE = r"([+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
+
+
+def role_values(text: Column, role: str) -> Column:
+    """The different numbers close behind, or just before, a word for the role."""
+    words = ROLES[role]
+    behind = F.regexp_extract_all(text, F.lit(f"(?i)(?:{words})[^0-9]{{0,24}}{VALUE}"), F.lit(1))
+    ahead = F.regexp_extract_all(text, F.lit(f"(?i){VALUE}[^A-Za-z0-9]{{0,16}}(?:{words})"), F.lit(1))
+    return F.array_sort(F.array_union(behind, ahead))
+
+
+def role_mismatch(text: Column, source: Column) -> Column:
+    """Whether a role has a number that it doesn't have in the source; never across scripts, where the order of words may change."""
+    cjk = lambda t: t.rlike("[㐀-鿿]")
+    other = F.lit(False)
+    for role in ROLES:
+        other = other | (F.size(F.array_except(role_values(text, role), role_values(source, role))) > 0)
+    return (cjk(text) == cjk(source)) & other
+
+
+def identified(snapshots: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Snapshots and anchors with ids that are hashes of their canonical JSON.
+
+    snapshots(revision_id, work_id, object_id, text_object_id, parser_version, evidence_level); anchors besides
+    (quote, offset_start, offset_end, section_label), joined to their snapshot by revision_id.
+    """
+    body = F.to_json(F.struct("evidence_level", F.lit(1).alias("format_version"), "object_id", "parser_version", "revision_id", "text_object_id", "work_id"))
+    known = snapshots.withColumn("snapshot_id", F.concat(F.lit("snapshot:"), F.sha2(canonical_json_utf8(body), 256)))
+    rows = anchors.join(known.select("revision_id", "snapshot_id"), "revision_id")
+    place = F.to_json(F.struct("offset_end", "offset_start", "quote", "section_label", "snapshot_id"), {"ignoreNullFields": "false"})
+    return known, rows.withColumn("anchor_id", F.concat(F.lit("anchor:"), F.sha2(canonical_json_utf8(place), 256)))
+
+
+def explanation_outcome(rows: DataFrame) -> DataFrame:
+    """rows with state and error_code: what an explanation comes to by its claims, relevance, summary and pointer.
+
+    same_evidence and same_profile say whether claims and relevance are those asked for, same_revisions whether of the current
+    revisions; execution and decision are the relevance's, qa_state the summary's, pointer_matches whether it became current.
+    """
+    c = F.col
+    steps = [
+        (~c("same_evidence"), "awaiting_external", "explanation_evidence_mismatch"),
+        (~c("same_profile"), "awaiting_external", "explanation_relevance_mismatch"),
+        (~c("same_revisions") | (c("execution") == "stale"), "cancelled", "scheduled_input_stale"),
+        (c("execution") == "failed", "failed", "relevance_assessment_failed"),
+        ((c("execution") != "succeeded") | ~c("decision").isin("direct", "adjacent", "uncertain", "irrelevant"), "awaiting_external", "relevance_assessment_corrupt"),
+        (c("decision").isin("uncertain", "irrelevant"), "succeeded", None),
+        (c("qa_state") == "pending", "awaiting_external", "summary_verification_pending"),
+        (c("qa_state") == "rejected", "cancelled", "summary_verification_rejected"),
+        (c("qa_state") != "passed", "awaiting_external", "summary_qa_state_corrupt"),
+        (~c("pointer_matches"), "awaiting_external", "current_summary_mismatch"),
+    ]
+    state, code = F.lit("succeeded"), F.lit(None).cast("string")
+    for test, name, error in reversed(steps):
+        state, code = F.when(test, name).otherwise(state), F.when(test, F.lit(error)).otherwise(code)
+    return rows.withColumn("state", state).withColumn("error_code", code)
