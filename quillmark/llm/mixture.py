@@ -106,7 +106,7 @@ def training_order(docs: DataFrame, knots: Column | None = None) -> DataFrame:
 
     A copy that is cut has the first of its words, joined by one space. Rows that repeat are taken each.
     """
-    docs = docs.withColumn("_text", F.xxhash64("text"))
+    docs = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("_text"))
     planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "size", F.explode("copies").alias("copy"))
     texts = docs.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text", "lang", "source", "_text")
     rows = texts.join(planned, texts.doc_id.eqNullSafe(planned._doc) & (texts._text == planned._hash))

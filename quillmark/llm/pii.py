@@ -158,6 +158,11 @@ def replacer(key: bytes, attempt: int) -> Callable[[Column], Column]:
     return replace
 
 
+def rewriter(docs: DataFrame, key: bytes) -> Callable[[Column], Column]:
+    """A column function of text: struct(text, entities), under a key without collisions among the documents."""
+    return replacer(key, settled(docs, key))
+
+
 def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with text rewritten and entities(kind, start, end, surrogate): places in the new text.
 
@@ -167,7 +172,6 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     permuted within their form, so two never become one; that holds for names as well is checked over all documents first,
     and the key is changed until it does. Null texts stay null, and repeated rows come out alike. A column `entities` is replaced.
     """
-    change = replacer(key, settled(docs, key))
     kept = [c for c in docs.columns if c != "entities"]
-    out = docs.select(*kept, change(F.col("text")).alias("_new"))
+    out = docs.select(*kept, rewriter(docs, key)(F.col("text")).alias("_new"))
     return out.select(*(F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in kept), "_new.entities")
