@@ -21,13 +21,13 @@ def accounting(items: DataFrame, quarantined: DataFrame) -> DataFrame:
         F.count_if(processed).alias("processed"),
         F.count_if(F.col("_held").isNotNull()).alias("quarantined"),
         F.count_distinct(F.when(processed, F.col("doi"))).alias("unique_dois"),
-        F.count_distinct("reported_total").alias("_totals"),
+        (F.min("reported_total") != F.max("reported_total")).alias("_several"),
         F.min_by("reported_total", F.struct("page_no", "ordinal", "reported_total")).alias("first_total"),
         F.bool_or("end_hint").alias("ended"),
     )
-    drift = (F.col("_totals") > 1) | (F.col("ended") & F.coalesce(F.col("raw") != F.col("first_total"), F.lit(False)))
+    drift = F.coalesce("_several", F.lit(False)) | (F.col("ended") & F.coalesce(F.col("raw") != F.col("first_total"), F.lit(False)))
     repair = F.col("ended") & (F.col("drift") | (F.col("quarantined") > 0))
-    out = out.withColumn("duplicates", F.col("processed") - F.col("unique_dois")).withColumn("drift", drift).drop("_totals")
+    out = out.withColumn("duplicates", F.col("processed") - F.col("unique_dois")).withColumn("drift", drift).drop("_several")
     state = F.when(~F.col("ended"), "running").when(repair, "repair_pending").otherwise("traversed")
     return out.withColumn("window_state", state).withColumn("completeness", F.when(F.col("ended") & ~repair, "provisional").otherwise("unknown"))
 
