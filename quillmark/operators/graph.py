@@ -9,15 +9,15 @@ from quillmark.functions import identifiers, texts
 
 #: Relations within a work, and between works.
 INTRA_WORK = [
-    "has-expression", "has-format", "has-manifestation", "has-manuscript", "has-preprint", "has-translation", "has-version",
-    "is-expression-of", "is-format-of", "is-identical-to", "is-manifestation-of", "is-manuscript-of", "is-original-form-of",
-    "is-preprint-of", "is-replaced-by", "is-translation-of", "is-variant-form-of", "is-version-of", "replaces",
+    "is-expression-of", "has-expression", "is-format-of", "has-format", "is-identical-to", "is-manifestation-of", "has-manifestation",
+    "is-manuscript-of", "has-manuscript", "is-preprint-of", "has-preprint", "is-replaced-by", "replaces", "is-translation-of",
+    "has-translation", "is-variant-form-of", "is-original-form-of", "is-version-of", "has-version",
 ]
 INTER_WORK = [
-    "compiles", "continues", "documents", "finances", "has-comment", "has-derivation", "has-part", "has-related-material", "has-reply",
-    "has-review", "is-based-on", "is-basis-for", "is-comment-on", "is-compiled-by", "is-continued-by", "is-derived-from",
-    "is-documented-by", "is-financed-by", "is-part-of", "is-referenced-by", "is-related-material", "is-reply-to", "is-required-by",
-    "is-review-of", "is-supplement-to", "is-supplemented-by", "references", "requires",
+    "is-based-on", "is-basis-for", "is-comment-on", "has-comment", "is-continued-by", "continues", "is-derived-from", "has-derivation",
+    "is-documented-by", "documents", "finances", "is-financed-by", "is-part-of", "has-part", "is-review-of", "has-review", "references",
+    "is-referenced-by", "is-related-material", "has-related-material", "is-reply-to", "has-reply", "requires", "is-required-by",
+    "is-compiled-by", "compiles", "is-supplement-to", "is-supplemented-by",
 ]
 
 
