@@ -94,7 +94,7 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def assess(docs: DataFrame, *, most_class: float = 0.35, most_word: float = 0.6, least_class_words: int = 50, least_word_words: int = 150) -> DataFrame:
+def assess(docs: DataFrame, *, most_class: float = 0.25, most_word: float = 0.3, least_class_words: int = 100, least_word_words: int = 150) -> DataFrame:
     """doc_id, the counts, base_failed and kept, for every row of docs(doc_id, text, lang).
 
     Fails the base: fewer than 20 words, or over 30 % of the words inside repeated windows. What passes is kept unless its

@@ -122,7 +122,7 @@ WITH w AS MATERIALIZED (
 ), far AS (
   SELECT r, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0)) AS d FROM share GROUP BY ALL
 ), judged AS (
-  SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (n_words >= 50 AND c.d > 0.35) OR (n_words >= 150 AND v.d > 0.6) AS is_far
+  SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (n_words >= 100 AND c.d > 0.25) OR (n_words >= 150 AND v.d > 0.3) AS is_far
   FROM base JOIN far c ON c.r = base.r AND c.kind = 'class' JOIN far v ON v.r = base.r AND v.kind = 'word'
 )
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT is_far AS kept FROM judged

@@ -39,7 +39,7 @@ def histograms(text, lang):
 
 
 def test_against_plain_python(docs, none):
-    rows, got = docs.collect(), quality.assess(docs, most_class=0.2, most_word=0.4, least_word_words=60).collect()
+    rows, got = docs.collect(), quality.assess(docs, most_class=0.2, most_word=0.4, least_class_words=50, least_word_words=60).collect()
     pools = {}
     for r in rows:
         for pool, h in zip(pools.setdefault(r.lang, ([0] * 6, [0] * 21)), histograms(r.text, r.lang)):
@@ -55,3 +55,14 @@ def test_against_plain_python(docs, none):
     order = lambda x: (repr(x[0]), *x[1:6])
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
     assert quality.assess(none).count() == 0
+
+
+def test_noise_goes_and_prose_stays(spark, rows):
+    import random
+
+    rng = random.Random(4)
+    noisy = [(1000 + i, " ".join(w + rng.choice(["###", "$$$", "&&&", "%%%"]) for w in r["text"].split()), r["lang"]) for i, r in enumerate(rows[:9]) if len(r["text"].split()) >= 100]
+    prose = [(r["doc_id"], r["text"], r["lang"]) for r in rows[:120]]
+    got = quality.assess(spark.createDataFrame(prose + noisy, "doc_id long, text string, lang string")).collect()
+    assert len(noisy) > 4 and not any(r.kept for r in got if r.doc_id >= 1000)
+    assert all(r.kept or r.base_failed for r in got if r.doc_id < 1000 and r.doc_id % 10 not in (3, 5, 7))  # those may mix languages
