@@ -44,25 +44,26 @@ def meeting(text: str, left: list[int], right: list[int], low: int) -> int | Non
 
 def count_chunked(model, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Pieces of the text. Chunks share `overlap` characters; where the shared part has no proven common boundary, it is
-    doubled, until the new chunk reaches back to the last splice and so holds all that is open."""
+    doubled, until the new chunk reaches back to the last splice and so holds all that is open. Then the open part is taken as
+    one, and grows by twice as much the next time, so that a text without boundaries is encoded a few times, not often."""
     total, at, begin, stop = 0, -1, 0, min(chunk, len(text))  # a first piece may end at 0: the space set before the text
-    open_ends = ends(model, text, 0, stop)
+    open_ends, step = ends(model, text, 0, stop), chunk
     while stop < len(text):
         share, place = overlap, None
         while place is None:
             start = max(at, 0, stop - share)
-            until = min(len(text), stop + chunk)
+            until = min(len(text), stop + step)
             if start == max(at, 0):
                 break
             further = ends(model, text, start, until)
             place = meeting(text, open_ends, further, start)
             share *= 2
         if place is None:
-            stop = until
+            stop, step = until, 2 * step
             open_ends = ends(model, text, begin, stop)
             continue
         total += sum(at < p <= place for p in open_ends)
-        at, begin, stop, open_ends = place, start, until, further
+        at, begin, stop, open_ends, step = place, start, until, further, chunk
     return total + sum(p > at for p in open_ends)
 
 
