@@ -26,11 +26,6 @@ def relation_class(predicate: Column) -> Column:
     return F.when(small.isin(INTRA_WORK), "intra_work").when(small.isin(INTER_WORK), "inter_work").otherwise("unknown")
 
 
-def _parsed(entry: Column, key: str) -> Column:
-    """A string field of a JSON object; null if it is missing or no string."""
-    return F.try_variant_get(F.try_parse_json(entry), f"$['{key}']", "string")
-
-
 def relation_entries(items: DataFrame) -> DataFrame:
     """(item_id, predicate, place, ordinal, id_type, target, asserted_by, class, gap) of items(item_id, json).
 
@@ -41,7 +36,8 @@ def relation_entries(items: DataFrame) -> DataFrame:
     rows = items.select("item_id", F.explode(F.map_entries(lists)).alias("e")).select("item_id", F.col("e.key").alias("predicate"), F.col("e.value").alias("_list"))
     entries = F.from_json("_list", "array<string>")
     rows = rows.select("item_id", "predicate", "_list", F.posexplode_outer(F.when(F.col("_list").startswith("["), entries)).alias("place", "_entry"))
-    get = lambda k: F.get_json_object("_entry", f"$['{k}']")
+    rows = rows.withColumn("_e", F.from_json("_entry", "struct<`id-type`:string,id:string,`asserted-by`:string>"))
+    get = lambda k: F.col("_e")[k]
     usable = lambda k, n: F.when(texts.valid_text(get(k), n), get(k))
     gap = (
         F.when(F.col("place").isNull(), "entries_not_list")
@@ -69,11 +65,12 @@ def integrity_entries(items: DataFrame) -> DataFrame:
 
     def one(key: str, direction: str) -> DataFrame:
         updates = F.from_json(F.get_json_object("json", f"$['{key}']"), "array<string>")
-        rows = items.select("item_id", F.posexplode(updates).alias("ordinal", "_e"))
-        get = lambda path: F.get_json_object("_e", path)
-        part = lambda n: get(f"$.updated['date-parts'][0][{n}]").cast("int")
+        rows = items.select("item_id", F.posexplode(updates).alias("ordinal", "_raw"))
+        rows = rows.withColumn("_e", F.from_json("_raw", "struct<DOI:string,type:string,updated:struct<`date-parts`:array<array<int>>>>"))
+        part = lambda n: F.get(F.get(F.col("_e")["updated"]["date-parts"], F.lit(0)), F.lit(n))
         date = texts.partial_date(part(0), part(1), part(2))
-        return rows.select("item_id", F.lit(direction).alias("direction"), "ordinal", get("$.DOI").alias("counterparty"), texts.integrity_kind(get("$.type")).alias("kind"), date["value"].alias("updated"), date["precision"].alias("precision"))
+        rows = rows.select("item_id", "ordinal", F.col("_e")["DOI"].alias("counterparty"), F.col("_e")["type"].alias("_type"), date.alias("_date"))
+        return rows.select("item_id", F.lit(direction).alias("direction"), "ordinal", "counterparty", texts.integrity_kind(F.col("_type")).alias("kind"), F.col("_date.value").alias("updated"), F.col("_date.precision").alias("precision"))
 
     return one("update-to", "update_to").union(one("updated-by", "updated_by"))
 

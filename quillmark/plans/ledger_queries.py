@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.operators import aliases, checks, ledgers
+from quillmark.operators.ranking import placed
 from quillmark.plans.registry import query
 from quillmark.sources.tables import table
 
@@ -185,10 +186,9 @@ SELECT o_orderkey AS job_key, CAST(row_number() OVER (ORDER BY o_orderdate, o_or
 WHERE o_orderdate <= TIMESTAMP '1998-01-01' AND (o_orderstatus <> 'O' OR o_orderdate + INTERVAL 30 DAYS <= TIMESTAMP '1998-01-01')
 """)
 def job_claim_order(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     jobs = table(spark, folder, "orders").select(F.col("o_orderkey").alias("job_key"), F.col("o_orderdate").alias("due_at"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("pending").alias("state"), F.expr("o_orderdate + INTERVAL 30 DAYS").alias("lease_until"))
-    return ledgers.claimable(jobs, F.expr("TIMESTAMP_NTZ '1998-01-01'")).select("job_key", F.row_number().over(Window.orderBy("due_at", "job_key")).alias("place"))
+    due = ledgers.claimable(jobs, F.expr("TIMESTAMP_NTZ '1998-01-01'"))
+    return placed(due, "place", [(F.date_trunc("day", "due_at"), False)], F.asc("due_at"), F.asc("job_key")).select("job_key", "place")
 
 
 @query("""
