@@ -151,3 +151,29 @@ def explanation_outcome(rows: DataFrame) -> DataFrame:
     for test, name, error in reversed(steps):
         state, code = F.when(test, name).otherwise(state), F.when(test, F.lit(error)).otherwise(code)
     return rows.withColumn("state", state).withColumn("error_code", code)
+
+
+def card_problems(cards: DataFrame) -> DataFrame:
+    """(card_id, problem) of cards(card_id, translation, source, points array, quotes array): translation_numbers where a translation
+    hasn't just the numbers of its source, as often; point_numbers where a point has a number that no quote has."""
+    numbers = texts.numbers
+    of_points = F.flatten(F.transform("points", lambda p: numbers(p)))
+    of_quotes = F.flatten(F.transform("quotes", lambda q: numbers(q)))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.array_sort(numbers(F.col("translation"))) != F.array_sort(numbers(F.col("source"))), F.lit("translation_numbers")),
+            F.when(F.size(F.array_except(of_points, of_quotes)) > 0, F.lit("point_numbers")),
+        )
+    )
+    return cards.select("card_id", F.explode(problems).alias("problem"))
+
+
+def support_verdicts(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """(request_id, verdict) of requests(request_id, claim_id) and responses(request_id, claim_id, support): invalid where the answered
+    claims aren't those asked for, once each; else rejected, pending or passed by the worst support."""
+    asked = requests.select("request_id", "claim_id").distinct().withColumn("_asked", F.lit(1))
+    got = responses.groupBy("request_id", "claim_id").agg(F.count("*").alias("_n"), F.bool_or(F.col("support") == "unsupported").alias("_bad"), F.bool_or(F.col("support") == "uncertain").alias("_open"), F.bool_or(~F.col("support").isin("supported", "unsupported", "uncertain")).alias("_odd"))
+    both = asked.join(got, ["request_id", "claim_id"], "full_outer")
+    wrong = F.bool_or(F.col("_asked").isNull() | F.col("_n").isNull() | (F.col("_n") > 1) | F.coalesce("_odd", F.lit(False)))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return both.groupBy("request_id").agg(F.when(wrong, "invalid").when(any_("_bad"), "rejected").when(any_("_open"), "pending").otherwise("passed").alias("verdict"))

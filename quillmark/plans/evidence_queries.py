@@ -56,3 +56,31 @@ def explanation_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         pick(4, "direct", "adjacent", "uncertain", "direct").alias("decision"), F.coalesce(pick(6, "pending", "rejected", "odd"), F.lit("passed")).alias("qa_state"), (k % 19 > 0).alias("pointer_matches"),
     )
     return evidence.explanation_outcome(rows).select("o_orderkey", "state", "error_code")
+
+
+@query("""
+SELECT o_orderkey AS card_id, 'translation_numbers' AS problem FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'point_numbers' FROM orders WHERE o_orderkey % 7 = 0
+""")
+def card_problems(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    n = k.cast("string")
+    points = F.array(F.concat(F.lit("about "), n), F.when(k % 7 == 0, "and -3.5").otherwise("none"))
+    cards = table(spark, folder, "orders").select(k.alias("card_id"), F.concat(F.lit("é 2 x "), n, F.when(k % 5 == 0, " 2").otherwise("")).alias("translation"), F.concat(n, F.lit(" a 2")).alias("source"), points.alias("points"), F.array(F.concat(n, F.lit(", 3.5")), F.lit("x")).alias("quotes"))
+    return evidence.card_problems(cards)
+
+
+@query("""
+WITH q AS (SELECT DISTINCT l_orderkey AS request_id, l_linenumber AS claim_id FROM lineitem),
+r AS (SELECT l_orderkey AS request_id, CASE WHEN l_orderkey % 9 = 0 THEN l_linenumber + 1 ELSE l_linenumber END AS claim_id, CASE l_returnflag WHEN 'R' THEN 'unsupported' WHEN 'A' THEN 'uncertain' ELSE 'supported' END AS support FROM lineitem WHERE l_linenumber < 7),
+g AS (SELECT request_id, claim_id, count(*) AS n, bool_or(support = 'unsupported') AS bad, bool_or(support = 'uncertain') AS undecided FROM r GROUP BY 1, 2),
+b AS (SELECT coalesce(q.request_id, g.request_id) AS request_id, q.claim_id IS NULL OR n IS NULL OR n > 1 AS wrong, bad, undecided FROM q FULL JOIN g ON q.request_id = g.request_id AND q.claim_id = g.claim_id)
+SELECT request_id, CASE WHEN bool_or(wrong) THEN 'invalid' WHEN bool_or(bad) THEN 'rejected' WHEN bool_or(undecided) THEN 'pending' ELSE 'passed' END AS verdict FROM b GROUP BY 1
+""")
+def support_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    claim = F.when(F.col("l_orderkey") % 9 == 0, F.col("l_linenumber") + 1).otherwise(F.col("l_linenumber"))
+    support = F.when(F.col("l_returnflag") == "R", "unsupported").when(F.col("l_returnflag") == "A", "uncertain").otherwise("supported")
+    requests = lines.select(F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("claim_id"))
+    responses = lines.where("l_linenumber < 7").select(F.col("l_orderkey").alias("request_id"), claim.alias("claim_id"), support.alias("support"))
+    return evidence.support_verdicts(requests, responses)
