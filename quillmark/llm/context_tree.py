@@ -123,11 +123,11 @@ class Lookup:
         return (keys * self.SPREAD >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values of these keys; nan for those that aren't there."""
         slot = self.slots(keys)
         wrong = np.flatnonzero(self.keys[slot] != keys)
         while len(wrong):
+            wrong = wrong[~np.isnan(self.values[slot[wrong]])]
             slot[wrong] = slot[wrong] + 1 & (1 << self.bits) - 1
-            if np.isnan(self.values[slot[wrong]]).any():
-                raise KeyError("a key that the model doesn't have")
             wrong = wrong[self.keys[slot[wrong]] != keys[wrong]]
-        return self.values[slot]
+        return np.where(self.keys[slot] == keys, self.values[slot], np.float32(np.nan))

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from quillmark.llm import context_tree as tree
 from quillmark.llm.common import arrow_schema, numbered, shuffle_partitions, written
 
-#: Byte grams, and frequent words, that are sent to the tasks whole: bounds of what is broadcast. More grams are joined instead,
-#: and so are all other words.
+#: How many of the most frequent byte grams and words are sent to the tasks: bounds of what is broadcast. All others are joined.
 BROADCAST_GRAMS, BROADCAST_WORDS = 4_000_000, 1_000_000
 #: Bytes counted together in a task, and words.
 COUNTED, WORDS_HELD = 6_000_000, 400_000
@@ -78,10 +77,10 @@ def counted(docs: DataFrame, train: str) -> DataFrame:
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
-    """(key, logp): log10 of the probability that the model gives each byte gram's last byte."""
+    """(key, n, logp): log10 of the probability that the model gives each byte gram's last byte."""
     n = shuffle_partitions(grams.sparkSession)
     together = grams.withColumn("_two", F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)).repartition(n, "_two").select("key", "n")
-    nodes_schema, scores_schema = "code long, zeros double, ones double, weighted double", "key long, logp double"
+    nodes_schema, scores_schema = "code long, zeros double, ones double, weighted double", "key long, n long, logp double"
     nodes_arrow, scores_arrow = arrow_schema(grams.sparkSession, nodes_schema), arrow_schema(grams.sparkSession, scores_schema)
 
     def whole(batches):
@@ -103,31 +102,28 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     def scores(batches):
         keys, counts = whole(batches)
         if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(tree.log_probabilities(keys, counts, shared.value))], schema=scores_arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(tree.log_probabilities(keys, counts, shared.value))], schema=scores_arrow)
 
     return together.mapInArrow(scores, scores_schema)
 
 
-def frequent(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The power of two from which on words go to the tasks, and those words: at most `most` keys with their counts."""
-    by_power = sorted(words.where("n > 0").groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect(), reverse=True)
+def frequent(rows: DataFrame, most: int) -> tuple[int, pa.Table]:
+    """The count from which on rows(key, n, …) go to the tasks, a power of two or none at all, and those rows: at most `most`."""
+    power = F.when(F.col("n") > 0, F.floor(F.log2("n")).cast("int")).otherwise(-1)
     total, least = 0, 1 << 62
-    for power, n in by_power:
+    for p, n in sorted(rows.groupBy(power.alias("power")).count().collect(), reverse=True):
         total += n
         if total > most:
             break
-        least = 1 << power
-    rows = words.where(F.col("n") >= least).toArrow()
-    keys, n = rows["key"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(keys)
-    return least, keys[order], n[order]
+        least = 1 << p if p >= 0 else 0
+    return least, rows.where(F.col("n") >= least).toArrow()
 
 
-ROWS = "doc_id long, n_tokens long, known long, logs double, score double, rare array<long>, grams array<long>"
+ROWS = "doc_id long, n_tokens long, known long, logs double, found double, rare array<long>, grams array<long>"
 
 
-def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup: tree.Lookup | None) -> DataFrame:
-    """A row for each document: sums over its frequent words and its byte grams, and what has still to be joined."""
+def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup: tree.Lookup) -> DataFrame:
+    """A row for each document: sums over its frequent words and byte grams, and those that have still to be joined."""
     sc = docs.sparkSession.sparkContext
     shared, arrow = sc.broadcast((known_words, lookup)), arrow_schema(docs.sparkSession, ROWS)
 
@@ -140,7 +136,9 @@ def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup:
                 own = tokens(text)
                 docs_tokens.append(own)
                 g = tree.byte_grams(b" ".join(own[:-1]))
-                out.append((float(find(g).sum(dtype=np.float64)), None) if find else (0.0, g.astype(np.int64)))
+                value = find(g)
+                rare = np.isnan(value)
+                out.append((float(value[~rare].sum(dtype=np.float64)), g[rare].astype(np.int64)))
             ids, words = numbered(docs_tokens)
             docs_words = np.split(ids, np.cumsum([len(own) for own in docs_tokens])[:-1])
             every = np.fromiter(map(word_key, words), np.int64, len(words))
@@ -178,21 +176,20 @@ def score(docs: DataFrame, train: Column, *, broadcast_grams: int = BROADCAST_GR
     counts = written(counted(docs, "_train"))
     words, grams = counts.where("kind = 1").select("key", "n"), counts.where("kind = 0").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = written(gram_scores(grams)) if grams.limit(1).count() else grams.select("key", F.lit(0.0).alias("logp"))
-    lookup = None
-    if model.count() <= broadcast_grams:
-        rows = model.toArrow()
-        lookup = tree.Lookup(rows["key"].to_numpy().astype(np.uint64), rows["logp"].to_numpy())
-        del rows
-    least, keys, of = frequent(words, broadcast_words)
+    model = written(gram_scores(grams)) if grams.limit(1).count() else grams.withColumn("logp", F.lit(0.0))
+    least_gram, table = frequent(model, broadcast_grams)
+    lookup = tree.Lookup(table["key"].to_numpy().astype(np.uint64), table["logp"].to_numpy())
+    least, table = frequent(words, broadcast_words)
+    table = table.sort_by("key")
+    keys, of = table["key"].to_numpy(), table["n"].to_numpy()
+    del table
     each = written(scored(docs, (keys, of), lookup))
     rare = each.select("_row", F.explode("rare").alias("key")).join(words.where(F.col("n") < least), "key")
     rare = rare.groupBy("_row").agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("_logs"))
     each = each.join(rare, "_row", "left")
-    if lookup is None:
-        by_gram = each.select("_row", F.explode("grams").alias("key"))
-        by_gram = by_gram.groupBy("_row", "key").agg(F.count("*").alias("_times")).join(model, "key")
-        each = each.drop("score").join(by_gram.groupBy("_row").agg(F.sum(F.col("_times") * F.col("logp")).alias("score")), "_row")
+    by_gram = each.select("_row", F.explode("grams").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("_times"))
+    by_gram = by_gram.join(model.where(F.col("n") < least_gram), "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("logp")).alias("_joined"))
+    each = each.join(by_gram, "_row", "left").withColumn("score", F.col("found") + F.coalesce("_joined", F.lit(0.0)))
     n_known = F.col("known") + F.coalesce("_known", F.lit(0))
     unknown = (F.col("n_tokens") - n_known) * F.log10(F.lit(0.5))
     base = F.col("logs") + F.coalesce("_logs", F.lit(0.0)) + unknown - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
