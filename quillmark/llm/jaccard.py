@@ -1,0 +1,175 @@
+"""Near-duplicates by exact Jaccard similarity of shingle sets: prefixes that must meet, links through centres, then the rest."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillmark.llm.common import arrow_schema, checkpointed, in_batches, shuffle_partitions, written
+from quillmark.llm.components import components
+
+SEED = 42
+#: Of the texts, one in so many is counted to tell common shingles; they only order the shingles, so any choice finds the same links.
+SAMPLE, COMMON, MOST = 16, 4, 1 << 20
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def node_of(words: list[bytes]) -> int:
+    """A signed 64-bit name of the words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of runs of so many words; of a shorter text, of all its words."""
+    if not words:
+        return np.zeros(0, np.int64)
+    runs = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)])
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in runs), np.uint64)).view(np.int64)
+
+
+def _rows(docs: DataFrame, schema: str, make) -> DataFrame:
+    """make(node, words) gives columns of arrays; a text that a task has seen is left out."""
+
+    def start():
+        seen: set[int] = set()
+
+        def f(cols):
+            out = []
+            for t in cols["text"]:
+                words = words_of(t)
+                node = node_of(words)
+                if node not in seen:
+                    seen.add(node)
+                    out += [made] if (made := make(node, words)) is not None else []
+            return dict(zip(names, map(np.concatenate, zip(*out)))) if out else None
+
+        return f
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return in_batches(docs.select("text"), start, schema)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, sorted, and how many of the counted texts do."""
+    some = _rows(docs, "s long", lambda node, words: None if node % SAMPLE else (shingles(words, shingle),))
+    top = some.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).toArrow()
+    s, n = top.column(0).to_numpy(), top.column(1).to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def prefixes(docs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """(s, node, size, pos): the first shingles of each text in an order of all shingles, rare ones first.
+
+    Sets of that similarity have at least ceil(t * size) in common, so they meet in the first size - ceil(t * size) + 1.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    def make(node, words):
+        h = shingles(words, shingle)
+        s, n = common.value
+        if not len(h):
+            return None
+        rank = np.zeros(len(h), np.int64)
+        if len(s):
+            at = np.minimum(np.searchsorted(s, h), len(s) - 1)
+            rank = np.where(s[at] == h, n[at], 0)
+        first = h[np.lexsort((h, rank))[: len(h) + (-len(h) * t.numerator // t.denominator) + 1]]
+        k = len(first)
+        return first, np.full(k, node), np.full(k, len(h), np.int32), np.arange(k, dtype=np.int32)
+
+    return _rows(docs, "s long, node long, size int, pos int", make)
+
+
+def may_reach(t: Fraction, size: Column, pos: Column, other_size: Column, other_pos: Column) -> Column:
+    """Whether sets that first meet at these places can have the similarity."""
+    rest = F.least(size - pos, other_size - other_pos).cast("long")
+    return rest * (t.numerator + t.denominator) >= (size.cast("long") + other_size) * t.numerator
+
+
+def links(docs: DataFrame, *, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of distinct texts of at least that similarity, enough of them that whatever such pairs connect stays connected."""
+    spark, t = docs.sparkSession, Fraction(str(similarity))
+    rows = prefixes(docs, shingle, t).repartition(shuffle_partitions(spark), "s").dropDuplicates(["s", "node"])
+    # The centre has the fewest rare shingles before this one: of near copies of a template, what is nearest to it.
+    heads = rows.groupBy("s").agg(F.min(F.struct("pos", "node", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    met = rows.join(heads, "s").select("s", "node", "size", "pos", "n", "c")
+    met = written(met)
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    first = met.where(F.col("node") != F.col("c.node")).where(may_reach(t, F.col("size"), F.col("pos"), F.col("c.size"), F.col("c.pos")))
+    first = verified(docs, first.select(*pair(F.col("node"), F.col("c.node"))).distinct(), shingle, t)
+    # A pair that the centres don't connect has an end that is not in its centre's component.
+    label = components(first)
+    more = met.where("n > 2").withColumn("centre", F.col("c.node"))
+    more = more.join(label, more.node == label.node, "left").select("s", more.node, "size", "pos", "centre", F.coalesce("root", more.node).alias("own"))
+    of = label.select(F.col("node").alias("centre"), F.col("root").alias("held"))
+    more = written(more.join(of, "centre", "left").select("s", "node", "size", "pos", "centre", "own", F.coalesce("held", "centre").alias("held")))
+    x, y = more.where("own != held").alias("x"), more.alias("y")
+    both = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.own") != F.col("y.own")) & (F.col("y.node") != F.col("x.centre")) & may_reach(t, F.col("x.size"), F.col("x.pos"), F.col("y.size"), F.col("y.pos")))
+    second = verified(docs, both.select(*pair(F.col("x.node"), F.col("y.node"))).distinct(), shingle, t)
+    return first.union(second)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shingle: int, t: Fraction) -> DataFrame:
+    """The pairs of texts whose shingle sets have the similarity."""
+    pairs = written(pairs)
+
+    def named():
+        def f(cols):
+            return {"node": [node_of(words_of(x)) for x in cols["text"]], "text": [(x or b"").decode() for x in cols["text"]]}
+
+        return f
+
+    texts = in_batches(docs.select("text"), named, "node long, text string")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = written(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]))
+    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    arrow = arrow_schema(docs.sparkSession, "a long, b long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x").cast(pa.binary()).to_pylist(), batch.column("y").cast(pa.binary()).to_pylist(), strict=True):
+                if b != last:
+                    last, held = b, shingles(words_of(y), shingle)
+                own = shingles(words_of(x), shingle)
+                both = len(np.intersect1d(own, held, assume_unique=True))
+                keep.append(both * t.denominator >= (len(own) + len(held) - both) * t.numerator)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).cast(arrow)
+
+    return checkpointed(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of docs(doc_id, text); component_id is the smallest doc_id that links reach.
+
+    Links join texts whose sets of shingles have at least that Jaccard similarity; none is missed, and no other pair is one.
+    Texts of equal words are one from the start, and so are null and empty ones. A null doc_id counts for no component_id.
+    """
+
+    def named():
+        return lambda cols: {"doc_id": cols["doc_id"], "node": [node_of(words_of(x)) for x in cols["text"]]}
+
+    each = checkpointed(in_batches(docs.select("doc_id", "text"), named, "doc_id long, node long"))
+    label = components(links(docs, shingle=shingle, similarity=similarity))
+    known = each.groupBy("node").agg(F.min("doc_id").alias("least")).join(label, "node", "left")
+    known = checkpointed(known.select("node", "least", F.coalesce("root", "node").alias("root")))
+    roots = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return each.join(known.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The documents without all but the smallest doc_id of each component. Rows without a doc_id stay."""
+    found = near_duplicates(docs, **how)
+    gone = checkpointed(found.where("doc_id != component_id").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -1,0 +1,69 @@
+"""Near-duplicates of the pipeline against all pairs."""
+
+import random
+
+import corpus_pipeline
+from quillmark.llm import jaccard
+
+COLUMNS = "doc_id long, text string"
+
+
+def sets(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def expected(rows):
+    """Ids that stay, by comparing all pairs."""
+    root = {d: d for d, _ in rows}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    made = [(d, sets(t)) for d, t in rows]
+    for i, (d, a) in enumerate(made):
+        for e, b in made[:i]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = sorted((top(d), top(e)))
+                root[y] = x
+    return {d for d in root if top(d) == d}
+
+
+def kept(spark, rows):
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    return {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+
+
+def prose(rng, n):
+    return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+
+def changed(rng, words, edits):
+    words = list(words)
+    for i in rng.sample(range(len(words)), edits):
+        words[i] = f"x{rng.randrange(10**9)}"
+    return words
+
+
+def test_pairs_at_the_threshold_are_all_found_and_none_below(spark):
+    rng, rows = random.Random(1), []
+    for k in range(150):
+        words = prose(rng, 204)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed(rng, words, rng.randrange(2, 7))))]
+    pairs = [(a, b) for (_, a), (_, b) in zip(rows[::2], rows[1::2])]
+    similar = [len(sets(a) & sets(b)) / len(sets(a) | sets(b)) for a, b in pairs]
+    assert sum(0.8 <= j < 0.84 for j in similar) > 15 and sum(0.74 < j < 0.8 for j in similar) > 15
+    assert kept(spark, rows) == expected(rows)
+
+
+def test_a_large_group_of_copies_of_one_template(spark, monkeypatch):
+    rng = random.Random(2)
+    template = prose(rng, 120)
+    rows = [(k, " ".join(changed(rng, template, rng.randrange(9)))) for k in range(250)]
+    rows += [(k + 1000, " ".join(changed(rng, rows[k][1].split(), 2))) for k in range(0, 250, 5)]
+    rows += [(2000, None), (2001, ""), (2002, " one"), (2003, "One "), (2004, "one two")]
+    assert kept(spark, rows) == expected(rows)
+    monkeypatch.setattr(jaccard, "common_shingles", lambda docs, shingle: (jaccard.np.zeros(0, int), jaccard.np.zeros(0, int)))
+    assert kept(spark, rows) == expected(rows)
