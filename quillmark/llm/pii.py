@@ -169,8 +169,8 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     E-mail addresses, phone, card and account numbers, IPv4 addresses, social security numbers, secrets and names after a
     title. Surrogates keep kind, script, capitals, punctuation and length of what they replace (made-up names keep script,
     capitals and the title's gender), and are the same for the same entity in all documents. Numbers and addresses are
-    permuted within their form, so two never become one; that holds for names as well is checked over all documents first,
-    and the key is changed until it does. Null texts stay null, and repeated rows come out alike. A column `entities` is replaced.
+    permuted within their form, and names among those of as many syllables, so two never become one; secrets of different
+    forms could, which is checked over all documents first, and the key is changed until none do. Null texts stay null, and repeated rows come out alike. A column `entities` is replaced.
     """
     kept = [c for c in docs.columns if c != "entities"]
     out = docs.select(*kept, rewriter(docs, key)(F.col("text")).alias("_new"))

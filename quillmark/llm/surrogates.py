@@ -68,12 +68,21 @@ def hexadecimal(text: str, key: bytes, tweak: str) -> str:
     return f"{moved(int(text, 16), 16 ** len(text), key, f'{tweak} {len(text)}'):0{len(text)}x}"
 
 
-#: Syllables of made-up names: by script, consonants and vowels, and how names of women and men end.
+#: Syllables of made-up names: by script, consonants and vowels, how names of women and men end, and how others don't.
+#: No two endings can be taken for each other or for syllables, so what stands before them can be read back.
 SCRIPTS = {
-    "latin": ("b d f g k l m n p r s t v z br dr gl kr st tr".split(), "a e i o u".split(), ["a", "ia", "ina", "elle"], ["o", "us", "an", "ert"]),
-    "cyrillic": ("б в г д з к л м н п р с т ф".split(), "а е и о у".split(), ["а", "ия", "ина"], ["ан", "ор", "ей"]),
-    "greek": ("β γ δ ζ κ λ μ ν π ρ σ τ φ".split(), "α ε ι ο υ".split(), ["α", "ια", "ινη"], ["ος", "ης", "ας"]),
+    "latin": ("b d f g k l m n p r s t v z br dr gl kr st tr".split(), "a e i o u".split(), ["a", "ia", "elle"], ["o", "us", "an", "ert"], "snt"),
+    "cyrillic": ("б в г д з к л м н п р с т ф".split(), "а е и о у".split(), ["а", "ия"], ["ан", "ор", "ей"], "нр"),
+    "greek": ("β γ δ ζ κ λ μ ν π ρ σ τ φ".split(), "α ε ι ο υ".split(), ["α", "ια", "ινη"], ["ος", "ης", "ας"], "σ"),
 }
+#: Letters of a script's names, fewest first, so that common names stay short.
+LETTERS = {
+    "latin": ("".join(map(chr, range(97, 123))), "".join(map(chr, [*range(97, 123), 39, 45, 0x2019, *range(0xDF, 0x180)]))),
+    "cyrillic": ("".join(map(chr, range(0x430, 0x450))) + "ё", "".join(map(chr, [*range(0x430, 0x460), 39, 45, 0x2019]))),
+    "greek": ("".join(map(chr, range(0x3AC, 0x3CF))), "".join(map(chr, [*range(0x3AC, 0x3CF), 39, 45, 0x2019]))),
+}
+#: Names of more letters are numbered by a hash of 128 bits.
+LONGEST = 64
 
 
 def script_of(word: str) -> str:
@@ -81,18 +90,39 @@ def script_of(word: str) -> str:
     return "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
 
 
+def number_of(word: str, key: bytes) -> int:
+    """A number that no other word of the script has."""
+    tiers = LETTERS[script_of(word)]
+    if len(word) > LONGEST:
+        return 4 * keyed(key, "long name", word) + 3
+    tier = next((n for n, letters in enumerate(tiers) if all(c in letters for c in word)), 2)
+    size = len(tiers[tier]) if tier < 2 else 0x110000
+    x = 0
+    for c in word:  # shorter words first, so the length is told as well
+        x = x * size + (tiers[tier].index(c) if tier < 2 else ord(c)) + 1
+    return 4 * x + tier
+
+
 def name(word: str, key: bytes, tweak: str, gender: str | None) -> str:
-    """A made-up name in the word's script and capitals, with an ending of its gender if that is known."""
-    consonants, vowels, female, male = SCRIPTS[script_of(word)]
-    x = keyed(key, "name", tweak, word.lower())
+    """A made-up name in the word's script and capitals, with an ending of its gender if that is known.
+
+    Numbers of words are permuted among those of as many syllables, so two words never become one, whatever their genders.
+    """
+    consonants, vowels, female, male, others = SCRIPTS[script_of(word)]
+    old = word.lower()
+    x, space, count = number_of(old, key), len(consonants) * len(vowels), 3
+    while x >= space**count:
+        count += 1
+    least = space ** (count - 1) if count > 3 else 0
+    x = least + permuted(x - least, space**count - least, key, f"name {tweak} {script_of(word)} {count}")
     syllables = []
-    for _ in range(4):
-        x, c = divmod(x, len(consonants))
-        x, v = divmod(x, len(vowels))
-        syllables.append(consonants[c] + vowels[v])
-    endings = female if gender == "f" else male if gender == "m" else [""]
-    stem = "".join(syllables)
-    out = stem[:-1] + endings[x % len(endings)] if endings != [""] else stem + consonants[x % len(consonants)][0]
+    for _ in range(count):
+        x, place = divmod(x, space)
+        syllables.append(consonants[place % len(consonants)] + vowels[place // len(consonants)])
+    y, end = divmod(keyed(key, "name", tweak, old), 12)
+    endings = female if gender == "f" else male if gender == "m" else None
+    last = [c for c in consonants if endings or len(c) == 1 and c not in others]
+    out = "".join(syllables) + last[y % len(last)] + (endings[end % len(endings)] if endings else "")
     return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[:1].isupper() else out
 
 

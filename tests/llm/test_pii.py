@@ -44,3 +44,27 @@ def test_collisions_change_the_key(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(pii, "collisions", lambda d, k, a: asked.append(a) or a < 2)
     assert pii.settled(docs, KEY) == 2 and asked == [0, 1, 2]
+
+
+def test_many_names_never_become_one():
+    letters = {"latin": "abcdefghijklmnopqrst", "cyrillic": "абвгдежзийклмнопрсту", "greek": "αβγδεζηθικλμνξοπρστυ"}
+    for script, some in letters.items():
+        of = pii.Surrogates(KEY)
+        n = 60_000 if script == "latin" else 30_000
+        words = ["".join(some[i // 20**k % 20] for k in range(4)) + some[i % 7] for i in range(n)]
+        words = [w.capitalize() for w in dict.fromkeys(words)] + [w + x for w in words[:50] for x in ("-é", "’s", "ß", "中", "x" * 70)]
+        new = [of("name", w, "f") for w in words]
+        assert len({pii.canonical("name", x) for x in new}) == len(set(map(str.lower, words)))
+        assert {surrogates.script_of(x) for x in new} == {script}
+
+
+def test_names_of_different_genders_and_capitals_never_become_one():
+    words = [a + b + c for a in "abcdefghij" for b in "aeiou" for c in "klmnoprstu"]
+    for script, base in (("latin", 0), ("cyrillic", 0x430 - 97), ("greek", 0x3B1 - 97)):
+        seen = {}
+        for w in words:
+            w = "".join(chr(ord(c) + base) for c in w)
+            for g in ("f", "m", "", None):
+                for shape in (w, w.upper(), w.capitalize()):
+                    seen.setdefault(surrogates.name(shape, KEY, "", g).lower(), set()).add(shape.lower())
+        assert all(len(olds) == 1 for olds in seen.values())
