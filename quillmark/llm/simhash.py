@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -47,11 +46,10 @@ def set_bits(h: np.ndarray, bits: int) -> np.ndarray:
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         parts.append(x ^ (x >> np.uint64(31)))
     octets = np.stack(parts, 1).astype(">u8").view(np.uint8).reshape(len(h), bits // 8)
-    if len(h) < 128:
-        return np.unpackbits(octets, axis=1).sum(0, dtype=np.int64)
-    counts = np.bincount((octets + np.arange(0, bits // 8 * 256, 256, dtype=np.int32)).ravel(), minlength=bits * 32).reshape(-1, 256)
-    table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
-    return (counts @ table).astype(np.int64).ravel()
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(h), 255):  # so many fit into a byte's sum
+        ones += np.unpackbits(octets[at : at + 255], axis=1).sum(0, dtype=np.uint8)
+    return ones
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 5, bits: int = 64) -> DataFrame:
@@ -223,15 +221,3 @@ def scans(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     if not a:
         return np.zeros(0, int), np.zeros(0, int)
     return np.concatenate(a), np.concatenate(b)
-
-
-def distance_of(similarity: float, bits: int) -> int:
-    """Bits that differ on average where this share of all shingles of two equally long texts is common (Jaccard)."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The documents without all but the smallest doc_id of each component. Rows without a doc_id stay."""
-    found = near_duplicates(docs, **how)
-    gone = checkpointed(found.where("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
