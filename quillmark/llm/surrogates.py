@@ -43,7 +43,31 @@ def moved(x: int, n: int, key: bytes, tweak: str) -> int:
     return permuted((permuted(x, n, key, tweak) + 1) % n, n, key, tweak, back=True) if n > 1 else x
 
 
+#: Characters permuted together.
+HELD = 256
+
+
+def chained(step: Callable[[str, bytes, str], str], text: str, key: bytes, tweak: str) -> str:
+    """step for each HELD characters; those before are part of the tweak, so that still no two texts become one."""
+    out = []
+    for at in range(0, max(1, len(text)), HELD):
+        out.append(step(text[at : at + HELD], key, tweak))
+        if at + HELD < len(text):
+            tweak = f"{keyed(key, tweak, text[at : at + HELD]):x}"
+    return "".join(out)
+
+
 def same_form(text: str, key: bytes, tweak: str) -> str:
+    """Another string with a digit, a small or a capital letter of the same script at each such place; the rest stays."""
+    return chained(_same_form, text, key, tweak)
+
+
+def hexadecimal(text: str, key: bytes, tweak: str) -> str:
+    """Another string of as many small hex digits."""
+    return chained(lambda t, k, w: f"{moved(int(t, 16), 16 ** len(t), k, f'{w} {len(t)}'):0{len(t)}x}", text, key, tweak)
+
+
+def _same_form(text: str, key: bytes, tweak: str) -> str:
     """Another string with a digit, a small or a capital letter of the same script at each such place; the rest stays.
 
     Strings of one form are permuted, so two never become one, and none stays as it is.
@@ -63,11 +87,6 @@ def same_form(text: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
-def hexadecimal(text: str, key: bytes, tweak: str) -> str:
-    """Another string of as many small hex digits."""
-    return f"{moved(int(text, 16), 16 ** len(text), key, f'{tweak} {len(text)}'):0{len(text)}x}"
-
-
 #: Syllables of made-up names: by script, consonants and vowels, how names of women and men end, and how others don't.
 #: No two endings can be taken for each other or for syllables, so what stands before them can be read back.
 SCRIPTS = {
@@ -103,6 +122,15 @@ def number_of(word: str, key: bytes) -> int:
     return 4 * x + tier
 
 
+#: Endings of names of women, by script. All other words count as men's names.
+FEMALE = {"latin": ("a", "ah", "elle", "ette", "ine", "anne", "ise", "ice"), "cyrillic": ("а", "я"), "greek": ("α", "η", "ω")}
+
+
+def gender_of(word: str) -> str:
+    """f or m, by the word's own ending: wherever it stands, and after whatever title, it counts alike."""
+    return "f" if word.lower().endswith(FEMALE[script_of(word)]) else "m"
+
+
 def name(word: str, key: bytes, tweak: str, gender: str | None) -> str:
     """A made-up name in the word's script and capitals, with an ending of its gender if that is known.
 

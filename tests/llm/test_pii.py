@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from quillmark.llm import pii, surrogates
 
 KEY = b"k"
@@ -38,12 +41,53 @@ def test_permutations():
     assert len({pii.Surrogates(KEY)("card", c) for c in cards}) == 3000
 
 
-def test_collisions_change_the_key(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "Mr. Smith"), (2, "Mr. Jones"), (3, None)], "doc_id long, text string")
-    assert pii.settled(docs, KEY) == 0 and not pii.collisions(docs, KEY, 0)
-    asked = []
-    monkeypatch.setattr(pii, "collisions", lambda d, k, a: asked.append(a) or a < 2)
-    assert pii.settled(docs, KEY) == 2 and asked == [0, 1, 2]
+def test_one_person_stays_one_and_is_replaced_everywhere():
+    text = "Mrs Anna Smith met Dr Anna Smith. Anna Smith said that Smith's ANNA left; Annabel stayed."
+    new, found = pii.replaced(text, pii.Surrogates(KEY))
+    first, last = found[0]["surrogate"].split()
+    assert new == f"Mrs {first} {last} met Dr {first} {last}. {first} {last} said that {last}'s {first.upper()} left; Annabel stayed."
+    assert len({f["entity"] for f in found[:3]}) == 1 and first[-1] == "a" or first.endswith("elle")
+    for text, name in (("my name is Jo Doe.", "Jo Doe"), ("Hi Bob,\nhow are you", "Bob"), ("All done.\nRegards,\nEve Q. Adams", "Eve Q. Adams"), ("Mia Wong <m.w@mail.example.org>", "Mia Wong")):
+        new, found = pii.replaced(text, pii.Surrogates(KEY))
+        assert found[0]["kind"] == "name" and not any(w in re.findall(r"\w+", new) for w in re.findall(r"\w\w+", name))
+
+
+def test_other_kinds_keep_their_form_and_checks():
+    of = pii.Surrogates(KEY)
+    text = (
+        "2001:db8::1 is 2001:0DB8:0000:0000:0000:0000:0000:0001 at 12:30:45; 00:1a:2b:3c:4d:5e, 00-1A-2B-3C-4D-5E; api_key: abcdef0123456789abcd"
+        " eyJhbGciOi.eyJzdWIiOi.SflKxwRJ_x -----BEGIN PRIVATE KEY-----\nMIIE" + "vQIBADANBgkq9/" * 300 + "\n-----END PRIVATE KEY----- born on 1980-02-03, geboren am 3.2.1980; 12 Baker Street, DE89 3704 0044 0532 0130 00, jö@exämple.de"
+    )
+    new, found = pii.replaced(text, of)
+    assert [f["kind"] for f in found] == ["ip6", "ip6", "mac", "mac", "secret", "secret", "secret", "birth", "birth", "street", "iban", "email"]
+    out = [f["surrogate"] for f in found]
+    assert len({f["entity"] for f in found[:2]}) == len({f["entity"] for f in found[2:4]}) == len({f["entity"] for f in found[7:9]}) == 1
+    assert out[2].replace(":", "-").upper() == out[3] and re.fullmatch("[0-9a-f]{20}", out[4]) and out[5].startswith("eyJ")
+    assert pii.day_of(out[7]) == pii.day_of(out[8]) and re.fullmatch(r"\d\d [A-Z][a-z]+ Street", out[9])
+    iban = out[10].replace(" ", "")
+    assert iban[:2] == "DE" and int(iban[2:4]) == pii.account_check("DE", iban[4:]) and "12:30:45" in new
+    for clean in ("9807915762804490 is no card.", "DE88 3704 0044 0532 0130 00", "Hello World! Dear All, a::b", "face:bed", "Main Street", "born on a day", "the key is important", "10:20:30"):
+        assert pii.replaced(clean, of) == (clean, [])
+
+
+def test_secrets_stay_apart_and_of_their_kind():
+    of, rng = pii.Surrogates(KEY), random.Random(2)
+    some = ["".join(rng.choice("0123456789abcdefg") for _ in range(3)) for _ in range(2000)] + ["sk-" + f"{i:03d}" for i in range(500)] + [f"xy-{i:03d}" for i in range(500)]
+    new = {of("secret", x) for x in some}
+    assert len(new) == len(set(some)) and all(x.startswith("sk-") == (of("secret", x)[:3] == "sk-") for x in some)
+
+
+def test_no_collisions_over_documents_and_odd_columns(spark):
+    rows = [(n, f"Mr. {a}{b}x and +1 (743) 555-{n:04d}", "x", "y") for n, (a, b) in enumerate((a, b) for a in "ABCDEFGHIJ" for b in "aeiou")]
+    rows += [(900, None, "x", "y"), (901, "", "x", "y"), (902, "word " * 400_000 + "Dr. Anna Bell", "x", "y"), (0, rows[0][1], "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _new string, old string").withColumn("a.b", F.lit(1))
+    got = pii.replace(docs, KEY)
+    assert got.columns == ["doc_id", "text", "_new", "old", "a.b", "entities"]
+    assert pii.collisions(got).count() == 0
+    rows = {r.doc_id: r for r in got.collect()}
+    assert rows[900].text is None and rows[901].text == "" and len(rows[902].entities) == 1 and "Anna" not in rows[902].text
+    same = got.withColumn("entities", F.transform("entities", lambda e: e.withField("surrogate", F.lit("same"))))
+    assert pii.collisions(same).count() == 2
 
 
 def test_many_names_never_become_one():
@@ -53,7 +97,7 @@ def test_many_names_never_become_one():
         n = 60_000 if script == "latin" else 30_000
         words = ["".join(some[i // 20**k % 20] for k in range(4)) + some[i % 7] for i in range(n)]
         words = [w.capitalize() for w in dict.fromkeys(words)] + [w + x for w in words[:50] for x in ("-é", "’s", "ß", "中", "x" * 70)]
-        new = [of("name", w, "f") for w in words]
+        new = [of("name", w) for w in words]
         assert len({pii.canonical("name", x) for x in new}) == len(set(map(str.lower, words)))
         assert {surrogates.script_of(x) for x in new} == {script}
 
