@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Edits allowed for each character of an item; items with fewer characters than LEAST match nothing.
+#: Edits allowed for each character of an item; items with fewer characters than LEAST must stand there unchanged, as whole words.
 ERROR_RATE, LEAST = 0.08, 20
 #: Characters of the items that go to the tasks together: the bound of what is broadcast. More items make more blocks.
 BLOCK_CHARS = 4_000_000
@@ -51,9 +52,9 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
         self.items, self.pieces = [], defaultdict(list)
         for item_id, text in items:
-            if len(text) < LEAST:
+            if not text:
                 continue
-            k, m = int(rate * len(text)), len(text)
+            k, m = int(rate * len(text)) if len(text) >= LEAST else 0, len(text)
             masks: dict[str, int] = defaultdict(int)
             for i, c in enumerate(text):
                 masks[c] |= 1 << i
@@ -79,6 +80,9 @@ class Matcher:
         for item, starts in near.items():
             item_id, k, m, masks = self.items[item]
             best = k + 1
+            if m < LEAST:
+                best = 0 if any((not a or text[a - 1] == " ") and text[a + m : a + m + 1] in ("", " ") for a in starts) else 1
+                starts = []
             for a, b in spans(starts, m, k):
                 best = min(best, distance(masks, m, text[max(0, a) : b]))
             if best <= k:
@@ -114,12 +118,23 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+#: A worker's matchers by block, so that its next task needs not build them again.
+MATCHERS: dict[str, Matcher] = {}
+
+
 def finder(shared, rate: float):
     """A column function of a broadcast block of items."""
+    block = uuid.uuid4().hex
 
     @F.pandas_udf(MATCHES)
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        search = Matcher(shared.value, rate)
+        from quillmark.llm.decontaminate import MATCHERS  # this process's own
+
+        if block not in MATCHERS:
+            while len(MATCHERS) >= 8:
+                MATCHERS.pop(next(iter(MATCHERS)))
+            MATCHERS[block] = Matcher(shared.value, rate)
+        search = MATCHERS[block]
         for texts in batches:
             yield pd.Series([[{"item_id": i, "distance": d} for i, d in search(t)] if t else [] for t in texts])
 
@@ -137,8 +152,8 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) ->
     """(doc_id, contaminated, matches) for every row of docs(doc_id, text).
 
     An item is found where its normalised text stands in the document's with at most rate edits for each of its
-    characters. It is cut into one piece more than edits are allowed, so that one piece is there unchanged. Items without
-    text or under LEAST characters match nothing; null and empty texts hold nothing. Rows that repeat come out each;
+    characters. It is cut into one piece more than edits are allowed, so that one piece is there unchanged. Items of fewer than
+    LEAST characters are found where they stand unchanged as whole words; items without a letter or digit match nothing; null and empty texts hold nothing. Rows that repeat come out each;
     an item that stands twice in the benchmark is found twice; other columns are ignored.
     """
     out = docs.select("doc_id", matches(F.col("text"), items, rate).alias("matches"))

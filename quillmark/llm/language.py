@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import quoted
+
 #: Each of the two n-gram lengths has 2**BUCKET_BITS embeddings of DIM numbers.
 BUCKET_BITS, DIM = 14, 16
 BUCKETS = 2 << BUCKET_BITS
-#: The classifier is fitted on a sample of about this many documents of each language, chosen by a hash of the id.
-SAMPLE_PER_LANGUAGE = 600
+#: The classifier is fitted on a sample of about this many documents of each language, chosen by a hash of the id, and of no more
+#: than SAMPLED in all; of a sampled document's distinct n-grams, no more than KEPT_GRAMS, chosen by a hash as well. That
+#: bounds what goes to the driver at 16 bytes * KEPT_GRAMS * SAMPLED.
+SAMPLE_PER_LANGUAGE, SAMPLED, KEPT_GRAMS = 600, 12_000, 2048
 #: Bytes looked at together.
 SLICE = 1 << 18
-#: More languages than this are taken for a mistake; it bounds what is sent to the driver and the tasks.
-MOST_LANGUAGES = 2000
+#: So many languages are learned, those of most documents; it bounds what is sent to the tasks. Model.left_out counts documents of others.
+MOST_LANGUAGES = 500
 NOT_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -40,6 +44,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    left_out: int = 0
 
     def probabilities(self, text: str) -> np.ndarray:
         total, n = np.zeros(len(self.languages)), 0
@@ -54,37 +59,41 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def sample(labelled: DataFrame, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Bucket counts of about per_language documents of each language."""
-    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"])))) if sizes else F.lit(None)
+def sample(labelled: DataFrame, per_language: int, most_languages: int = MOST_LANGUAGES) -> tuple[list[tuple[str, np.ndarray, np.ndarray]], int]:
+    """Bucket counts of about per_language documents of each language, and how many documents are of languages too rare to be learned."""
+    counted = labelled.groupBy("lang").count()
+    sizes = counted.orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not sizes:
-        return []
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+        return [], 0
+    left_out = counted.agg(F.sum("count")).first()[0] - sum(r["count"] for r in sizes)
+    each = min(per_language, max(1, SAMPLED // len(sizes)))
+    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))))
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000)
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for lang, doc_id, text in zip(pdf.lang, pdf.doc_id, pdf.text, strict=True):
+            for lang, doc_id, of, text in zip(pdf.lang, pdf.doc_id, pdf.of, pdf.text, strict=True):
                 h, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *grams(text)]), return_counts=True)
-                rows.append((lang, doc_id, h.astype(np.int32), n.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["lang", "doc_id", "h", "n"])
-
-    found = chosen.select("lang", "doc_id", "text").mapInPandas(run, "lang string, doc_id long, h array<int>, n array<int>").toArrow()
-    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+                if len(h) > KEPT_GRAMS:
+                    few = np.sort(np.argsort(h * np.uint32(2654435761), kind="stable")[:KEPT_GRAMS])
+                    h, n = h[few], n[few]
+                rows.append((lang, doc_id, of, h.astype(np.int32), n.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["lang", "doc_id", "of", "h", "n"])
+
+    found = chosen.select("lang", "doc_id", F.xxhash64("text").alias("of"), "text").mapInPandas(run, "lang string, doc_id long, of long, h array<int>, n array<int>").toArrow()
+    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("of", "ascending")]).combine_chunks()
     parts = {c: (found[c].combine_chunks().values.to_numpy(), found[c].combine_chunks().offsets.to_numpy()) for c in ("h", "n")}
     cut = lambda c, i: parts[c][0][parts[c][1][i] : parts[c][1][i + 1]]
     rows = [(lang, cut("h", i), cut("n", i)) for i, lang in enumerate(found["lang"].to_pylist())]
-    return [r for r in rows if len(r[1])]
+    return [r for r in rows if len(r[1])], left_out
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, rate: float = 0.5, seed: int = 7, most_rejected: float = 0.001) -> Model:
     """Stochastic gradient descent over four fifths of the rows; the last fifth sets the temperature and the threshold.
 
     Every second step sees a short random draw of a document's n-grams, so that short texts are known as well. The
-    threshold is one half, or lower where more than most_rejected of the right answers would fall under it.
+    threshold is where at most most_rejected of the right answers lie below, with half the odds, for the held rows are few.
     """
     languages = sorted({r[0] for r in rows})
     y = np.array([languages.index(r[0]) for r in rows], int)
@@ -120,14 +129,15 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     temperature = float(heat[int(np.argmin(loss))])
     p = softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == y[held]]
-    threshold = min(0.5, float(np.quantile(right, most_rejected, method="lower"))) if len(right) else 0.0
+    least = float(np.quantile(right, most_rejected, method="lower")) if len(right) else 0.0
+    threshold = least / (2 - least)  # odds of p / (1 - p), halved
     return Model(languages, scores.astype(np.float32), b, temperature, threshold)
 
 
-def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
     """A model of the documents with text, a letter and lang; None where there are none."""
-    rows = sample(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), per_language)
-    return train(rows) if rows else None
+    rows, left_out = sample(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), per_language, most_languages)
+    return replace(train(rows), left_out=left_out) if rows else None
 
 
 def predictor(docs: DataFrame, model: Model | None):
@@ -160,6 +170,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     A null text, one without a letter, or no model at all gives `und`, score 0 and rejected. The score is the calibrated
     probability; below the model's threshold a prediction counts as rejected. Columns of these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    found = docs.select(*kept, predictor(docs, model)(F.col("text")).alias("_found"))
-    return found.select(*kept, "_found.lang_pred", "_found.score", "_found.rejected")
+    both = docs.select(F.struct(*(docs[quoted(c)].alias(str(n)) for n, c in enumerate(docs.columns))).alias("old"), predictor(docs, model)(docs["text"]).alias("new"))
+    kept = [F.col(f"old.`{n}`").alias(c) for n, c in enumerate(docs.columns) if c not in ("lang_pred", "score", "rejected")]
+    return both.select(*kept, "new.lang_pred", "new.score", "new.rejected")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.llm.common import quoted
 from quillmark.llm.surrogates import cached, gender_of, hexadecimal, keyed, moved, name, same_form
 
 #: Runs of characters that a number can stand in, and the kinds of numbers, in the order in which a place is tried.
@@ -348,6 +349,6 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     names stay.
     """
     new = rewriter(key)(docs["text"])
-    both = docs.select(F.struct(*(docs[c].alias(str(n)) for n, c in enumerate(docs.columns))).alias("old"), new.alias("new"))
+    both = docs.select(F.struct(*(docs[quoted(c)].alias(str(n)) for n, c in enumerate(docs.columns))).alias("old"), new.alias("new"))
     columns = [F.col("new.text").alias("text") if c == "text" else F.col(f"old.`{n}`").alias(c) for n, c in enumerate(docs.columns) if c != "entities"]
     return both.select(*columns, "new.entities")

@@ -46,7 +46,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = remainder(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     model = language.fit(docs.where(~held_out))
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from quillmark.llm import decontaminate as d
 
@@ -44,6 +45,7 @@ def test_all_items_within_the_budget_are_found(spark, docs, rows, none):
         by_text.setdefault(r.doc_id, r)
     for doc_id, text in texts[:100]:
         want = {(i, n) for i, t in known.items() if len(t) >= d.LEAST and (n := plain(t, d.normal(text))) <= int(d.ERROR_RATE * len(t))}
+        want |= {(i, 0) for i, t in known.items() if len(t) < d.LEAST and re.search(rf"(?<!\S){t}(?!\S)", d.normal(text))}
         assert {tuple(m) for m in by_text[doc_id].matches} == want
         assert by_text[doc_id].contaminated == bool(want)
     assert not any(r.contaminated for r in got if r.doc_id is None or r.doc_id < 1000)
@@ -57,3 +59,9 @@ def test_blocks_hold_all_items(spark, monkeypatch):
     assert sum(map(len, d.blocks(items))) == 7 and len(list(d.blocks(items))) > 2
     docs = spark.createDataFrame([(i, f"so: Item number {i}, with some words of its own {i * i}.") for i in range(7)], "doc_id long, text string")
     assert {(r.doc_id, tuple(m.item_id for m in r.matches if m.distance == 0)) for r in d.contaminated(docs, items).collect()} == {(i, (i,)) for i in range(7)}
+
+
+def test_short_items_are_found_unchanged_as_whole_words():
+    find = d.Matcher([(1, d.normal("What is 2+2? Four.")), (2, d.normal("Oslo")), (3, "")])
+    assert find("He asked: what is 2 + 2?  FOUR!") == [(1, 0)] and find("Oslo") == find("in oslo, so") == [(2, 0)]
+    assert find("Oslos, xoslo") == [] and find("What is 2+3? Four.") == [] and find("") == []

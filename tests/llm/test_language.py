@@ -1,7 +1,10 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quillmark.llm import language
+from tests.llm.conftest import prose
 
 
 def test_held_out_documents(docs, none):
@@ -28,3 +31,33 @@ def test_nothing_to_learn_from(docs, none):
 def test_one_language_and_long_texts(spark):
     docs = spark.createDataFrame([(1, "abc " * 200_000, "xx"), (2, "b", "xx")], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.rejected) for r in language.identify(docs, language.fit(docs)).collect()} == {("xx", False)}
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    rng = random.Random(3)
+    rows = [(n, prose(rng, lang, rng.randint(30, 120)), lang) for n, lang in enumerate(["en", "de"] * 200 + ["fr"] * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(docs, language.fit(docs.where("doc_id < 400 and doc_id % 4 != 2"))).collect()
+    strange = [r.rejected for r in found if r.lang == "fr"]
+    right = [r.rejected for r in found if r.lang != "fr" and r.doc_id % 4 == 2]
+    assert sum(strange) / len(strange) > 0.8 and sum(right) / len(right) < 0.05
+
+
+def test_rare_labels_are_counted_and_left_out(docs):
+    labelled = docs.where("doc_id < 120").union(docs.where("doc_id = 1").withColumn("lang", F.lit("typo")))
+    model = language.fit(labelled, most_languages=3)
+    assert model.languages == ["de", "en", "fr"] and model.left_out == 1
+
+
+def test_sampled_documents_are_bounded(docs, monkeypatch):
+    monkeypatch.setattr(language, "KEPT_GRAMS", 50)
+    monkeypatch.setattr(language, "SAMPLED", 30)
+    rows, left_out = language.sample(docs.where("doc_id < 120"), 600)
+    assert left_out == 0 and max(len(h) for _, h, _ in rows) == 50 and len(rows) < 60
+
+
+def test_columns_of_the_result_are_replaced_and_others_stay(docs):
+    odd = docs.withColumn("_found", F.lit("x")).withColumn("a.b", F.lit(1))
+    got = language.identify(odd, None)
+    assert got.columns == [c for c in odd.columns if c not in ("score", "rejected")] + ["lang_pred", "score", "rejected"]
+    assert got.select("_found").first()[0] == "x" and got.count() == docs.count()
