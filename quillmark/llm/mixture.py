@@ -37,6 +37,12 @@ def targets(sources: DataFrame) -> DataFrame:
     return s.select(*sources.columns, target.alias("target"))
 
 
+def curriculum(weight: Column) -> Column:
+    """A schedule in which sources of weight 1 fade from 1.5 to 0.5 in the course of the training, and those of weight 3 grow from 2.5 to 3.5."""
+    bend = (2 - weight) * 0.5
+    return F.array(*(F.struct(F.lit(t).alias("t"), w.cast("double").alias("w")) for t, w in ((0.0, weight + bend), (1.0, weight - bend))))
+
+
 def constant(weight: Column) -> Column:
     return F.array(*(F.struct(F.lit(t).cast("double").alias("t"), weight.cast("double").alias("w")) for t in (0, 1)))
 
@@ -106,10 +112,11 @@ def training_order(docs: DataFrame, knots: Column | None = None) -> DataFrame:
 
     A copy that is cut has the first of its words, joined by one space. Rows that repeat are taken each.
     """
-    docs = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("_text"))
-    planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), "size", F.explode("copies").alias("copy"))
-    texts = docs.dropDuplicates(["doc_id", "_text"]).select("doc_id", "text", "lang", "source", "_text")
-    rows = texts.join(planned, texts.doc_id.eqNullSafe(planned._doc) & (texts._text == planned._hash))
+    docs = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text", "lang").alias("_text"))
+    planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.col("source").alias("_source"), "size", F.explode("copies").alias("copy"))
+    texts = docs.dropDuplicates(["doc_id", "source", "_text"])
+    same = texts.doc_id.eqNullSafe(planned._doc) & texts.source.eqNullSafe(planned._source) & (texts._text == planned._hash)
+    rows = texts.join(planned, same)
     words = F.col("copy")["words"]
     text = F.when(words < F.col("size"), F.array_join(F.slice(word_array(F.col("text")), 1, words.cast("int")), " ")).otherwise(F.col("text"))
     return by_position(rows.select("doc_id", text.alias("text"), "lang", "source", F.col("copy")["position"].alias("position"), words.alias("words")))

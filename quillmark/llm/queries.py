@@ -52,9 +52,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixture.plan(read(spark, sf_dir, "documents"))
+    planned = mixture.plan(read(spark, sf_dir, "documents"), mixture.curriculum(F.col("weight")))
     first = planned.withColumn("position", F.try_element_at("copies", F.lit(1))["position"])
-    return mixture.by_position(first).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture.by_position(first).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP6_MIXTURE = r"""
@@ -76,15 +76,18 @@ WITH own AS (
 ), rate AS (
   SELECT max(words_left)::DOUBLE / max(others)::DOUBLE AS rate FROM capped WHERE NOT is_capped
 ), goals AS (
-  SELECT source, source_size, CASE WHEN is_capped THEN (3 * source_size)::DOUBLE ELSE weight * rate END AS target FROM capped LEFT JOIN rate ON true
+  SELECT source, source_size, weight, CASE WHEN is_capped THEN (3 * source_size)::DOUBLE ELSE weight * rate END AS target FROM capped LEFT JOIN rate ON true
 ), placed AS (
-  SELECT doc_id, size, source_size, target, round(target)::HUGEINT AS goal,
+  SELECT doc_id, size, source_size, target, round(target)::HUGEINT AS goal, weight + (2 - weight) * 0.5::DOUBLE AS w, (2 - weight) * -1.0::DOUBLE AS slope, weight::DOUBLE AS area,
     coalesce(sum(size) OVER (PARTITION BY own.source ORDER BY place, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM own JOIN goals ON own.source IS NOT DISTINCT FROM goals.source
 )
-SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
-  (CASE WHEN source_size > 0 THEN (goal // source_size) * size + greatest(0, least(size, goal % source_size - start)) ELSE 0 END)::BIGINT AS taken
-FROM placed
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, taken, CASE WHEN taken > 0 THEN least(1.0::DOUBLE, 2 * due / (w + sqrt(greatest(w * w + 2 * slope * due, 0)))) END AS position
+FROM (
+  SELECT *, (start::DOUBLE / greatest(goal, 1)::DOUBLE) * area AS due,
+    (CASE WHEN source_size > 0 THEN (goal // source_size) * size + greatest(0, least(size, goal % source_size - start)) ELSE 0 END)::BIGINT AS taken
+  FROM placed
+)
 """
 
 

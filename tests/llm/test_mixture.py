@@ -65,3 +65,15 @@ def test_training_order(docs, none):
     planned = mixture.plan(docs).collect()
     assert sum(r.words for r in rows) == sum(r.taken for r in planned)
     assert mixture.training_order(none).count() == 0
+
+
+def test_rows_that_repeat_under_two_sources_keep_theirs(spark):
+    rows = [(1, "a b c", "en", "x"), (1, "a b c", "en", "y"), (1, "a b c", "de", "y"), (1, "a b c", "en", None), (1, "a b c", "en", None), (2, None, None, "x"), (None, "d", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    planned = {}
+    for r in mixture.plan(docs, mixture.curriculum(F.col("weight"))).collect():
+        planned[r.source] = planned.get(r.source, 0) + r.taken
+    got = {}
+    for r in mixture.training_order(docs, mixture.curriculum(F.col("weight"))).collect():
+        got[r.source] = got.get(r.source, 0) + r.words
+    assert got == planned and set(got) == {"x", "y", None}
