@@ -17,7 +17,7 @@ import numpy as np
 
 U = np.uint64
 RUN, PAIR, SPAN = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
-BASE, BASE_INVERSE = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE, OTHER_BASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,16 +85,16 @@ def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Sums:
-    """Hashes of any span of a sequence of tokens."""
+    """Hashes of any span of a sequence of tokens: polynomials in an odd base."""
 
-    def __init__(self, tokens: np.ndarray):
+    def __init__(self, tokens: np.ndarray, base: np.uint64 = BASE):
         n = len(tokens)
-        powers = np.full(n + 1, BASE)
+        powers = np.full(n + 1, base)
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
         self.before = np.zeros(n + 1, U)
         np.cumsum(tokens * powers[:n], out=self.before[1:])
-        self.back = np.full(n + 1, BASE_INVERSE)
+        self.back = np.full(n + 1, U(pow(int(base), -1, 1 << 64)))
         self.back[0] = 1
         np.multiply.accumulate(self.back, out=self.back)
 

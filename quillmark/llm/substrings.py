@@ -13,29 +13,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import arrow_schema, shuffle_partitions, written
-from quillmark.llm.recompress import Sums, anchors, mix, word_tokens
+from quillmark.llm.recompress import OTHER_BASE, Sums, anchors, mix, word_tokens
 
+SECOND = np.uint64(0x27D4EB2F165667C5)
 #: Bytes of texts named together, and anchors held in a task until equal ones become one row.
 BYTES_HELD, ANCHORS_HELD = 320_000, 1_000_000
-OCCURRENCES = "route long, span long, doc long, first int, n int, times int"
-WINDOWS = "hash long, doc long, first int, place int, alone boolean"
+OCCURRENCES = "route long, span long, other long, doc long, first int, n int, times int"
+WINDOWS = "route long, hash long, other long, doc long, first int, place int, alone boolean, times int"
+
+
+def once_each(hashes: np.ndarray, others: np.ndarray, route: np.ndarray, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row goes, and how many it stands for, of rows whose equality is two hashes being the same.
+
+    The first of equal rows goes along its route and stands for all of them; the others are repeats whatever comes, stand for
+    none and go anywhere. A row that shares just the first hash with its first stands for itself.
+    """
+    _, example, of = np.unique(hashes, return_index=True, return_inverse=True)
+    same = others == others[example[of]]
+    times = np.bincount(of[same], minlength=len(example)).astype(np.int32)
+    to, count = np.where(same, elsewhere, route), np.where(same, 0, 1).astype(np.int32)
+    to[example], count[example] = route[example], times
+    return to, count
+
+
+def other_sums(tokens: np.ndarray) -> Sums:
+    """Hashes that don't depend on those of Sums: of other numbers for the tokens, in another base."""
+    return Sums(mix(tokens ^ SECOND), OTHER_BASE)
 
 
 def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts' windows: name, hash of all words of the windows that share it, text, first window, their number."""
+    """Anchors of the texts' windows: name, two hashes of all words of the windows that share it, text, first window, their number."""
     tokens, sizes = word_tokens(texts)
     offsets, part = np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(len(texts)), sizes)
     starts = np.flatnonzero(np.arange(len(tokens)) + width <= offsets[1:][part]) if len(tokens) else np.zeros(0, np.int64)
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     name, at = anchors(tokens, part, starts, width)
     new = np.r_[True, (at[1:] != at[:-1]) | (name[1:] != name[:-1]) | (starts[1:] != starts[:-1] + 1)]
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
-    span = Sums(tokens)(first, first + n - 1 + width)
-    span = mix(span ^ mix((at[begin] - first).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)) ^ mix(name[begin]))
-    return name[begin].astype(np.int64), span.astype(np.int64), part[first], first - offsets[part[first]], n
+    shape = mix((at[begin] - first).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)) ^ mix(name[begin])
+    span, other = (mix(sums(tokens)(first, first + n - 1 + width) ^ shape).astype(np.int64) for sums in (Sums, other_sums))
+    return name[begin].astype(np.int64), span, other, part[first], first - offsets[part[first]], n
 
 
 def found_anchors(docs: DataFrame, width: int) -> DataFrame:
@@ -47,11 +67,9 @@ def found_anchors(docs: DataFrame, width: int) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def rows():
-            anchor, span, doc, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            _, example, of, times = np.unique(span, return_index=True, return_inverse=True, return_counts=True)
-            route, count = mix(doc.astype(np.uint64) + first.astype(np.uint64)).astype(np.int64), np.zeros(len(span), np.int32)
-            route[example], count[example] = anchor[example], times
-            columns = (route, span, doc, first.astype(np.int32), n.astype(np.int32), count)
+            anchor, span, other, doc, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            route, count = once_each(span, other, anchor, mix(doc.astype(np.uint64) + first.astype(np.uint64)).astype(np.int64))
+            columns = (route, span, other, doc, first.astype(np.int32), n.astype(np.int32), count)
             for at in range(0, len(span), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
@@ -62,8 +80,8 @@ def found_anchors(docs: DataFrame, width: int) -> DataFrame:
                 texts.append(text)
                 size += len(text)
                 if size > BYTES_HELD or i == len(every) - 1:
-                    anchor, span, part, first, n = occurrences(texts, width)
-                    held.append((anchor, span, keys[part + first_key], first, n))
+                    anchor, span, other, part, first, n = occurrences(texts, width)
+                    held.append((anchor, span, other, keys[part + first_key], first, n))
                     texts, size, first_key = [], 0, i + 1
             if sum(len(h[0]) for h in held) > ANCHORS_HELD:
                 yield from rows()
@@ -92,6 +110,15 @@ def open_windows(joined: DataFrame, width: int) -> DataFrame:
     arrow = arrow_schema(joined.sparkSession, WINDOWS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def rows():
+            one, other, doc, first, place, alone = (np.concatenate(c) for c in zip(*held, strict=True))
+            route, count = once_each(one, other, one, mix(doc.astype(np.uint64) + first.astype(np.uint64)).astype(np.int64))
+            columns = (route, one, other, doc, first, place, alone, count)
+            for at in range(0, len(one), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
         for b in batches:
             of, first, n, kind = listed(b.column(2), "first", "n", "kind")
             opened = kind > 0
@@ -100,8 +127,14 @@ def open_windows(joined: DataFrame, width: int) -> DataFrame:
                 continue
             tokens, sizes = word_tokens(b.column(1).cast(pa.binary()).to_pylist())
             start, r = every((np.cumsum(sizes) - sizes)[of] + first, n)
-            columns = (Sums(tokens)(start, start + width).astype(np.int64), b.column(0).to_numpy()[of[r]], first[r].astype(np.int32), (start - (np.cumsum(sizes) - sizes)[of[r]] - first[r]).astype(np.int32), kind[r] == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+            place = (start - (np.cumsum(sizes) - sizes)[of[r]] - first[r]).astype(np.int32)
+            hashes = (sums(tokens)(start, start + width).astype(np.int64) for sums in (Sums, other_sums))
+            held.append((*hashes, b.column(0).to_numpy()[of[r]], first[r].astype(np.int32), place, kind[r] == 1))
+            if sum(len(h[0]) for h in held) > ANCHORS_HELD:
+                yield from rows()
+                held.clear()
+        if held:
+            yield from rows()
 
     return joined.mapInArrow(run, WINDOWS)
 
@@ -138,14 +171,15 @@ def without_repeats(docs: DataFrame, *, width: int = 35, digest: bool = False) -
     are held together first: where the words of all of them are the same elsewhere, they go as one. What is left open, one
     example for each different span of a shared anchor, is settled window by window.
     Texts are named in the tasks; anchors, not windows, are shuffled, and texts once by document. Null texts have no words;
-    repeated rows count as copies of each other, and come out each; other columns are ignored. Equality is by 64-bit hashes.
+    repeated rows count as copies of each other, and come out each; other columns are ignored. Anchors only bring together what
+    may be equal; equality of spans and windows is by two independent 64-bit hashes of their words, 128 bits together.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
+    docs = written(docs.withColumn("_doc", F.monotonically_increasing_id()))
     seen = found_anchors(docs, width).repartition(parts, "route")
-    same_anchor, same_span = Window.partitionBy("route"), Window.partitionBy("route", "span")
+    same_anchor, same_span = Window.partitionBy("route"), Window.partitionBy("route", "span", "other")
     seen = seen.withColumn("_span", F.sum("times").over(same_span)).withColumn("_nth", F.row_number().over(same_span.orderBy("doc", "first")))
     seen = seen.withColumn("_all", F.sum("times").over(same_anchor))
     again = F.col("times") == 0
@@ -155,7 +189,7 @@ def without_repeats(docs: DataFrame, *, width: int = 35, digest: bool = False) -
     ranges = written(ranges.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("range").alias("ranges")))
     by_doc = docs.repartition(parts, "_doc")
     joined = by_doc.join(ranges.where(F.exists("ranges", lambda r: r["kind"] > 0)), "_doc").select("_doc", "text", "ranges")
-    windows = open_windows(joined.dropDuplicates(["_doc"]), width)
+    windows = open_windows(joined, width)
     singles = written(repeated(windows, parts))
     whole = by_doc.join(ranges, "_doc", "left").join(singles, "_doc", "left").select("doc_id", "text", "ranges", "singles")
     schema = DIGEST if digest else KEPT
@@ -179,7 +213,8 @@ def without_repeats(docs: DataFrame, *, width: int = 35, digest: bool = False) -
 
 
 def repeated(windows: DataFrame, parts: int) -> DataFrame:
-    """(_doc, singles): of the open anchors, the windows whose hash stands more than once."""
-    twice = windows.repartition(parts, "hash").withColumn("_n", F.count("*").over(Window.partitionBy("hash"))).where("_n > 1 and alone")
+    """(_doc, singles): of the open anchors, the windows whose words stand more than once."""
+    same = Window.partitionBy("route", "hash", "other")
+    twice = windows.repartition(parts, "route").withColumn("_n", F.sum("times").over(same)).where("alone and (times = 0 or _n > 1)")
     masks = twice.groupBy("doc", "first").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     return masks.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "mask")).alias("singles"))

@@ -2,9 +2,10 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from quillmark.llm import substrings
+from quillmark.llm import recompress, substrings
 
 
 def plain(texts, width):
@@ -61,3 +62,18 @@ def test_long_passages_in_many_texts(spark):
         a = rng.randint(0, 10)
         texts.append(" ".join(own[:20] + passage[a : a + rng.randint(30, 50)] + own[20:]))
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 35)
+
+
+def test_rows_that_share_one_hash_alone_are_not_the_same():
+    rng = np.random.default_rng(1)
+    one, other = rng.integers(0, 3, 400), rng.integers(0, 5, 400)
+    route, times = substrings.once_each(one, other, one + 10, np.full(400, -1))
+    assert times.sum() == 400 and ((route == -1) == (times == 0)).all()
+    assert all(times[(one == a) & (other == b)].sum() == ((one == a) & (other == b)).sum() for a in range(3) for b in range(5))
+
+
+def test_hashes_are_independent_of_each_other():
+    tokens = recompress.mix(np.arange(3000, dtype=np.uint64) % np.uint64(11))
+    at = np.arange(2900)
+    one, other = recompress.Sums(tokens)(at, at + 40), substrings.other_sums(tokens)(at, at + 40)
+    assert len(set(one.tolist())) == len(set(other.tolist())) == 11 and not set(one.tolist()) & set(other.tolist())
