@@ -94,23 +94,24 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
-def assess(docs: DataFrame, *, most_class: float = 0.25, most_word: float = 0.3, least_class_words: int = 100, least_word_words: int = 150) -> DataFrame:
+def assess(docs: DataFrame, *, most_class: float = 0.25, most_class_short: float = 0.3, most_word: float = 0.3, least_class_words: int = 50, full_class_words: int = 100, least_word_words: int = 150) -> DataFrame:
     """doc_id, the counts, base_failed and kept, for every row of docs(doc_id, text, lang).
 
     Fails the base: fewer than 20 words, or over 30 % of the words inside repeated windows. What passes is kept unless its
-    character classes are further than most_class, or its frequent words further than most_word, from those of all documents
-    of its language taken together; documents under least_class_words or least_word_words words are not held against
+    character classes are further than most_class (under full_class_words words, most_class_short), or its frequent words further than most_word, from those of all documents
+    of its language that pass the base, taken together; documents under least_class_words or least_word_words words are not held against
     that histogram, for few words say little. A null lang is a language of its own; one without a word list has only the
     character classes. Null and empty texts have no words and fail. Repeated rows come out each; other columns are ignored.
     """
     each = checkpointed(measures(docs))
     lengths = {c: max([0, *(len(v) for v in COMMON_WORDS.values())]) + 1 if c == "word_counts" else len(CLASSES) + 2 for c in ("class_counts", "word_counts")}
     sums = [F.sum(F.coalesce(F.get(c, F.lit(k)), F.lit(0))).alias(f"{c}_{k}") for c, n in lengths.items() for k in range(n)]
-    usual = each.groupBy("lang").agg(*sums).select(F.col("lang").alias("_lang"), *(F.array(*(F.col(f"{c}_{k}") for k in range(n))).alias(f"usual_{c}") for c, n in lengths.items()))
-    held = each.join(usual, each.lang.eqNullSafe(usual._lang))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    usual = each.where(~failed).groupBy("lang").agg(*sums).select(F.col("lang").alias("_lang"), *(F.array(*(F.col(f"{c}_{k}") for k in range(n))).alias(f"usual_{c}") for c, n in lengths.items()))
+    held = each.join(usual, each.lang.eqNullSafe(usual._lang), "left")
     padded = F.transform(F.sequence(F.lit(0), F.lit(lengths["word_counts"] - 1)), lambda k: F.coalesce(F.get("word_counts", k), F.lit(0).cast("long")))
     held = held.withColumn("class_distance", js_distance(shares(F.col("class_counts")), shares(F.col("usual_class_counts"))))
     held = held.withColumn("word_distance", js_distance(shares(padded), shares(F.col("usual_word_counts"))))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    far = ((F.col("n_words") >= least_class_words) & (F.col("class_distance") > most_class)) | ((F.col("n_words") >= least_word_words) & (F.col("word_distance") > most_word))
-    return held.select("doc_id", *NAMES, failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "word_distance")
+    far_class = F.col("class_distance") > F.when(F.col("n_words") >= full_class_words, most_class).otherwise(most_class_short)
+    far = ((F.col("n_words") >= least_class_words) & far_class) | ((F.col("n_words") >= least_word_words) & (F.col("word_distance") > most_word))
+    return held.select("doc_id", *NAMES, failed.alias("base_failed"), (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"), "class_distance", "word_distance")

@@ -118,14 +118,14 @@ WITH w AS MATERIALIZED (
   SELECT r, lang, 'class' AS kind, unnest(range(6)) AS k, unnest(list_concat(found, [chars - word_chars, word_chars - list_sum(found)])) AS n FROM base
   UNION ALL SELECT r, lang, 'word', unnest(range(len(seen) + 1)), unnest(list_append(seen, greatest(n_words - coalesce(list_sum(seen), 0), 0))) FROM base
 ), usual AS (
-  SELECT lang, kind, k, sum(n) AS u FROM entries GROUP BY ALL
+  SELECT lang, kind, k, sum(n) AS u FROM entries WHERE r IN (SELECT r FROM base WHERE n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words) GROUP BY ALL
 ), share AS (
   SELECT r, e.kind, coalesce(n / nullif(sum(n) OVER (PARTITION BY r, e.kind), 0), 0) AS p, coalesce(u / nullif(sum(u) OVER (PARTITION BY r, e.kind), 0), 0) AS q
-  FROM entries e JOIN usual ON e.lang IS NOT DISTINCT FROM usual.lang AND e.kind = usual.kind AND e.k = usual.k
+  FROM entries e LEFT JOIN usual ON e.lang IS NOT DISTINCT FROM usual.lang AND e.kind = usual.kind AND e.k = usual.k
 ), far AS (
   SELECT r, kind, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0)) AS d FROM share GROUP BY ALL
 ), judged AS (
-  SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (n_words >= 100 AND c.d > 0.25) OR (n_words >= 150 AND v.d > 0.3) AS is_far
+  SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (n_words >= 50 AND c.d > CASE WHEN n_words >= 100 THEN 0.25 ELSE 0.3 END) OR (n_words >= 150 AND v.d > 0.3) AS is_far
   FROM base JOIN far c ON c.r = base.r AND c.kind = 'class' JOIN far v ON v.r = base.r AND v.kind = 'word'
 )
 SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT is_far AS kept FROM judged
@@ -149,7 +149,7 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = scoring.score(docs, F.coalesce(remainder(F.col("doc_id"), 5) != 1, F.lit(True)))
     held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

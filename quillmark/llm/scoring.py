@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -80,7 +81,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     """(key, n, logp): log10 of the probability that the model gives each byte gram's last byte."""
     n = shuffle_partitions(grams.sparkSession)
     together = grams.withColumn("_two", F.shiftrightunsigned("key", 8).bitwiseAND(0xFFFF)).repartition(n, "_two").select("key", "n")
-    nodes_schema, scores_schema = "code long, zeros double, ones double, weighted double", "key long, n long, logp double"
+    nodes_schema, scores_schema = "code long, zeros double, ones double, weighted double", "key long, n long, logp float"
     nodes_arrow, scores_arrow = arrow_schema(grams.sparkSession, nodes_schema), arrow_schema(grams.sparkSession, scores_schema)
 
     def whole(batches):
@@ -102,7 +103,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     def scores(batches):
         keys, counts = whole(batches)
         if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(tree.log_probabilities(keys, counts, shared.value))], schema=scores_arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(tree.log_probabilities(keys, counts, shared.value).astype(np.float32))], schema=scores_arrow)
 
     return together.mapInArrow(scores, scores_schema)
 
@@ -119,7 +120,7 @@ def frequent(rows: DataFrame, most: int) -> tuple[int, pa.Table]:
     return least, rows.where(F.col("n") >= least).toArrow()
 
 
-ROWS = "doc_id long, n_tokens long, known long, logs double, found double, rare array<long>, grams array<long>"
+ROWS = "doc_id long, n_tokens long, known long, logs double, found double, n_scored long, rare array<long>, grams array<long>"
 
 
 def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup: tree.Lookup) -> DataFrame:
@@ -138,7 +139,7 @@ def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup:
                 g = tree.byte_grams(b" ".join(own[:-1]))
                 value = find(g)
                 rare = np.isnan(value)
-                out.append((float(value[~rare].sum(dtype=np.float64)), g[rare].astype(np.int64)))
+                out.append((float(value[~rare].sum(dtype=np.float64)), len(g), g[rare].astype(np.int64)))
             ids, words = numbered(docs_tokens)
             docs_words = np.split(ids, np.cumsum([len(own) for own in docs_tokens])[:-1])
             every = np.fromiter(map(word_key, words), np.int64, len(words))
@@ -153,9 +154,10 @@ def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup:
                 [len(i) for i in docs_words],
                 [int(k.sum()) for k in known],
                 [float(value[i].sum()) for i in docs_words],
-                [s for s, _ in out],
+                [s for s, _, _ in out],
+                [n for _, n, _ in out],
                 [every[i[~k]] for i, k in zip(docs_words, known, strict=True)],
-                [g for _, g in out],
+                [g for _, _, g in out],
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
@@ -163,11 +165,11 @@ def scored(docs: DataFrame, known_words: tuple[np.ndarray, np.ndarray], lookup:
 
 
 def score(docs: DataFrame, train: Column, *, broadcast_grams: int = BROADCAST_GRAMS, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs(doc_id, text).
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of docs(doc_id, text).
 
     train: which documents the models learn from; null counts as no. A text is its words in small letters (A-Z) with one
     space between, and an end. base_score sums log10((c + 0.5) / (N + 0.5 * (V + 1))) over words and end. score is the log10
-    probability of all its bytes and the end under context-tree weighting. Counts are of all training documents: byte
+    probability of all its bytes and the end under context-tree weighting, bits_per_byte their code length in bits for each of them. Counts are of all training documents: byte
     grams are counted in the tasks, then by key, and a tree's nodes meet by their last two bytes. Null and empty texts are
     an end alone. With no training document every bit has one half. Repeated rows are learned from and scored each; other
     columns are ignored. Words are known by 64-bit hashes.
@@ -176,7 +178,7 @@ def score(docs: DataFrame, train: Column, *, broadcast_grams: int = BROADCAST_GR
     counts = written(counted(docs, "_train"))
     words, grams = counts.where("kind = 1").select("key", "n"), counts.where("kind = 0").select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = written(gram_scores(grams)) if grams.limit(1).count() else grams.withColumn("logp", F.lit(0.0))
+    model = written(gram_scores(grams)) if grams.limit(1).count() else grams.withColumn("logp", F.lit(0.0).cast("float"))
     least_gram, table = frequent(model, broadcast_grams)
     lookup = tree.Lookup(table["key"].to_numpy().astype(np.uint64), table["logp"].to_numpy())
     least, table = frequent(words, broadcast_words)
@@ -188,9 +190,9 @@ def score(docs: DataFrame, train: Column, *, broadcast_grams: int = BROADCAST_GR
     rare = rare.groupBy("_row").agg(F.count("*").alias("_known"), F.sum(F.log10(F.col("n") + 0.5)).alias("_logs"))
     each = each.join(rare, "_row", "left")
     by_gram = each.select("_row", F.explode("grams").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("_times"))
-    by_gram = by_gram.join(model.where(F.col("n") < least_gram), "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("logp")).alias("_joined"))
+    by_gram = by_gram.join(model.where(F.col("n") < least_gram), "key").groupBy("_row").agg(F.sum(F.col("_times") * F.col("logp").cast("double")).alias("_joined"))
     each = each.join(by_gram, "_row", "left").withColumn("score", F.col("found") + F.coalesce("_joined", F.lit(0.0)))
     n_known = F.col("known") + F.coalesce("_known", F.lit(0))
     unknown = (F.col("n_tokens") - n_known) * F.log10(F.lit(0.5))
     base = F.col("logs") + F.coalesce("_logs", F.lit(0.0)) + unknown - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))
-    return each.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return each.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * math.log2(10) / F.col("n_scored")).alias("bits_per_byte"))

@@ -58,7 +58,7 @@ def plain(rows, training):
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
         b = bytes(tree.DEPTH) + b" ".join(t) + b"\n"
         score = sum(p(b[i - tree.DEPTH : i], b[i]) for i in range(tree.DEPTH, len(b)))
-        out.append((r.doc_id, len(own), sum(c[w] > 0 for w in own), n, pytest.approx(base), pytest.approx(score, rel=1e-5)))
+        out.append((r.doc_id, len(own), sum(c[w] > 0 for w in own), n, pytest.approx(base), pytest.approx(score, rel=1e-5), pytest.approx(-score * math.log2(10) / (len(b) - tree.DEPTH), rel=1e-5)))
     return sorted(out, key=lambda x: repr(x[0]))
 
 
@@ -74,6 +74,12 @@ def test_against_the_definition(spark, none, grams, words):
     assert scoring.score(none, train, broadcast_grams=grams).count() == 0
 
 
+def test_what_is_broadcast_changes_no_score(docs):
+    some = docs.where("doc_id < 40")
+    each = [{r.doc_id: r.score for r in scoring.score(some, F.col("doc_id") % 5 != 1, broadcast_grams=n).collect()} for n in (10**6, 200, 0)]
+    assert all(each[0][d] == pytest.approx(e[d], rel=1e-12) for e in each for d in e)
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "ab")], "doc_id long, text string")
     (row,) = scoring.score(docs, F.lit(False)).collect()
