@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import checkpointed, word_array
+from quillmark.llm.common import checkpointed, word_array, written
 
 #: Hex digits of the ordering hash that cut a source into parts, so that its running sums need no single task.
 PART_DIGITS = 3
@@ -113,10 +113,15 @@ def training_order(docs: DataFrame, knots: Column | None = None) -> DataFrame:
     A copy that is cut has the first of its words, joined by one space. Rows that repeat are taken each.
     """
     docs = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text", "lang").alias("_text"))
-    planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.col("source").alias("_source"), "size", F.explode("copies").alias("copy"))
-    texts = docs.dropDuplicates(["doc_id", "source", "_text"])
-    same = texts.doc_id.eqNullSafe(planned._doc) & texts.source.eqNullSafe(planned._source) & (texts._text == planned._hash)
-    rows = texts.join(planned, same)
+    planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.col("source").alias("_source"), "size", "copies")
+    repeated = Window.partitionBy("_doc", "_source", "_hash")
+    planned = written(planned.withColumn("_n", F.count("*").over(repeated)).withColumn("copy", F.explode("copies")).drop("copies"))
+    again = written(planned.where("_n > 1").select("_doc", "_source", "_hash").distinct())
+    once = lambda of: docs.doc_id.eqNullSafe(of._doc) & docs.source.eqNullSafe(of._source) & (docs._text == of._hash)
+    rows = docs.join(planned.where("_n = 1"), once(planned))
+    if again.limit(1).count():
+        repeats = docs.join(again, once(again), "left_semi").dropDuplicates(["doc_id", "source", "_text"])
+        rows = rows.unionByName(repeats.join(planned.where("_n > 1"), once(planned)))
     words = F.col("copy")["words"]
     text = F.when(words < F.col("size"), F.array_join(F.slice(word_array(F.col("text")), 1, words.cast("int")), " ")).otherwise(F.col("text"))
     return by_position(rows.select("doc_id", text.alias("text"), "lang", "source", F.col("copy")["position"].alias("position"), words.alias("words")))
