@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmark.functions import timing
+
 #: Updates that say what becomes of a paper.
 INTEGRITY_KINDS = {
     "correction": ["correction", "corrigendum", "erratum"],
@@ -93,6 +95,18 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     return F.struct(value.alias("value"), precision.alias("precision"))
 
 
+def provider_date(updated: Column) -> Column:
+    """struct(value, precision) of {"date-time": …, "date-parts": [[…]]}: the time to the second if it says its zone, else the parts."""
+    second = timing.instant_text(F.get_json_object(updated, "$.date-time"))
+    parts = F.from_json(F.get_json_object(updated, "$['date-parts']"), "array<array<int>>")
+    own = F.get(parts, F.lit(0))
+    whole = (F.size(parts) == 1) & F.size(own).between(1, 3) & ~F.exists(own, lambda x: x.isNull())
+    date = partial_date(F.get(own, F.lit(0)), F.get(own, F.lit(1)), F.get(own, F.lit(2)))
+    value = F.coalesce(second, F.when(whole, date["value"]))
+    precision = F.when(second.isNotNull(), "second").when(whole, date["precision"])
+    return F.struct(value.alias("value"), precision.alias("precision"))
+
+
 def micros(usd: Column) -> Column:
     """Dollars as a decimal string to whole millionths, upwards."""
     return F.ceil(usd.cast("decimal(38,12)") * 1_000_000).cast("long")

@@ -36,3 +36,24 @@ def local_cutoff(now: Column, zone: Column, hour: Column, minute: Column) -> Col
 def window_end(source: Column, now: Column) -> Column:
     """Where a window of a source may end: at a day for pubmed, at a minute for arxiv, anywhere for others."""
     return F.when(source == "pubmed", F.date_trunc("day", now)).when(source == "arxiv", F.date_trunc("minute", now)).otherwise(now)
+
+
+def instant(value: Column) -> Column:
+    """The timestamp of an ISO text that says its zone; null for any other."""
+    whole = value.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$")
+    return F.when(whole, F.try_to_timestamp(F.regexp_replace(value, " ", "T")))
+
+
+def instant_text(value: Column) -> Column:
+    """The same in UTC as ISO text, with a fraction only where there is one."""
+    utc = F.to_utc_timestamp(instant(value), F.current_timezone())
+    fraction = F.when(F.date_format(utc, "SSSSSS") != "000000", F.date_format(utc, ".SSSSSS")).otherwise("")
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number, or an HTTP date, which is no wait once past; null for anything else."""
+    day = F.regexp_extract(value, r"^[A-Z][a-z]{2}, (\d{2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
+    due = F.try_to_timestamp(F.concat(F.nullif(day, F.lit("")), F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss Z"))
+    wait = F.when(due.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(due) - F.unix_micros(now)) / 1e6))
+    return F.when(value.rlike(r"^\d{1,10}$"), value.cast("double")).otherwise(wait)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmark.sources.folders import shared_folder
+
 MOST_HOPS = 128
 
 
 def _saved(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -27,8 +25,10 @@ def closure(aliases: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
     reach = 1
     while reach < most_hops:
         further = step.select(F.col("alias_id").alias("to"), F.col("to").alias("_next"), F.col("hops").alias("_more"))
-        step = _saved(step.join(further, "to", "left").select("alias_id", F.coalesce("_next", "to").alias("to"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops")))
-        reach *= 2
+        met = _saved(step.join(further, "to", "left").select("alias_id", F.coalesce("_next", "to").alias("to"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("_went")))
+        step, reach = met.drop("_went"), reach * 2
+        if not met.where("_went").limit(1).count():  # all chains have ended
+            break
     last = step.join(aliases.select(F.col("alias_id").alias("to"), F.lit(True).alias("_open")), "to", "left")
     ended = F.col("_open").isNull() & (F.col("hops") <= most_hops)
     return last.select("alias_id", F.when(ended, F.col("to")).alias("canonical_id"), F.when(ended, F.col("hops")).alias("hops"), F.when(ended, "ok").otherwise("cycle").alias("status"))

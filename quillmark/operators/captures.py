@@ -102,4 +102,4 @@ def finalisable(latest: DataFrame) -> Column:
 def maintenance(finalise: DataFrame, repair: DataFrame, budget: int) -> DataFrame:
     """(window_id, action) within one tick's budget: windows to finalise first, then repairs, each in its own order (place)."""
     both = finalise.select("window_id", "place", F.lit("finalise").alias("action"), F.lit(0).alias("_k")).union(repair.select("window_id", "place", F.lit("repair"), F.lit(1)))
-    return both.withColumn("_n", F.row_number().over(Window.orderBy("_k", "place", "window_id"))).where(F.col("_n") <= budget).select("window_id", "action")
+    return both.orderBy("_k", "place", "window_id").limit(budget).select("window_id", "action")

@@ -39,10 +39,58 @@ def number_findings(pairs: DataFrame) -> DataFrame:
 
 
 def cites_phrase(rows: DataFrame, phrases: list[str]) -> DataFrame:
-    """rows(decision, quotes) with gated: a direct decision whose quotes have none of the phrases as words becomes adjacent."""
+    """rows(decision, quotes) with error direct_evidence_missing where a direct decision's quotes have none of the phrases as words."""
     pattern = r"(?i)(^|[^A-Za-z0-9])(" + "|".join(phrases) + r")([^A-Za-z0-9]|$)"
     found = F.exists("quotes", lambda q: q.rlike(pattern))
-    return rows.withColumn("gated", F.when((F.col("decision") == "direct") & ~found, "adjacent").otherwise(F.col("decision")))
+    return rows.withColumn("error", F.when((F.col("decision") == "direct") & ~found, "direct_evidence_missing"))
+
+
+#: Keys of a relevance answer, and its decisions.
+RELEVANCE_KEYS = ["schema_version", "snapshot_id", "profile_id", "domain_id", "input_fingerprint", "profile_revision", "domain_revision", "decision", "recommendation_reason", "anchor_ids"]
+DECISIONS = ["direct", "adjacent", "uncertain", "irrelevant"]
+
+
+def parsed_relevance(candidates: DataFrame, anchors: DataFrame, phrases: dict[str, list[str]], model: str, most_anchors: int = 16, longest: int = 4096) -> DataFrame:
+    """(run_id, decision, reason, anchor_ids, error) of candidates: run_id, model_name, finish_reason, content_json and what was asked:
+    schema_version, snapshot_id, profile_id, domain_id, input_fingerprint, profile_revision, domain_revision.
+
+    A refused answer has an error alone. phrases: words that a direct decision of a domain must cite from anchors(snapshot_id,
+    anchor_id, quote).
+    """
+    asked = RELEVANCE_KEYS[:7]
+    kinds = {"profile_revision": "int", "domain_revision": "int", "anchor_ids": "array<string>"}
+    schema = ", ".join(f"`{k}` {kinds.get(k, 'string')}" for k in RELEVANCE_KEYS)
+    rows = candidates.withColumn("_r", F.from_json("content_json", schema)).withColumn("_keys", F.array_sort(F.json_object_keys("content_json")))
+    known = anchors.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("anchor_id", "quote"))).alias("_known"))
+    rows = rows.join(known, "snapshot_id", "left").withColumn("_known", F.coalesce("_known", F.create_map().cast("map<string,string>")))
+    r = lambda k: F.col("_r")[k]
+    ids, reason = r("anchor_ids"), F.regexp_replace(r("recommendation_reason"), r"^\s+|\s+$", "")
+    other = F.lit(False)
+    for k in asked:
+        other = other | ~F.coalesce(r(k) == F.col(k), F.lit(False))
+    fine = r("decision").isin(DECISIONS) & F.length(reason).between(1, longest) & ~r("recommendation_reason").contains("\0") & (F.size(ids) <= most_anchors)
+    fine = fine & F.forall(ids, lambda a: F.map_contains_key("_known", a)) & (F.size(F.array_distinct(ids)) == F.size(ids)) & (~r("decision").isin("direct", "adjacent") | (F.size(ids) > 0))
+    gate = F.lit(False)
+    for domain, words in phrases.items():
+        pattern = r"(?i)(^|[^A-Za-z0-9])(" + "|".join(words) + r")([^A-Za-z0-9]|$)"
+        cited = F.transform(ids, lambda a: F.element_at("_known", a))
+        gate = gate | ((F.col("domain_id") == domain) & (r("decision") == "direct") & ~F.array_join(cited, "\n").rlike(pattern))
+    error = (
+        F.when(F.col("model_name") != model, "relevance_model_mismatch")
+        .when(F.col("finish_reason") != "stop", "incomplete_relevance_response")
+        .when(F.coalesce(F.col("_keys") != F.array_sort(F.array(*map(F.lit, RELEVANCE_KEYS))), F.lit(True)), "invalid_relevance_response")
+        .when(other, "relevance_version_mismatch")
+        .when(~F.coalesce(fine, F.lit(False)), "invalid_relevance_response")
+        .when(gate, "direct_evidence_missing")
+    )
+    rows = rows.withColumn("error", error)
+    kept = lambda c: F.when(F.col("error").isNull(), c)
+    return rows.select("run_id", kept(r("decision")).alias("decision"), kept(r("recommendation_reason")).alias("reason"), kept(F.array_sort(ids)).alias("anchor_ids"), "error")
+
+
+def in_order(anchors: DataFrame) -> DataFrame:
+    """anchors(snapshot_id, offset_start, offset_end, anchor_id) with place, from 1 in each snapshot."""
+    return anchors.withColumn("place", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("offset_start", "offset_end", "anchor_id")))
 
 
 def claims_outside(claims: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -58,8 +106,11 @@ def parsed_claims(candidates: DataFrame, anchors: DataFrame, kinds: list[str], m
     """
     schema = "struct<snapshot_id:string,input_fingerprint:string,claims:array<struct<claim_type:string,anchor_ids:array<string>>>>"
     rows = candidates.withColumn("_r", F.from_json("content_json", schema))
+    keys = lambda c, *names: F.coalesce(F.array_sort(F.json_object_keys(c)) == F.array_sort(F.array(*map(F.lit, names))), F.lit(False))
+    each = F.from_json(F.get_json_object("content_json", "$.claims"), "array<string>")
+    closed = keys(F.col("content_json"), "snapshot_id", "input_fingerprint", "claims") & F.forall(each, lambda c: keys(c, "claim_type", "anchor_ids"))
     whole = (
-        F.when(F.col("_r.claims").isNull(), "invalid_response")
+        F.when(F.col("_r.claims").isNull() | ~F.coalesce(closed, F.lit(False)), "invalid_response")
         .when(F.col("_r.snapshot_id") != F.col("snapshot_id"), "snapshot_mismatch")
         .when(F.col("_r.input_fingerprint") != F.col("input_fingerprint"), "input_mismatch")
     )

@@ -60,34 +60,62 @@ def relation_entries(items: DataFrame) -> DataFrame:
     )
 
 
-def integrity_entries(items: DataFrame) -> DataFrame:
-    """(item_id, direction, ordinal, counterparty, kind, updated, precision) of items(item_id, json): both directions' updates."""
+def _updates(items: DataFrame) -> DataFrame:
+    """(item_id, direction, path, ordinal, _raw): entries of both directions' lists, and what is no list with null ordinal."""
+
+    def one(key: str) -> DataFrame:
+        rows = items.select("item_id", F.get_json_object("json", f"$['{key}']").alias("_all")).where("_all is not null")
+        entries = F.when(F.col("_all").startswith("["), F.from_json("_all", "array<string>"))
+        rows = rows.select("item_id", "_all", F.posexplode_outer(entries).alias("ordinal", "_raw")).where("not (ordinal is null and _all = '[]')")
+        path = F.when(F.col("ordinal").isNull(), key).otherwise(F.format_string(f"{key}[%d]", "ordinal"))
+        return rows.select("item_id", F.lit(key.replace("-", "_")).alias("direction"), path.alias("path"), "ordinal", "_raw")
+
+    rows = one("update-to").union(one("updated-by"))
+    get = lambda k: F.get_json_object("_raw", f"$.{k}")
+    rows = rows.withColumns({"_object": F.coalesce(F.col("_raw").startswith("{"), F.lit(False)), "_doi": get("DOI"), "_type": get("type"), "_source": get("source"), "_label": get("label"), "_updated": get("updated")})
+    return rows.withColumn("_date", texts.provider_date(F.col("_updated")))
 
-    def one(key: str, direction: str) -> DataFrame:
-        updates = F.from_json(F.get_json_object("json", f"$['{key}']"), "array<string>")
-        rows = items.select("item_id", F.posexplode(updates).alias("ordinal", "_raw"))
-        rows = rows.withColumn("_e", F.from_json("_raw", "struct<DOI:string,type:string,updated:struct<`date-parts`:array<array<int>>>>"))
-        part = lambda n: F.get(F.get(F.col("_e")["updated"]["date-parts"], F.lit(0)), F.lit(n))
-        date = texts.partial_date(part(0), part(1), part(2))
-        rows = rows.select("item_id", "ordinal", F.col("_e")["DOI"].alias("counterparty"), F.col("_e")["type"].alias("_type"), date.alias("_date"))
-        return rows.select("item_id", F.lit(direction).alias("direction"), "ordinal", "counterparty", texts.integrity_kind(F.col("_type")).alias("kind"), F.col("_date.value").alias("updated"), F.col("_date.precision").alias("precision"))
 
-    return one("update-to", "update_to").union(one("updated-by", "updated_by"))
+def integrity_entries(items: DataFrame) -> DataFrame:
+    """(item_id, direction, ordinal, counterparty, kind, updated, precision) of items(item_id, json): both directions' updates.
+
+    What can't be read is null here and a row of integrity_gaps; an entry that is no object is only there.
+    """
+    rows = _updates(items).where("_object")
+    usable = lambda c, n: F.when(texts.valid_text(F.col(c), n), F.col(c))
+    kind = F.coalesce(texts.integrity_kind(usable("_type", 256)), F.lit("other_update"))
+    return rows.select("item_id", "direction", "ordinal", usable("_doi", 2048).alias("counterparty"), kind.alias("kind"), F.col("_date.value").alias("updated"), F.col("_date.precision").alias("precision"))
+
+
+def integrity_gaps(items: DataFrame) -> DataFrame:
+    """(item_id, path, code) of what in the updates can't be read."""
+    rows = _updates(items)
+    gap = lambda when, path, code: F.when(when, F.struct(F.concat("path", F.lit(path)).alias("path"), F.lit(code).alias("code")))
+    wrong = lambda c, n: F.col("_object") & F.col(c).isNotNull() & ~texts.valid_text(F.col(c), n)
+    gaps = F.array_compact(F.array(
+        gap(F.col("ordinal").isNull(), "", "integrity_updates_not_list"),
+        gap(F.col("ordinal").isNotNull() & ~F.col("_object"), "", "integrity_update_not_object"),
+        gap(wrong("_doi", 2048), ".DOI", "integrity_counterparty_doi_invalid_text"),
+        *(gap(wrong(f"_{c}", n), f".{c}", "integrity_field_invalid") for c, n in (("type", 256), ("source", 256), ("label", 1024))),
+        gap(F.col("_object") & F.col("_updated").isNotNull() & F.col("_date.value").isNull(), ".updated", "integrity_updated_invalid"),
+    ))
+    return rows.select("item_id", F.explode(gaps).alias("g")).select("item_id", "g.path", "g.code")
 
 
 def targets(entries: DataFrame, id_type: str = "id_type", target: str = "target") -> DataFrame:
     """entries with target_state: normalized, raw (of no known kind) or invalid; and target_value."""
-    known = F.lower(F.col(id_type)).isin("doi", "arxiv", "pmid", "pmc")
+    known = F.coalesce(F.lower(F.col(id_type)).isin("doi", "arxiv", "pmid", "pmc"), F.lit(False))
     norm = identifiers.normalized(F.lower(F.col(id_type)), F.col(target))
     state = F.when(~known, "raw").when(norm["value"].isNotNull(), "normalized").otherwise("invalid")
     return entries.withColumn("target_state", state).withColumn("target_value", F.coalesce(norm["value"], F.when(~known, F.col(target))))
 
 
 def promoted(entries: DataFrame, bindings: DataFrame) -> DataFrame:
-    """(item_id, ordinal, work_id, event_kind, occurred): corrections and retractions whose counterparty is bound to a work.
-    They are dated only if to the second."""
-    joined = entries.where(F.col("kind").isin("correction", "retraction")).join(bindings, F.col("counterparty") == F.col("doi"))
-    return joined.select("item_id", "ordinal", "work_id", F.col("kind").alias("event_kind"), F.when(F.col("precision") == "second", F.col("updated")).alias("occurred"))
+    """(item_id, ordinal, work_id, event_kind, occurred, state): corrections and retractions, promoted where their counterparty is bound
+    to a work and unresolved elsewhere. They are dated only if to the second."""
+    joined = entries.where(F.col("kind").isin("correction", "retraction")).join(bindings, F.col("counterparty") == F.col("doi"), "left")
+    state = F.when(F.col("work_id").isNull(), "unresolved").otherwise("promoted")
+    return joined.select("item_id", "ordinal", "work_id", F.col("kind").alias("event_kind"), F.when(F.col("precision") == "second", F.col("updated")).alias("occurred"), state.alias("state"))
 
 
 def distinct_assertions(entries: DataFrame, content: list[str], revision: str, observed: str) -> tuple[DataFrame, DataFrame]:

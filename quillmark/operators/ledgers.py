@@ -93,9 +93,9 @@ def verdict(rows: DataFrame, key: str) -> DataFrame:
 
 def tick(jobs: DataFrame, most_new: int) -> DataFrame:
     """jobs(job_key, replayed, place) with decision: replays are free, of new ones the first most_new are taken, the rest deferred."""
-    new = (~F.col("replayed")).cast("int")
-    before = F.sum(new).over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return jobs.withColumn("decision", F.when(F.col("replayed"), "replayed").when(before <= most_new, "enqueued").otherwise("deferred"))
+    last = jobs.where(~F.col("replayed")).orderBy("place").limit(most_new).agg(F.max("place").alias("_last"))  # one row
+    taken = F.coalesce(F.col("place") <= F.col("_last"), F.lit(False))
+    return jobs.crossJoin(F.broadcast(last)).withColumn("decision", F.when(F.col("replayed"), "replayed").when(taken, "enqueued").otherwise("deferred")).drop("_last")
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:
@@ -111,3 +111,14 @@ def catchup_windows(bindings: DataFrame, now: Column, hours: int = 24) -> DataFr
     rows = bindings.withColumn("_n", n).where("_n > 0").select("binding", "last_end", F.posexplode(F.sequence(F.lit(0), F.col("_n") - 1)))
     start = F.timestamp_micros(F.unix_micros("last_end") + F.col("col").cast("long") * F.lit(hours * 3_600_000_000))
     return rows.select("binding", F.col("col").alias("window_no"), start.alias("from_at"), (start + F.expr(step)).alias("until_at"))
+
+
+def distinct_states(rows: DataFrame, key: str, state: str = "state") -> DataFrame:
+    """(key, states, agreed): the different states of each key in order, and whether there is just one."""
+    found = rows.groupBy(key).agg(F.sort_array(F.collect_set(state)).alias("states"))
+    return found.withColumn("agreed", F.size("states") == 1)
+
+
+def same_in_any_order(left: Column, right: Column) -> Column:
+    """Whether two lists have the same entries as often, whatever their order; two nulls are the same."""
+    return F.array_sort(left).eqNullSafe(F.array_sort(right))

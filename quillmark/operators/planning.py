@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.timing import window_end
+from quillmark.operators import ranking
 
 SOURCES = ("arxiv", "pubmed", "crossref")
 
@@ -29,8 +30,9 @@ def plan(bindings: DataFrame, active: DataFrame, now: Column) -> DataFrame:
         .otherwise("wait")
     )
     rows = rows.withColumn("outcome", outcome).withColumn("until_at", F.when(F.col("outcome") == "harvest", next_end))
-    order = Window.partitionBy("outcome").orderBy(F.asc_nulls_first("last_end"), "binding")
-    return rows.select("binding", "outcome", "until_at", F.when(F.col("outcome") == "harvest", F.row_number().over(order)).alias("place"))
+    due = ranking.placed(rows.where("outcome = 'harvest'"), "place", [(F.date_trunc("day", "last_end"), False)], F.asc_nulls_first("last_end"), F.col("binding"))
+    others = rows.where("outcome <> 'harvest'").withColumn("place", F.lit(None).cast("int"))
+    return due.unionByName(others).select("binding", "outcome", "until_at", "place")
 
 
 def digest_blocked(planned: DataFrame, explanations: DataFrame) -> DataFrame:

@@ -50,8 +50,18 @@ def registered(rows: DataFrame, key: str, payload: list[str], observed: list[str
 
 
 def published(log: DataFrame, key: str, fingerprint: str, order: list[str]) -> DataFrame:
-    """A publish log with the revision each entry results in; an entry that repeats a fingerprint gives that one's."""
-    return numbered(log, key, fingerprint, order)
+    """A publish log with the revision each entry results in, and the pointer behind it.
+
+    New content gets the pointer plus one and moves the pointer there; known content gives its own revision and moves nothing.
+    """
+    rows = numbered(log, key, fingerprint, order)
+    return rows.withColumn("pointer", F.max("revision").over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def history(revisions: DataFrame, key: str, order: list[str], since: str) -> DataFrame:
+    """revisions with place, from 1 for the oldest of each key, and until: when the next one came; null for the newest."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return revisions.withColumn("place", F.row_number().over(w)).withColumn("until", F.lead(since).over(w))
 
 
 def policy_versions(log: DataFrame, key: str, order: list[str], settings: list[str]) -> DataFrame:

@@ -98,3 +98,11 @@ def offset_decision(start: Column, items: Column, total: Column, expected: Colum
         .when(start + items == total, "last")
         .otherwise("next")
     )
+
+
+def seen_before(pages: DataFrame) -> DataFrame:
+    """(traversal, page_no, repeated) of pages(traversal, page_no, ids): how many of a page's ids an earlier page had already."""
+    each = pages.select("traversal", "page_no", F.explode(F.array_distinct("ids")).alias("id"))
+    first = F.min("page_no").over(Window.partitionBy("traversal", "id"))
+    counts = each.withColumn("_first", first).groupBy("traversal", "page_no").agg(F.count_if(F.col("page_no") > F.col("_first")).alias("repeated"))
+    return pages.select("traversal", "page_no").join(counts, ["traversal", "page_no"], "left").select("traversal", "page_no", F.coalesce("repeated", F.lit(0).cast("long")).alias("repeated"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quillmark.operators import captures, evidence
+from quillmark.operators import captures, evidence, ranking
 from quillmark.plans.registry import query
 from quillmark.sources import configuration
 from quillmark.sources.tables import table
@@ -41,10 +41,10 @@ def capture_claims(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
     line, part = F.col("l_linenumber").cast("long"), F.col("l_partkey")
-    number = F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).cast("long")
     token = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) + F.when(part % 29 == 0, 1).otherwise(0)
-    claims = table(spark, folder, "lineitem").select(
-        number.alias("claim_id"), F.col("l_orderkey").alias("page_id"), F.when(F.col("l_tax") < 0.07, 1).otherwise(2).alias("pass_id"), token.alias("token"),
+    lines = ranking.placed(table(spark, folder, "lineitem"), "number", [(F.floor(F.col("l_orderkey") / 1000), False)], F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+    claims = lines.select(
+        F.col("number").cast("long").alias("claim_id"), F.col("l_orderkey").alias("page_id"), F.when(F.col("l_tax") < 0.07, 1).otherwise(2).alias("pass_id"), token.alias("token"),
         F.when(part % 4 == 0, "dispatching").when(part % 4 == 1, "reserved").otherwise("released").alias("state"), (line * 100).alias("reserved_us"),
         F.when(part % 4 == 0, line * 100 + F.col("l_suppkey") % 60).alias("dispatched_us"), F.when(part % 4 > 1, line * 100 + F.col("l_suppkey") % 9 - 1).alias("ended_us"), (line * 100 + 50).alias("lease_us"),
     )
@@ -100,22 +100,19 @@ def next_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH w AS (SELECT o_orderkey AS window_id, o_orderdate AS d, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_custkey % 5 <> 0 AND o_totalprice < 200000 AND o_orderkey % 3 <> 2 AS final FROM orders),
-f AS (SELECT window_id, 'finalise' AS action, 0 AS k, row_number() OVER (ORDER BY d, window_id) AS place FROM w WHERE final AND window_id % 40 = 0
+f AS (SELECT window_id, 'finalise' AS action, 0 AS k, row_number() OVER (ORDER BY d, window_id) AS place FROM w WHERE final
   UNION ALL SELECT window_id, 'repair', 1, row_number() OVER (ORDER BY d DESC, window_id) FROM w WHERE NOT final)
-SELECT window_id, action FROM f ORDER BY k, place, window_id LIMIT 150
+SELECT window_id, action FROM f ORDER BY k, place, window_id LIMIT 5000
 """)
 def maintenance_tick(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     k = F.col("o_orderkey")
     passes = table(spark, folder, "orders").select(
         k.alias("window_id"), F.col("o_orderdate").alias("d"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("state"), (k % 2 == 0).alias("traversal_complete"), (F.col("o_custkey") % 5 != 0).alias("accounting_complete"),
         (F.col("o_totalprice") >= 200_000).alias("repair_pending"), F.lit(False).alias("drift"), F.when(k % 3 == 2, 1).otherwise(0).alias("parse_gaps"), F.lit("provisional").alias("completeness"),
     )
     passes = passes.withColumn("final", captures.finalisable(passes))
-    place = lambda *o: F.row_number().over(Window.orderBy(*o)).alias("place")
-    ready = passes.where("final and window_id % 40 = 0").select("window_id", place("d", "window_id"))
-    return captures.maintenance(ready, passes.where("not final").select("window_id", place(F.desc("d"), "window_id")), 150)
+    at = F.unix_micros(F.col("d").cast("timestamp"))
+    return captures.maintenance(passes.where("final").select("window_id", at.alias("place")), passes.where("not final").select("window_id", (-at).alias("place")), 5000)
 
 
 @query("""

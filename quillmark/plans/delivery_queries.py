@@ -61,16 +61,16 @@ def digest_queue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id AS work_id FROM events WHERE event_type IN ('purchase', 'error') AND event_id % 5 = 0),
-t AS (SELECT DISTINCT o_orderkey % 7 AS reader_id, o_custkey AS work_id FROM orders WHERE o_orderkey % 9 = 0),
+WITH e AS (SELECT event_id, user_id AS work_id FROM events WHERE event_type IN ('purchase', 'error')),
+t AS (SELECT DISTINCT o_orderkey % 7 AS reader_id, o_custkey AS work_id FROM orders),
 j AS (SELECT event_id, event_id % 7 AS reader_id, CASE event_id % 4 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' ELSE 'queued' END AS job FROM events)
 SELECT e.event_id, t.reader_id, CASE WHEN t.reader_id IS NULL THEN 'no_prior_recipient' WHEN t.reader_id = 3 THEN 'disabled' WHEN job = 'sent' THEN 'sent' WHEN job = 'failed' THEN 'failed' ELSE 'pending' END AS outcome
 FROM e LEFT JOIN t USING (work_id) LEFT JOIN j ON j.event_id = e.event_id AND j.reader_id = t.reader_id
 """)
 def notice_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     all_events = table(spark, folder, "events")
-    events = all_events.where("event_type in ('purchase', 'error') and event_id % 5 = 0").select("event_id", F.col("user_id").alias("work_id"), F.when(F.col("event_type") == "error", "correction").otherwise("retraction").alias("event_kind"))
-    prior = table(spark, folder, "orders").where("o_orderkey % 9 = 0").select((F.col("o_orderkey") % 7).alias("reader_id"), F.col("o_custkey").alias("work_id"))
+    events = all_events.where("event_type in ('purchase', 'error')").select("event_id", F.col("user_id").alias("work_id"), F.when(F.col("event_type") == "error", "correction").otherwise("retraction").alias("event_kind"))
+    prior = table(spark, folder, "orders").select((F.col("o_orderkey") % 7).alias("reader_id"), F.col("o_custkey").alias("work_id"))
     subscriptions = spark.range(7).select(F.col("id").alias("reader_id"), (F.col("id") != 3).alias("enabled"))
     state = F.when(F.col("event_id") % 4 == 0, "sent").when(F.col("event_id") % 4 == 1, "failed").otherwise("queued")
     jobs = all_events.select("event_id", (F.col("event_id") % 7).alias("reader_id"), state.alias("state"))

@@ -25,17 +25,17 @@ def role_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH s AS (
-  SELECT doc_id, substr(text, 1, 12) AS quote, 'snapshot:' || sha256('{"evidence_level":"abstract_only","format_version":1,"object_id":"o' || doc_id || '","parser_version":"p1","revision_id":"r' || doc_id || '","text_object_id":"t' || doc_id || '","work_id":"w"}') AS snapshot_id
-  FROM documents WHERE regexp_full_match(substr(text, 1, 12), '[A-Za-z ,.]*')
+  SELECT doc_id, substr(text, 5, 60) AS quote, 'snapshot:' || sha256('{"evidence_level":"abstract_only","format_version":1,"object_id":"o' || doc_id || '","parser_version":"p1","revision_id":"r' || doc_id || '","text_object_id":"t' || doc_id || '","work_id":"w"}') AS snapshot_id
+  FROM documents
 )
-SELECT doc_id, snapshot_id, 'anchor:' || sha256('{"offset_end":' || length(quote) || ',"offset_start":0,"quote":"' || quote || '","section_label":null,"snapshot_id":"' || snapshot_id || '"}') AS anchor_id FROM s
+SELECT doc_id, snapshot_id, 'anchor:' || sha256('{"offset_end":' || (length(quote) + 4) || ',"offset_start":4,"quote":' || CAST(to_json(quote) AS VARCHAR) || ',"section_label":null,"snapshot_id":"' || snapshot_id || '"}') AS anchor_id FROM s
 """)
 def evidence_ids(spark: SparkSession, folder: str) -> DataFrame:
-    quote = F.substring("text", 1, 12)
-    docs = table(spark, folder, "documents").where(quote.rlike(r"^[A-Za-z ,.]*\z"))
+    quote = F.substring("text", 5, 60)
+    docs = table(spark, folder, "documents")
     key = lambda p: F.concat(F.lit(p), F.col("doc_id").cast("string"))
     snapshots = docs.select(key("r").alias("revision_id"), F.lit("w").alias("work_id"), key("o").alias("object_id"), key("t").alias("text_object_id"), F.lit("p1").alias("parser_version"), F.lit("abstract_only").alias("evidence_level"))
-    anchors = docs.select("doc_id", key("r").alias("revision_id"), quote.alias("quote"), F.lit(0).alias("offset_start"), F.length(quote).alias("offset_end"), F.lit(None).cast("string").alias("section_label"))
+    anchors = docs.select("doc_id", key("r").alias("revision_id"), quote.alias("quote"), F.lit(4).alias("offset_start"), (F.length(quote) + 4).alias("offset_end"), F.lit(None).cast("string").alias("section_label"))
     return evidence.identified(snapshots, anchors)[1].select("doc_id", "snapshot_id", "anchor_id")
 
 

@@ -22,7 +22,18 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     second = F.when(F.col("p_partkey") % 7 == 0, F.lit('"none"')).otherwise(F.concat(F.lit("["), entry, F.lit("]")))
     kind = F.get(F.array(*map(F.lit, ["Correction", "partial_retraction", "new-edition", "expression of concern"])), (F.col("p_partkey") % 4).cast("int"))
     date = F.concat(F.lit('{"date-parts":[['), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 > 0, F.lit(",5")).otherwise(""), F.lit("]]}"))
-    update = F.concat(F.lit('[{"DOI":"10.1/'), (F.col("p_partkey") % 300).cast("string"), F.lit('","type":"'), kind, F.lit('","updated":'), date, F.lit("}]"))
+    n = F.col("p_partkey") % 11
+    date = (
+        F.when(n == 2, F.lit('{"date-time":"2024-01-02T03:04:05Z","date-parts":[[2023]]}'))
+        .when(n == 3, F.lit('{"date-time":"2024-01-02T03:04:05+02:00"}'))
+        .when(n == 4, F.lit('{"date-time":"2024-01-02T03:04:05"}'))
+        .when(n == 5, F.lit('{"date-time":"2024-01-02T03:04:05","date-parts":[[2024,13]]}'))
+        .when(n == 8, F.lit('"today"'))
+        .otherwise(date)
+    )
+    doi = F.when(n == 7, F.lit(" ")).otherwise(F.concat(F.lit("10.1/"), (F.col("p_partkey") % 300).cast("string")))
+    update = F.concat(F.lit('[{"DOI":"'), doi, F.lit('","type":"'), kind, F.lit('","updated":'), date, F.lit("}]"))
+    update = F.when(n == 1, F.lit('{"DOI":"10.1/1"}')).when(n == 6, F.lit('["x"]')).otherwise(update)
     body = F.concat(F.lit('{"relation":{"'), pick(0), F.lit('":['), entry, F.lit(","), other, F.lit('],"'), pick(1), F.lit('":'), second, F.lit('},"update-to":'), update, F.lit("}"))
     return table(spark, folder, "part").select(F.col("p_partkey").alias("item_id"), body.alias("json"))
 
@@ -45,16 +56,16 @@ SELECT k AS item_id, predicate, CAST(place AS INTEGER) AS place,
 FROM e
 """)
 def relation_extract(spark: SparkSession, folder: str) -> DataFrame:
-    found = graph.targets(graph.relation_entries(items(spark, folder)))
-    state = F.when(F.col("id_type").isNull(), "raw").otherwise(F.col("target_state"))
-    return found.withColumn("target_state", state)
+    return graph.targets(graph.relation_entries(items(spark, folder)))
 
 
 UPDATES = """
-WITH u AS (
-  SELECT p_partkey AS item_id, 'update_to' AS direction, 0 AS ordinal, '10.1/' || CAST(p_partkey % 300 AS VARCHAR) AS counterparty,
+WITH p AS (SELECT *, p_partkey % 11 AS n FROM part),
+u AS (
+  SELECT p_partkey AS item_id, 'update_to' AS direction, 0 AS ordinal, CASE WHEN n <> 7 THEN '10.1/' || CAST(p_partkey % 300 AS VARCHAR) END AS counterparty,
     CASE p_partkey % 4 WHEN 0 THEN 'correction' WHEN 1 THEN 'retraction' WHEN 2 THEN 'other_update' ELSE 'expression_of_concern' END AS kind,
-    lpad(CAST(p_size AS VARCHAR), 4, '0') || CASE WHEN p_partkey % 3 > 0 THEN '-05' ELSE '' END AS updated, CASE WHEN p_partkey % 3 > 0 THEN 'month' ELSE 'year' END AS precision FROM part
+    CASE WHEN n = 2 THEN '2024-01-02T03:04:05+00:00' WHEN n = 3 THEN '2024-01-02T01:04:05+00:00' WHEN n NOT IN (4, 5, 8) THEN lpad(CAST(p_size AS VARCHAR), 4, '0') || CASE WHEN p_partkey % 3 > 0 THEN '-05' ELSE '' END END AS updated,
+    CASE WHEN n IN (2, 3) THEN 'second' WHEN n NOT IN (4, 5, 8) THEN CASE WHEN p_partkey % 3 > 0 THEN 'month' ELSE 'year' END END AS precision FROM p WHERE n NOT IN (1, 6)
 )
 """
 
@@ -64,9 +75,18 @@ def integrity_extract(spark: SparkSession, folder: str) -> DataFrame:
     return graph.integrity_entries(items(spark, folder))
 
 
+@query("""
+SELECT p_partkey AS item_id, CASE n WHEN 1 THEN 'update-to' WHEN 6 THEN 'update-to[0]' WHEN 7 THEN 'update-to[0].DOI' ELSE 'update-to[0].updated' END AS path,
+  CASE n WHEN 1 THEN 'integrity_updates_not_list' WHEN 6 THEN 'integrity_update_not_object' WHEN 7 THEN 'integrity_counterparty_doi_invalid_text' ELSE 'integrity_updated_invalid' END AS code
+FROM (SELECT p_partkey, p_partkey % 11 AS n FROM part) WHERE n IN (1, 4, 5, 6, 7, 8)
+""")
+def integrity_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.integrity_gaps(items(spark, folder))
+
+
 @query(UPDATES + """
-SELECT item_id, ordinal, s_suppkey AS work_id, kind AS event_kind, CASE WHEN precision = 'second' THEN updated END AS occurred
-FROM u JOIN supplier ON counterparty = '10.1/' || CAST(s_suppkey AS VARCHAR) WHERE kind IN ('correction', 'retraction')
+SELECT item_id, ordinal, s_suppkey AS work_id, kind AS event_kind, CASE WHEN precision = 'second' THEN updated END AS occurred, CASE WHEN s_suppkey IS NULL THEN 'unresolved' ELSE 'promoted' END AS state
+FROM u LEFT JOIN supplier ON counterparty = '10.1/' || CAST(s_suppkey AS VARCHAR) WHERE kind IN ('correction', 'retraction')
 """)
 def event_promotion(spark: SparkSession, folder: str) -> DataFrame:
     bindings = table(spark, folder, "supplier").select(F.concat(F.lit("10.1/"), F.col("s_suppkey").cast("string")).alias("doi"), F.col("s_suppkey").alias("work_id"))

@@ -34,7 +34,7 @@ WITH RECURSIVE o AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS period, CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency, o_orderkey AS request_id,
     CAST(floor(o_totalprice) AS BIGINT) AS amount,
     row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m'), o_custkey % 2 ORDER BY o_orderdate, o_orderkey) AS n
-  FROM orders WHERE o_orderkey % 4 = 0
+  FROM orders
 ), fold AS (
   SELECT *, CASE WHEN amount <= 900000 THEN amount ELSE 0 END AS used, amount <= 900000 AS fits FROM o WHERE n = 1
   UNION ALL
@@ -44,7 +44,7 @@ WITH RECURSIVE o AS (
 SELECT period, currency, request_id, CASE WHEN fits THEN 'reserved' ELSE 'blocked' END AS decision FROM fold
 """)
 def budget_admission(spark: SparkSession, folder: str) -> DataFrame:
-    requests = reservations(spark, folder).where("o_orderkey % 4 = 0").select("period", "currency", F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("at"), F.col("reserved").alias("amount"))
+    requests = reservations(spark, folder).select("period", "currency", F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("at"), F.col("reserved").alias("amount"))
     return ledgers.admitted(requests, 900_000)
 
 
@@ -159,13 +159,13 @@ def alias_family(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""{FAMILIES}, told AS (
-  SELECT DISTINCT o_orderkey % 7 AS reader_id, canonical_id FROM orders JOIN families ON work_id = o_custkey WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 9 = 0
+  SELECT DISTINCT o_orderkey % 7 AS reader_id, canonical_id FROM orders JOIN families ON work_id = o_custkey WHERE o_orderstatus IN ('F', 'P')
 )
 SELECT reader_id, work_id FROM told JOIN families USING (canonical_id)""")
 def prior_recipient(spark: SparkSession, folder: str) -> DataFrame:
     works = table(spark, folder, "customer").select(F.col("c_custkey").alias("work_id"))
     state = F.when(F.col("o_orderstatus") == "F", "accepted").when(F.col("o_orderstatus") == "P", "unknown").otherwise("failed")
-    ledger = table(spark, folder, "orders").where("o_orderkey % 9 = 0").select((F.col("o_orderkey") % 7).alias("reader_id"), F.col("o_custkey").alias("work_id"), state.alias("state"))
+    ledger = table(spark, folder, "orders").select((F.col("o_orderkey") % 7).alias("reader_id"), F.col("o_custkey").alias("work_id"), state.alias("state"))
     return aliases.prior_recipients(works, forest(spark, folder), ledger)
 
 
@@ -204,11 +204,11 @@ def catchup_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-WITH j AS (SELECT event_id, event_type = 'view' AS replayed FROM events WHERE event_id < 1000)
+WITH j AS (SELECT event_id, event_type = 'view' AS replayed FROM events)
 SELECT event_id, CASE WHEN replayed THEN 'replayed' WHEN sum(CASE WHEN replayed THEN 0 ELSE 1 END) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) <= 50 THEN 'enqueued' ELSE 'deferred' END AS decision FROM j
 """)
 def tick_budget(spark: SparkSession, folder: str) -> DataFrame:
-    jobs = table(spark, folder, "events").where("event_id < 1000").select("event_id", (F.col("event_type") == "view").alias("replayed"), F.col("event_id").alias("place"))
+    jobs = table(spark, folder, "events").select("event_id", (F.col("event_type") == "view").alias("replayed"), F.col("event_id").alias("place"))
     return ledgers.tick(jobs, 50).select("event_id", "decision")
 
 

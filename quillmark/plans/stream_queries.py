@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.plans.registry import query
+from quillmark.sources.folders import shared_folder
 from quillmark.sources.tables import table
 from quillmark.streaming import events as streams
 
 
-def shared_folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("""
@@ -26,7 +23,7 @@ SELECT event_id, user_id, CASE WHEN event_id % 9 = 0 THEN 'error' WHEN event_id
 def streamed_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Observations classified in a stream, registered once each in a table that is read back. Late ones are kept."""
     like = table(spark, folder, "events")
-    place = shared_folder(spark)
+    place = stream_folder(spark)
     source = streams.read_stream(spark, f"{folder}/events*.parquet", like)
     k, at = F.col("event_id"), F.col("ts").cast("timestamp")
     published = F.when(k % 9 == 0, at + F.expr("INTERVAL 1 DAY")).when(k % 4 == 0, at - F.expr("INTERVAL 20 DAYS")).otherwise(at - F.expr("INTERVAL 1 DAY"))
@@ -40,7 +37,7 @@ def streamed_kinds(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Days that a watermark two days behind the newest event has closed, with their events by kind."""
     like = table(spark, folder, "events")
-    place = shared_folder(spark)
+    place = stream_folder(spark)
     source = streams.read_stream(spark, f"{folder}/events*.parquet", like).select(F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_type").alias("event_kind"))
     counts = streams.windowed_counts(source, 24 * 60, "2 days").select(F.unix_micros("window.start").alias("day_us"), "event_kind", "n")
     counts.writeStream.format("parquet").option("path", f"{place}/days").option("checkpointLocation", f"{place}/offsets").outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -144,18 +144,18 @@ def number_multiset_check(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 WITH q AS (SELECT doc_id, text, lang, doc_id % 2 = 0 AS direct FROM documents)
-SELECT doc_id, CASE WHEN direct AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(with the|die und|le|por)([^A-Za-z0-9]|$)') THEN 'adjacent' WHEN direct THEN 'direct' ELSE 'irrelevant' END AS gated FROM q
+SELECT doc_id, CASE WHEN direct AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(with the|die und|le|por)([^A-Za-z0-9]|$)') THEN 'direct_evidence_missing' END AS error FROM q
 """)
 def lexical_gate(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "direct").otherwise("irrelevant").alias("decision"), F.array("text").alias("quotes"))
-    return evidence.cites_phrase(rows, ["with the", "die und", "le", "por"]).select("doc_id", "gated")
+    return evidence.cites_phrase(rows, ["with the", "die und", "le", "por"]).select("doc_id", "error")
 
 
 @query("""
 WITH i AS (
   SELECT l_orderkey AS digest, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS position,
     CASE WHEN l_returnflag = 'R' THEN 'notice' ELSE 'paper' END AS item_kind, p_name || ' <' || l_returnflag || '> & "' || l_linestatus || '"' AS title
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0
+  FROM lineitem JOIN part ON p_partkey = l_partkey
 ), g AS (
   SELECT digest, count(*) AS n, count(*) FILTER (item_kind = 'notice') AS k, string_agg(CAST(position AS VARCHAR) || '. ' || title, chr(10) ORDER BY position) AS body,
     string_agg('<li>' || replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</li>', '' ORDER BY position) AS list
@@ -166,7 +166,7 @@ SELECT digest, CASE WHEN k = 0 THEN n || ' papers' WHEN k = n THEN k || ' notice
 def digest_render(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = table(spark, folder, "lineitem").where("l_orderkey % 10 = 0").join(table(spark, folder, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rows = table(spark, folder, "lineitem").join(table(spark, folder, "part"), F.col("p_partkey") == F.col("l_partkey"))
     title = F.concat("p_name", F.lit(" <"), "l_returnflag", F.lit('> & "'), "l_linestatus", F.lit('"'))
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     items = rows.select(F.col("l_orderkey").alias("digest"), place.alias("position"), F.when(F.col("l_returnflag") == "R", "notice").otherwise("paper").alias("item_kind"), title.alias("title"))

@@ -46,7 +46,7 @@ def freshest_summary(spark: SparkSession, folder: str) -> DataFrame:
 WITH RECURSIVE c AS (
   SELECT user_id AS job_id, event_id AS command_id, event_type IN ('view', 'click') AS claim, event_id % 3 AS owner, CAST(event_id % 2 + 1 AS BIGINT) AS token, epoch_us(ts) // 1000000 AS t,
     CASE WHEN event_type = 'purchase' AND event_id % 10 = 0 THEN 'succeeded' ELSE 'failed' END AS st, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS n
-  FROM events WHERE event_id % 4 = 0
+  FROM events
 ), f AS (
   SELECT job_id, 0::BIGINT AS n, NULL::BIGINT AS command_id, 'pending' AS state, -1::BIGINT AS o, 0::BIGINT AS tok, 0::BIGINT AS until_t, '' AS last, '' AS outcome FROM (SELECT DISTINCT job_id FROM c)
   UNION ALL
@@ -67,7 +67,7 @@ def lease_replay(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("event_id")
     state = F.when((F.col("event_type") == "purchase") & (k % 10 == 0), "succeeded").otherwise("failed")
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)).cast("long")
-    commands = table(spark, folder, "events").where(k % 4 == 0).select(F.col("user_id").alias("job_id"), k.alias("command_id"), F.when(F.col("event_type").isin("view", "click"), "claim").otherwise("complete").alias("kind"), (k % 3).cast("string").alias("owner"), (k % 2 + 1).alias("token"), at.alias("at"), state.alias("state"))
+    commands = table(spark, folder, "events").select(F.col("user_id").alias("job_id"), k.alias("command_id"), F.when(F.col("event_type").isin("view", "click"), "claim").otherwise("complete").alias("kind"), (k % 3).cast("string").alias("owner"), (k % 2 + 1).alias("token"), at.alias("at"), state.alias("state"))
     return leases.replayed(commands, 86_400)
 
 
