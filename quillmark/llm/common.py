@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.sources.folders import shared_folder
+
 #: Between words: space and the five ASCII controls from tab to carriage return. bytes.split() cuts at the same six.
 GAP = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that hold whole texts; bounds a worker's memory at this many of the longest texts.
@@ -47,9 +48,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows in the folder of spark.checkpoint.dir, so that lost executors don't make Spark compute them anew."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -97,9 +96,6 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the checkpoint folder, which all executors share: smaller than a checkpoint of as many rows."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillmark-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
