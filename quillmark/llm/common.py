@@ -52,6 +52,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few keys each that may be broadcast, some 64 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(written: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has no more than BROADCAST_ROWS rows; beyond that joins shuffle both sides."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
