@@ -179,6 +179,56 @@ def identified(snapshots: DataFrame, anchors: DataFrame) -> tuple[DataFrame, Dat
     return known, rows.withColumn("anchor_id", F.concat(F.lit("anchor:"), F.sha2(canonical_json_utf8(place), 256)))
 
 
+def card_report(cards: DataFrame, anchors: DataFrame, claims: DataFrame) -> DataFrame:
+    """(card_id, error, verdict, findings) of cards: card_id, abstract, translation array<struct<text, anchor_ids>> and statements
+    array<struct<text, claim_type, claim_ids>>, with anchors(card_id, anchor_id, quote) and claims(card_id, claim_id, claim_type, quotes).
+
+    A finding is struct(code, kind, place, claim_ids); place is -1 for a whole card or translation. A card that cites nothing
+    or what isn't there, or one claim as of two kinds, has an error and neither verdict nor findings.
+    """
+    quotes = anchors.groupBy("card_id", "anchor_id").agg(F.min("quote").alias("quote"))
+    quotes = quotes.groupBy("card_id").agg(F.map_from_entries(F.collect_list(F.struct("anchor_id", "quote"))).alias("_quotes"))
+    known = claims.groupBy("card_id", "claim_id").agg(F.min(F.struct("claim_type", F.array_join("quotes", "\n").alias("quote"))).alias("c"), F.count("*").alias("n"))
+    known = known.groupBy("card_id").agg(F.map_from_entries(F.collect_list(F.struct("claim_id", "c"))).alias("_claims"), F.max("n").alias("_most"))
+    rows = cards.join(quotes, "card_id", "left").join(known, "card_id", "left")
+    rows = rows.withColumns({"_quotes": F.coalesce("_quotes", F.create_map().cast("map<string,string>")), "_claims": F.coalesce("_claims", F.create_map().cast("map<string,struct<claim_type:string,quote:string>>"))})
+    units = lambda t: F.transform(texts.measured(t), lambda m: F.concat_ws(" ", m["number"], m["unit"]))
+    nobody = F.array().cast("array<string>")
+
+    def finding(code: str, kind: str, place: Column, ids: Column) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(kind).alias("kind"), place.cast("int").alias("place"), ids.alias("claim_ids"))
+
+    def found(text: Column, source: Column, kind: str, place: Column, ids: Column) -> Column:
+        tests = {
+            "number_mismatch": ~texts.contained(texts.numbers(text), texts.numbers(source)),
+            "unit_mismatch": ~texts.contained(units(text), units(source)),
+            "role_value_mismatch": role_mismatch(text, source),
+        }
+        return F.array_compact(F.array(*(F.when(test, finding(code, kind, place, ids)) for code, test in tests.items())))
+
+    def bad_passage(p: Column) -> Column:
+        return F.when(F.coalesce(F.size(p["anchor_ids"]), F.lit(0)) < 1, "invalid_verification_input").when(~F.forall(p["anchor_ids"], lambda a: F.map_contains_key("_quotes", a)), "verification_anchor_mismatch")
+
+    def bad_statement(s: Column) -> Column:
+        fits = lambda c: F.map_contains_key("_claims", c) & F.coalesce(F.try_element_at("_claims", c)["claim_type"] == s["claim_type"], F.lit(False))
+        return F.when(F.coalesce(F.size(s["claim_ids"]), F.lit(0)) < 1, "invalid_verification_input").when(~F.forall(s["claim_ids"], fits), "verification_claim_mismatch")
+
+    broken = F.array_compact(F.concat(F.array(F.when(F.col("_most") > 1, F.lit("invalid_verification_input"))), F.transform("translation", bad_passage), F.transform("statements", bad_statement)))
+    passage = lambda p, i: found(p["text"], F.array_join(F.transform(p["anchor_ids"], lambda a: F.try_element_at("_quotes", a)), "\n"), "translation", i, nobody)
+    statement = lambda s, i: found(s["text"], F.array_join(F.transform(s["claim_ids"], lambda c: F.try_element_at("_claims", c)["quote"]), "\n"), "card", i, s["claim_ids"])
+    whole = F.array_join(F.transform("translation", lambda p: p["text"]), "\n")
+    of_card = F.array_compact(
+        F.array(
+            F.when(F.size("statements") == 0, finding("empty_reading_card", "card", F.lit(-1), nobody)),
+            F.when(F.array_sort(texts.numbers(whole)) != F.array_sort(texts.numbers(F.col("abstract"))), finding("number_mismatch", "translation", F.lit(-1), nobody)),
+        )
+    )
+    every = F.array_distinct(F.concat(of_card, F.flatten(F.transform("translation", passage)), F.flatten(F.transform("statements", statement))))
+    rows = rows.withColumn("error", F.get(broken, F.lit(0))).withColumn("findings", F.when(F.col("error").isNull(), every))
+    verdict = F.when(F.col("error").isNull(), F.when(F.size("findings") > 0, "rejected").otherwise("passed"))
+    return rows.select("card_id", "error", verdict.alias("verdict"), "findings")
+
+
 def explanation_outcome(rows: DataFrame) -> DataFrame:
     """rows with state and error_code: what an explanation comes to by its claims, relevance, summary and pointer.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions import identifiers, texts
+from quillmark.functions.hashing import framed_sha256
 
 #: Relations within a work, and between works.
 INTRA_WORK = [
@@ -118,6 +119,24 @@ def promoted(entries: DataFrame, bindings: DataFrame) -> DataFrame:
     return joined.select("item_id", "ordinal", "work_id", F.col("kind").alias("event_kind"), F.when(F.col("precision") == "second", F.col("updated")).alias("occurred"), state.alias("state"))
 
 
+def recorded_relations(requests: DataFrame, works: DataFrame) -> DataFrame:
+    """(request_id, relation_id, outcome) of requests(request_id, source, target, type, evidence, at) between works(work_id).
+
+    Of sound requests for the same relation the first, by time and id, is recorded; one with its evidence is a replay of it, any
+    other a work_relation_conflict. invalid_work_relation: of a work to itself or of no lower-case type; work_missing: either is.
+    """
+    known = works.select(F.col("work_id").alias("source"), F.lit(True).alias("_s")).distinct()
+    rows = requests.join(known, "source", "left").join(known.select(F.col("source").alias("target"), F.col("_s").alias("_t")), "target", "left")
+    unsound = F.when((F.col("source") == F.col("target")) | ~F.coalesce(F.col("type").rlike("^[a-z][a-z0-9_-]{0,63}$"), F.lit(False)), "invalid_work_relation").when(F.col("_s").isNull() | F.col("_t").isNull(), "work_missing")
+    rows = rows.withColumn("_bad", unsound)
+    key = ["source", "target", "type"]
+    first = rows.where("_bad is null").groupBy(*key).agg(F.min(F.struct("at", "request_id", "evidence")).alias("_first"))
+    rows = rows.join(first, key, "left")
+    made = F.when(F.col("request_id") == F.col("_first.request_id"), "recorded").when(F.col("evidence") == F.col("_first.evidence"), "replay").otherwise("work_relation_conflict")
+    relation_id = F.concat(F.lit("relation:"), framed_sha256(F.lit("work-relation-v1"), *map(F.col, key)))
+    return rows.select("request_id", F.when(F.col("_bad").isNull(), relation_id).alias("relation_id"), F.coalesce("_bad", made).alias("outcome"))
+
+
 def distinct_assertions(entries: DataFrame, content: list[str], revision: str, observed: str) -> tuple[DataFrame, DataFrame]:
     """Assertions by their content with when they were first observed, and each revision's observations of them."""
     key = F.sha2(F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content))), 256)

@@ -56,6 +56,21 @@ def admitted(requests: DataFrame, limit: int) -> DataFrame:
     return requests.select("period", "currency", "request_id", "at", "amount").groupBy("period", "currency").applyInPandas(fold, schema)
 
 
+def known_runs(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """requests(fingerprint, ...) with outcome and run_id by runs(run_id, fingerprint, state, output): cached where one succeeded,
+    in_progress where one is open, corrupt where two did or are, or no output was kept; new otherwise, which `admitted` decides."""
+    done, open_ = F.col("state") == "succeeded", F.col("state").isin("reserved", "running")
+    own = runs.groupBy("fingerprint").agg(
+        F.count_if(done).alias("_done"), F.count_if(open_).alias("_open"), F.bool_or(done & F.col("output").isNull()).alias("_lost"),
+        F.min(F.when(done, F.col("run_id"))).alias("_done_id"), F.min(F.when(open_, F.col("run_id"))).alias("_open_id"),
+    )
+    corrupt = (F.col("_done") > 1) | F.col("_lost") | ((F.col("_done") == 0) & (F.col("_open") > 1))
+    outcome = F.when(corrupt, "corrupt").when(F.col("_done") == 1, "cached").when(F.col("_open") == 1, "in_progress").otherwise("new")
+    rows = requests.join(own, "fingerprint", "left").withColumn("outcome", outcome)
+    run_id = F.when(F.col("outcome") == "cached", F.col("_done_id")).when(F.col("outcome") == "in_progress", F.col("_open_id"))
+    return rows.withColumn("run_id", run_id).drop("_done", "_open", "_lost", "_done_id", "_open_id")
+
+
 def with_attempts(parents: DataFrame, attempts: DataFrame, key: str) -> DataFrame:
     """parents with n_attempts and last_error of attempts(key, attempt_no, error); zero and null where there are none."""
     own = attempts.groupBy(key).agg(F.count("*").alias("n_attempts"), F.max_by("error", "attempt_no").alias("last_error"))

@@ -100,6 +100,34 @@ def offset_decision(start: Column, items: Column, total: Column, expected: Colum
     )
 
 
+def unit_result(state: Column, version: Column, decision: Column, start: Column, items: Column, error: Column) -> Column:
+    """struct(error, state, version, next_start) of a unit after a page: an offset decision, or an error of its processing.
+
+    A page that was read moves the checkpoint on by one; one that wasn't leaves it, and the unit is partial if it ever had one.
+    Units that are closed take no page.
+    """
+    closed = state.isin("succeeded", "verified_empty", "unavailable")
+    wrong = F.when(closed, "unit_not_open").when(error.isNull() & ~decision.isin("verified_empty", "last", "next"), decision)
+    failed = error.isNotNull()
+    after = F.when(failed, F.when(version > 0, "partial").otherwise("failed")).when(decision == "verified_empty", "verified_empty").when(decision == "last", "succeeded").otherwise("partial")
+    return F.struct(
+        F.coalesce(wrong, error).alias("error"),
+        F.when(wrong.isNotNull(), state).otherwise(after).alias("state"),
+        F.when(wrong.isNotNull() | failed, version).otherwise(version + 1).alias("version"),
+        F.when(wrong.isNotNull() | failed, start).otherwise(start + items).alias("next_start"),
+    )
+
+
+def published(found: DataFrame, before: DataFrame, now: Column, lag_seconds: int) -> DataFrame:
+    """(stream, watermark, error) of found(stream, watermark) and those published before: a watermark never moves back, and none
+    is published inside the safety lag."""
+    rows = found.join(before.select("stream", F.col("watermark").alias("_before")), "stream", "full_outer")
+    fresh = F.unix_micros("watermark") > F.unix_micros(now) - lag_seconds * 1_000_000
+    error = F.when(fresh, "window_inside_safety_lag").when(F.col("watermark") < F.col("_before"), "watermark_moved_back")
+    rows = rows.withColumn("error", error)
+    return rows.select("stream", F.when(F.col("error").isNull(), F.coalesce("watermark", "_before")).otherwise(F.col("_before")).alias("watermark"), "error")
+
+
 def seen_before(pages: DataFrame) -> DataFrame:
     """(traversal, page_no, repeated) of pages(traversal, page_no, ids): how many of a page's ids an earlier page had already."""
     each = pages.select("traversal", "page_no", F.explode(F.array_distinct("ids")).alias("id"))
