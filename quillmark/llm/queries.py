@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, decontaminate, language, mixture, pii, quality, scoring, simhash, substrings, tokens
+from quillmark.llm import chat, codebooks, decontaminate, language, mixture, pii, quality, scoring, simhash, substrings, tokens
 from quillmark.llm.common import read, remainder
 
 
@@ -154,3 +154,35 @@ def op7_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(read(spark, sf_dir, "documents"), width=35, digest=True)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codebooks.compress(read(spark, sf_dir, "embeddings"), carry=("label",))
+    rows = codebooks.with_group_error(found.rows, "label")
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", F.col("group_error").alias("label_error"), F.lit(found.sha256()).alias("codebooks_sha256"))
+
+
+def _rounds_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds over all pairs, a few common table expressions for each."""
+    ctes = [f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p)
+), first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM kept QUALIFY e < {entries}),
+b0 AS MATERIALIZED (SELECT p, e, x AS c, list_inner_product(x, x) AS cc FROM part JOIN first USING (r))"""]
+    for n in range(rounds + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, p, min([list_inner_product(x, x) - 2 * list_inner_product(x, c) + cc, e::DOUBLE]) AS best FROM part JOIN b{n} USING (p) GROUP BY r, p)")
+        if n < rounds:
+            ctes.append(f"""m{n} AS (SELECT p, e, list(floor(s / k) ORDER BY i) AS c FROM (
+  SELECT p, best[2] AS e, i, sum(x[i]) AS s, count(*)::DOUBLE AS k FROM part JOIN a{n} USING (r, p), unnest(range(1, len(x) + 1)) u(i) GROUP BY ALL) GROUP BY p, e
+), b{n + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c, list_inner_product(coalesce(m.c, b.c), coalesce(m.c, b.c)) AS cc FROM b{n} b LEFT JOIN m{n} m ON b.p = m.p AND b.e = m.e)""")
+    return f"""WITH {", ".join(ctes)}, codes AS (
+  SELECT r, string_agg(printf('%02x', best[2]::BIGINT), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (r)"""
+
+
+OP13_VECTOR_CODES = _rounds_sql()

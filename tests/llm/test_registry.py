@@ -16,7 +16,7 @@ def test_query(spark, name):
     if name not in registry.ORACLES:
         return
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations", "labels"):
+    for table in ("documents", "benchmark", "conversations", "labels", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{TABLES}/{table}.parquet')")
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name].strip().rstrip(';')})").fetchall()
     near = lambda row: tuple(pytest.approx(x, rel=1e-12) if isinstance(x, float) else x for x in row)
