@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, codebooks, decontaminate, language, mixture, pii, quality, scoring, simhash, substrings, tokens
+from quillmark.llm import chat, codebooks, decontaminate, language, mixture, pii, quality, scoring, simhash, substrings, tokens, warc
 from quillmark.llm.common import read, remainder
+from quillmark.sources.folders import shared_folder
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,3 +189,23 @@ FROM kept JOIN codes USING (r)"""
 
 
 OP13_VECTOR_CODES = _rounds_sql()
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    warc.write(warc.records_of(read(spark, sf_dir, "pages")), folder)
+    page = lambda c: F.regexp_extract(c, "^urn:page:(.*):[0-9a-f]{32}$", 1).try_cast("long")
+    found = warc.read(spark, folder, payload="false").where("record_type in ('response', 'revisit')")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+OP12_WARC = """
+WITH own AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) = 1 AS is_first, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best
+  FROM pages
+)
+SELECT page_id, payload_bytes, CASE WHEN is_first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT is_first THEN best END AS refers_to,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31) + 1)::INTEGER, 1)), '') AS payload_digest
+FROM own
+"""
