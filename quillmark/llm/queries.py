@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import chat, codebooks, decontaminate, language, mixture, pii, quality, scoring, simhash, substrings, tokens, warc
+from quillmark.llm import chat, codebooks, decontaminate, language, mixture, pii, quality, scoring, simhash, spelling, substrings, tokens, warc
 from quillmark.llm.common import read, remainder
 from quillmark.sources.folders import shared_folder
 
@@ -191,6 +192,52 @@ FROM kept JOIN codes USING (r)"""
 OP13_VECTOR_CODES = _rounds_sql()
 
 
+def misspelt(doc_id: Column, run: Column) -> Column:
+    """A run without one of its code points, in one of 97 runs by the checksum of both."""
+    h = F.crc32(F.concat(doc_id, F.lit(":"), run).cast("binary"))
+    at = (h % F.char_length(run)).cast("int")
+    return F.when(h % 97 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.char_length(run)))).otherwise(run)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(read(spark, sf_dir, "documents"), alter=misspelt))
+
+
+#: Remainders of the checksum for each value of a byte: eight steps of its polynomial.
+_CRC = "[" + ", ".join(str(functools.reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(8), n)) for n in range(256)) + "]"
+OP11_SPELLING = rf"""
+WITH RECURSIVE run AS (
+  SELECT d, lo AS run, count(*) AS k FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS lo FROM documents
+  ) GROUP BY ALL
+), summed AS (
+  SELECT run, k, length(run) AS size, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(d || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))), lambda c, b: xor(c >> 8, ({_CRC}::BIGINT[])[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS h
+  FROM run
+), word AS MATERIALIZED (
+  SELECT word, sum(k)::BIGINT AS n, length(word) AS size FROM (
+    SELECT k, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % size)::INTEGER) || substr(run, (h % size)::INTEGER + 2) ELSE run END AS word FROM summed
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), less AS MATERIALIZED (
+  SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS part, i FROM word, unnest(range(1, size + 1)) u(i)
+), pair AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b ON a.part = b.part AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT word.word, less.word, less.n FROM word JOIN less ON word.word = part
+  UNION ALL SELECT less.word, word.word, word.n FROM word JOIN less ON word.word = part
+), near AS (SELECT DISTINCT * FROM pair
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other COLLATE C) AS other, max(m) AS m FROM near GROUP BY word
+), form AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM word LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.root = form.word WHERE form.form IS NOT NULL
+), ends AS (
+  SELECT walk.word, root FROM walk JOIN form ON root = form.word WHERE form.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN ends USING (word)
+"""
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
     warc.write(warc.records_of(read(spark, sf_dir, "pages")), folder)
