@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import quoted
+from quillmark.llm.common import quoted, written
 from quillmark.llm.surrogates import cached, gender_of, hexadecimal, keyed, moved, name, same_form
 
 #: Runs of characters that a number can stand in, and the kinds of numbers, in the order in which a place is tried.
@@ -32,7 +32,7 @@ SIX = re.compile(r"[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*(?:\.\d+){0,3}
 MAC = re.compile(r"[0-9A-Fa-f]{2}(?:([:-])[0-9A-Fa-f]{2})(?:\1[0-9A-Fa-f]{2}){4}")
 ASSIGNED = re.compile(r"(?i:token|secret|password|passwd|api[_-]?key|key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9_\-./+=]{12,})")
 MARKED = re.compile(r"((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_\-]{20,}|eyJ[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,}\.[A-Za-z0-9_\-]{5,})")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END")
+PEM = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----([A-Za-z0-9+/=\s]++)-----END")
 BIRTH = re.compile(r"(?i:date of birth|birth ?date|born on|dob|geboren am|geburtsdatum|née? le|nacid[oa] el|fecha de nacimiento|date de naissance)[:, ]{0,3}(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d])")
 #: Titles, and what else stands before a name: phrases, greetings (a comma or the like must follow) and endings of letters.
 TITLES = [
@@ -40,6 +40,8 @@ TITLES = [
     "Mr", "Mister", "Sir", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Господин", "г-н", "Κύριος", "κ", "Dr", "Prof", "Professor", "Doctor", "Доктор", "Δρ",
 ]
 PHRASES = ["my name is", "My name is", "mein Name ist", "Mein Name ist", "ich heiße", "Ich heiße", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "je m'appelle", "Je m'appelle", "mon nom est", "Mon nom est", "меня зовут", "Меня зовут"]
+#: The same in languages that write no space or no capitals; a name of Han or Hangul letters follows at once, or words follow.
+BARE_PHRASES = ["我叫", "我的名字是", "我的名字叫", "我是叫", "私の名前は", "제 이름은", "내 이름은", "اسمي", "שמי", "ชื่อของฉันคือ"]
 GREETINGS = ["Dear", "Hi", "Hello", "Hey", "Liebe", "Lieber", "Hallo", "Querida", "Querido", "Hola", "Cher", "Chère", "Bonjour"]
 CLOSINGS = ["Regards,", "regards,", "Sincerely,", "sincerely,", "Grüße,", "Grüßen,", "Cordialement,", "Saludos,"]
 #: What follows a greeting and is no name.
@@ -69,6 +71,7 @@ def hints() -> ahocorasick.Automaton:
     of |= dict.fromkeys(["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "eyJ"], "marked") | {"-----BEGIN ": "pem"}
     of |= dict.fromkeys(["irth", "orn on", "dob", "DOB", "Dob", "eboren am", "eburtsdatum", "né le", "née le", "acido el", "acida el", "acimiento", "aissance"], "birth")
     of |= dict.fromkeys([*(w + " " for w in BEFORE_NAME), *(" " + w for w in AFTER_NAME), *(w + " " for w in JOINED)], "street")
+    of |= dict.fromkeys(BARE_PHRASES, "bare")
     of |= dict.fromkeys(GREETINGS, "greeting") | dict.fromkeys(CLOSINGS, "closing") | dict.fromkeys(PHRASES, "phrase") | dict.fromkeys(TITLES, "title")
     for word, kind in of.items():
         out.add_word(word, (kind, len(word)))
@@ -103,11 +106,28 @@ def day_of(text: str) -> datetime.date | None:
     return day if 0 <= day.toordinal() - FIRST_DAY < DAYS else None
 
 
+#: Letters of names that are written without spaces.
+SOLID = re.compile("[\u3400-\u9fff\uf900-\ufaff]+|[\uac00-\ud7a3]+")
+
+
+def caseless(word: str) -> bool:
+    """Whether a word's script has no capitals."""
+    return word[0].isalpha() and word[0].lower() == word[0].upper()
+
+
+def solid_name(text: str, at: int) -> tuple[int, int] | None:
+    """A name of Han or Hangul letters that begins there: a run of two to four, or three of a longer one."""
+    m = SOLID.match(text, at)
+    return (at, m.end() if m.end() - at <= 4 else at + 3) if m and m.end() - at > 1 else None
+
+
 def name_at(text: str, at: int, most: int = 3) -> tuple[int, int] | None:
     """Up to so many words with a capital that begin there, without titles before them or a genitive's end."""
     start = end = None
     n = 0
-    while n < most and (m := WORD.match(text, at)) and m[0][0].isupper():
+    while n < most and (m := WORD.match(text, at)) and (m[0][0].isupper() or caseless(m[0])):
+        if caseless(m[0]) and n == 2:
+            break
         dot = text[m.end() : m.end() + 1] == "."
         if m[0] in TITLES:
             at = m.end() + dot + 1
@@ -133,8 +153,9 @@ def hinted(text: str) -> Iterator[tuple[int, int, str]]:
             if (not start or not text[start - 1].isalnum()) and (m := MARKED.match(text, start)):
                 yield m.start(1), m.end(1), "secret"
         elif kind == "pem":
-            if m := PEM.match(text, start):
-                yield m.start(1), m.end(1), "secret"
+            if (m := PEM.match(text, start)) and (body := m[1].strip()):
+                begin = m.end(1) - len(m[1].lstrip())
+                yield begin, begin + len(body), "secret"
         elif kind == "birth":
             for m in BIRTH.finditer(text, max(0, start - 20), min(len(text), end + 40)):
                 if day_of(m[1]):
@@ -142,6 +163,10 @@ def hinted(text: str) -> Iterator[tuple[int, int, str]]:
         elif kind == "street":
             for m in STREET.finditer(text, max(0, start - 80), min(len(text), end + 80)):
                 yield m.start(), m.end(), "street"
+        elif kind == "bare":
+            at = end + (text[end : end + 1] in (" ", "\u00a0", "\u3000"))
+            if found := solid_name(text, at) or (name_at(text, at) if at > end else None):
+                yield *found, "name"
         elif not start or not (text[start - 1].isalnum() or text[start - 1] == "_"):
             dot = kind == "title" and text[end : end + 1] == "."
             gap = 0
@@ -182,9 +207,7 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if names := [text[a:b] for a, b, k in found if k == "name"]:
         words = {w.rstrip(".") for n in names for w in n.split()}
         words = {x for w in words if len(w) > 1 for x in (w, w.upper())}
-        if words:
-            again = re.compile(r"(?<![\w'’-])(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?!\w)(?:[  ](?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?!\w))*")
-            found += [(m.start(), m.end(), "name") for m in again.finditer(text)]
+        found += again(text, words)
     out: list[tuple[int, int, str]] = []
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if not out or e[0] >= out[-1][1]:
@@ -192,6 +215,28 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def again(text: str, words: set[str]) -> Iterator[tuple[int, int, str]]:
+    """Where else words of names stand, those beside each other together. One pass over the text's words, however many names it has; names
+    written without spaces are found inside runs as well."""
+    start = end = None
+    for m in WORD.finditer(text):
+        own = POSSESSIVE.sub("", m[0])
+        if own not in words or m.start() and text[m.start() - 1] in "'’-_" or m.start() and text[m.start() - 1].isalnum():
+            continue
+        if start is not None and text[end : m.start()] in (" ", "\u00a0"):
+            end = m.start() + len(own)
+            continue
+        if start is not None:
+            yield start, end, "name"
+        start, end = m.start(), m.start() + len(own)
+    if start is not None:
+        yield start, end, "name"
+    for w in (w for w in words if SOLID.fullmatch(w)):
+        at = -1
+        while (at := text.find(w, at + 1)) >= 0:
+            yield at, at + len(w), "name"
+
+
 def six_kind(value: str, before: str, after: str) -> str | None:
     """Whether this is an IPv6 or a MAC address."""
     if before.isalnum() or after.isalnum() or before in (":", "-") and before or after in ("-",) and after:
@@ -215,7 +260,7 @@ def canonical(kind: str, value: str) -> str:
         return str(int(ipaddress.IPv6Address(value)))
     if kind == "birth":
         return str(day_of(value))
-    return value.lower() if kind in ("email", "name", "street") else value
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in value) if kind in ("email", "name", "street") else value
 
 
 PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|sk-|eyJ|")
@@ -227,7 +272,7 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = keyed(key, "surrogates").to_bytes(16, "big")
         self.of = cached(self._of)
-        self.word = cached(lambda word, _: same_form(word, self.key, "initial") if len(word) == 1 else name(word, self.key, "", gender_of(word)))
+        self.word = cached(lambda word, _: same_form(word, self.key, "initial") if len(word) == 1 else same_form(word, self.key, "name") if caseless(word) else name(word, self.key, "", gender_of(word)))
 
     def __call__(self, kind: str, value: str) -> str:
         if kind == "name":
@@ -239,7 +284,7 @@ class Surrogates:
             rest = iter(new)
             return "".join(next(rest) if c.isalnum() else c for c in value)
         if kind == "email":
-            return "".join(n.upper() if c.isupper() else n for c, n in zip(value, new, strict=True))
+            return "".join(n.upper() if c.isupper() and len(n.upper()) == 1 else n for c, n in zip(value, new, strict=True))
         if kind == "mac":
             new = value[2].join(new[i : i + 2] for i in range(0, 12, 2))
             return new if value.upper() == value else new.lower()
@@ -322,6 +367,15 @@ def collisions(rewritten: DataFrame) -> DataFrame:
     return sides.where("a != b").select("kind", "surrogate")
 
 
+def checked(docs: DataFrame, key: bytes, *, attempts: int = 3) -> DataFrame:
+    """`replace`, written, and looked through for collisions; with one, all is done again under another key. Permutations leave none to find."""
+    for n in range(attempts):
+        done = written(replace(docs, keyed(key, "attempt", str(n)).to_bytes(16, "big") if n else key))
+        if not collisions(done).limit(1).count():
+            return done
+    raise ValueError(f"two entities shared a surrogate under each of {attempts} keys")
+
+
 def rewriter(key: bytes) -> Callable[[Column], Column]:
     """A column function of text: struct(text, entities)."""
 
@@ -341,7 +395,8 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
 
     E-mail addresses, phone numbers, valid card and account numbers, IPv4, IPv6 and MAC addresses, social security numbers, secrets
     and private keys, dates of birth, street addresses, and names: after a title, a greeting, "my name is" and the like, before
-    an address of e-mail, under a letter, and wherever else the words of such a name stand in the same text. Surrogates keep
+    an address of e-mail, under a letter, and wherever else the words of such a name stand in the same text; in scripts without capitals
+    after a title or "my name is". Letters of any script take part; those without a neighbour of their case in their 128 code points stay. Surrogates keep
     kind, script, capitals, punctuation, length and check digits of what they replace; a made-up name keeps script, capitals and the
     gender that the old word's ending tells, whatever title is before it, so it is the same in all documents. All kinds are
     permuted within their form, and names among those of as many syllables, so two entities never become one (`collisions`

@@ -142,7 +142,7 @@ PII_KEY = b"surrogates of the corpus"
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, PII_KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_replaced"), "entities")
+    return pii.checked(docs, PII_KEY).select("doc_id", "text", F.size("entities").cast("long").alias("n_replaced"), "entities")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

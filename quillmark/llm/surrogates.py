@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -12,6 +13,21 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 PLACE = {c: (a, i) for a in ALPHABETS for i, c in enumerate(a)}
 
 
+@lru_cache(1 << 16)
+def letters_like(c: str) -> tuple[str, int] | None:
+    """The characters that may take a digit's or letter's place, and which of them it is. Beyond the alphabets these are the letters of its case in
+    its 128 code points; None for what stays, such as letters whose case can't be changed and changed back."""
+    if c in PLACE:
+        alphabet, place = PLACE[c]
+        return alphabet, place
+    if not c.isalpha():
+        return None
+    kind, first = unicodedata.category(c), ord(c) & ~127
+    steady = lambda x: len(x.lower()) == len(x.upper()) == 1 and x.upper().lower() == x.lower() and x.lower().upper() == x.upper()
+    own = "".join(x for x in map(chr, range(first, first + 128)) if x not in PLACE and unicodedata.category(x) == kind and steady(x))
+    return (own, own.index(c)) if c in own and len(own) > 1 else None
+
+
 def keyed(key: bytes, *parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), key=key, digest_size=16).digest(), "big")
 
@@ -72,18 +88,18 @@ def _same_form(text: str, key: bytes, tweak: str) -> str:
 
     Strings of one form are permuted, so two never become one, and none stays as it is.
     """
-    at = [i for i, c in enumerate(text) if c in PLACE]
-    n = x = 0
-    sizes = [len(PLACE[text[i]][0]) for i in at]
-    n = 1
+    like = [letters_like(c) for c in text]
+    at = [i for i, of in enumerate(like) if of]
+    sizes = [len(like[i][0]) for i in at]
+    x, n = 0, 1
     for i, size in zip(at, sizes):
-        x, n = x * size + PLACE[text[i]][1], n * size
-    form = "".join(ALPHABETS[ALPHABETS.index(PLACE[c][0])][0] if c in PLACE else c for c in text)
+        x, n = x * size + like[i][1], n * size
+    form = "".join(of[0][0] if of else c for c, of in zip(text, like, strict=True))
     x = moved(x, n, key, f"{tweak}\0{form}")
     out = list(text)
     for i, size in zip(reversed(at), reversed(sizes)):
         x, digit = divmod(x, size)
-        out[i] = PLACE[text[i]][0][digit]
+        out[i] = like[i][0][digit]
     return "".join(out)
 
 

@@ -1,6 +1,9 @@
 import random
 import re
+import time
+import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmark.llm import pii, surrogates
@@ -112,3 +115,52 @@ def test_names_of_different_genders_and_capitals_never_become_one():
                 for shape in (w, w.upper(), w.capitalize()):
                     seen.setdefault(surrogates.name(shape, KEY, "", g).lower(), set()).add(shape.lower())
         assert all(len(olds) == 1 for olds in seen.values())
+
+
+def test_no_text_takes_long():
+    """Whatever comes after a hint, time grows with the text."""
+    for text in ("-----BEGIN PRIVATE KEY-----{} x!", "-----BEGIN PRIVATE KEY-----{}", "{}@", "token = {}", "Mr {}", "1{}", "AB12{}", "a:{}", "{}.com"):
+        for filler in (" ", "a", "A ", "1", "1 ", "Ab ", ".", "a.", ":", "-", "\n", "é"):
+            began = time.time()
+            pii.entities(text.format(filler * (100_000 // len(filler))))
+            assert time.time() - began < 2, (text, filler)
+    began = time.time()
+    pii.entities("-----BEGIN PRIVATE KEY-----" + " " * 1_000_000 + "x!")
+    assert time.time() - began < 1
+    names = " ".join(f"Mr {''.join(chr(65 + 32 * (k > 0) + i // 26**k % 26) for k in range(4))} came." for i in range(20_000))
+    began = time.time()
+    assert len(pii.entities(names)) >= 19_000 and time.time() - began < 5
+
+
+def test_keys_are_found_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nAbc+/9==\nxyz\n-----END RSA PRIVATE KEY-----"
+    ((start, end, kind),) = pii.entities("x " + key)
+    assert kind == "secret" and ("x " + key)[start:end] == "Abc+/9==\nxyz"
+
+
+def test_other_scripts():
+    """Addresses and names in any script are replaced, in their script, alike wherever they stand."""
+    s = pii.Surrogates(KEY)
+    for mail in ("李明@例子.com", "é@ü.com", "иван@пример.com", "İx@a.com", "عمر@مثال.com"):
+        new, found = pii.replaced(f"{mail} or {mail}", s)
+        assert [f["kind"] for f in found] == ["email", "email"] and mail not in new and new.split()[0] == new.split()[2]
+        assert [unicodedata.category(c) for c in new.split()[0]] == [unicodedata.category(c) for c in mail]
+    for text, old in (("你好，我叫李明，今年三十岁。李明很高兴。", ["李明"]), ("اسمي محمد السيد.", ["محمد", "السيد"]), ("Mr. 李 明 came", ["李", "明"]), ("제 이름은 김철수입니다", ["김철수"]), ("私の名前は田中です", ["田中"])):
+        new, found = pii.replaced(text, s)
+        assert found and not any(x in new for x in old), (text, new)
+        assert [unicodedata.name(c, "").split()[0] for c in new] == [unicodedata.name(c, "").split()[0] for c in text]
+    new, found = pii.replaced("我叫李明。李明说", s)
+    assert [f["kind"] for f in found] == ["name", "name"] and found[0]["surrogate"] == found[1]["surrogate"]
+
+
+def test_collisions_are_looked_for(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a@b.com and c@d.com"), (2, None)], "doc_id long, text string")
+    assert pii.checked(docs, KEY).count() == 2
+    found = pii.checked(docs, KEY).where("doc_id = 1").first()
+    same = found.asDict(recursive=True)
+    same["entities"][1]["surrogate"] = same["entities"][0]["surrogate"].upper()
+    schema = pii.checked(docs, KEY).schema
+    assert pii.collisions(spark.createDataFrame([same], schema)).count() == 1
+    monkeypatch.setattr(pii, "replace", lambda docs, key: spark.createDataFrame([same], schema))
+    with pytest.raises(ValueError):
+        pii.checked(docs, KEY)
