@@ -14,10 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 RUN, PAIR, SPAN = U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
-BASE, OTHER_BASE = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+BASE = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,40 +27,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: Bytes hashed together; a longer text is cut between words.
+#: Bytes of a text that are split into words at once; a longer text is cut between words.
 BYTES_HELD = 1 << 18
-#: A number for each byte, so that words are sums of well-mixed terms.
-OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * RUN)
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = b" \t\n\x0b\x0c\r"
 
 
-def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit tokens of the words of UTF-8 texts, one text after the other, and how many each text has."""
-    tokens, counts = [np.zeros(0, U)], []
-    held: list[bytes] = []
-    size = 0
+def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each word of UTF-8 texts, one text after the other, and how many words each text has. Together they are the word's XXH3 of 128 bits."""
+    found, sizes = [np.zeros((0, 2), U)], []
     for text in texts:
-        if len(text) > BYTES_HELD:
-            held, size = _flushed(held, tokens, counts)
-            parts = [_hashed(part)[0] for part in _pieces(text)]
-            tokens += parts
-            counts.append(np.array([sum(map(len, parts))]))
-            continue
-        held.append(text)
-        size += len(text)
-        if size > BYTES_HELD:
-            held, size = _flushed(held, tokens, counts)
-    _flushed(held, tokens, counts)
-    return np.concatenate(tokens), np.concatenate(counts) if counts else np.zeros(0, np.int64)
-
-
-def _flushed(held: list[bytes], tokens: list, counts: list) -> tuple[list, int]:
-    if held:
-        own, starts = _hashed(b"\n".join(held))
-        tokens.append(own)
-        counts.append(np.diff(np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held])), prepend=0))
-    return [], 0
+        n = 0
+        for part in _pieces(text):
+            words = part.split()
+            n += len(words)
+            found.append(np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(U))
+        sizes.append(n)
+    both = np.concatenate(found)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.array(sizes, np.int64)
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
@@ -67,34 +51,23 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(text):
         end = min(len(text), at + BYTES_HELD)
-        while end < len(text) and not BLANK[text[end]]:
+        while end < len(text) and text[end] not in BLANK:
             end += 1
         yield text[at:end]
         at = end
 
 
-def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the words of a text, and the bytes where they start."""
-    b = np.frombuffer(text, np.uint8)
-    blank = np.ones(len(b) + 2, bool)
-    blank[1:-1] = BLANK[b]
-    starts, ends = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
-    if not len(starts):
-        return np.zeros(0, U), starts
-    return Sums(OF_BYTE[b])(starts, ends) ^ U(1), starts
-
-
 class Sums:
-    """Hashes of any span of a sequence of tokens: polynomials in an odd base."""
+    """Hashes of any span of a sequence of tokens: polynomials in an odd base, modulo 2^64."""
 
-    def __init__(self, tokens: np.ndarray, base: np.uint64 = BASE):
+    def __init__(self, tokens: np.ndarray):
         n = len(tokens)
-        powers = np.full(n + 1, base)
+        powers = np.full(n + 1, BASE)
         powers[0] = 1
         np.multiply.accumulate(powers, out=powers)
         self.before = np.zeros(n + 1, U)
         np.cumsum(tokens * powers[:n], out=self.before[1:])
-        self.back = np.full(n + 1, U(pow(int(base), -1, 1 << 64)))
+        self.back = np.full(n + 1, U(pow(int(BASE), -1, 1 << 64)))
         self.back[0] = 1
         np.multiply.accumulate(self.back, out=self.back)
 
@@ -102,6 +75,32 @@ class Sums:
         return mix((self.before[end] - self.before[start]) * self.back[start])
 
 
+class PrimeSums:
+    """Hashes of any span, unrelated to Sums: polynomials modulo two primes under 2^31, side by side."""
+
+    #: The primes, and a base of each.
+    FIELDS = ((2147483647, 1103515245), (2147483629, 1597334677))
+
+    def __init__(self, tokens: np.ndarray):
+        self.parts = []
+        for p, base in self.FIELDS:
+            x = tokens % U(p)
+            before = np.zeros(len(x) + 1, U)
+            np.cumsum(x * self._powers(base, p, len(x)) % U(p), out=before[1:])  # under 2^31 * 2^31 words
+            self.parts.append((U(p), before % U(p), self._powers(pow(base, -1, p), p, len(x) + 1)))
+
+    @staticmethod
+    def _powers(base: int, p: int, n: int) -> np.ndarray:
+        out, step = np.ones(1, U), base % p
+        while len(out) < n:
+            out, step = np.concatenate([out, out * U(step) % U(p)]), step * step % p
+        return out[:n]
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        high, low = ((before[end] + p - before[start]) % p * back[start] % p for p, before, back in self.parts)
+        return mix(high << U(32) | low)
+
+
 def anchors(tokens: np.ndarray, part: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The name and the first word of the anchor of each window of `width` tokens that begins at `starts`.
 

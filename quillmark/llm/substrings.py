@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import arrow_schema, shuffle_partitions, written
-from quillmark.llm.recompress import OTHER_BASE, Sums, anchors, mix, word_tokens
+from quillmark.llm.recompress import PrimeSums, Sums, anchors, mix, word_tokens
 
-SECOND = np.uint64(0x27D4EB2F165667C5)
 #: Bytes of texts named together, and anchors held in a task until equal ones become one row.
 BYTES_HELD, ANCHORS_HELD = 320_000, 1_000_000
 OCCURRENCES = "route long, span long, other long, doc long, first int, n int, times int"
@@ -36,14 +35,9 @@ def once_each(hashes: np.ndarray, others: np.ndarray, route: np.ndarray, elsewhe
     return to, count
 
 
-def other_sums(tokens: np.ndarray) -> Sums:
-    """Hashes that don't depend on those of Sums: of other numbers for the tokens, in another base."""
-    return Sums(mix(tokens ^ SECOND), OTHER_BASE)
-
-
 def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Anchors of the texts' windows: name, two hashes of all words of the windows that share it, text, first window, their number."""
-    tokens, sizes = word_tokens(texts)
+    tokens, others, sizes = word_tokens(texts)
     offsets, part = np.r_[0, np.cumsum(sizes)], np.repeat(np.arange(len(texts)), sizes)
     starts = np.flatnonzero(np.arange(len(tokens)) + width <= offsets[1:][part]) if len(tokens) else np.zeros(0, np.int64)
     if not len(starts):
@@ -54,7 +48,7 @@ def occurrences(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
     shape = mix((at[begin] - first).astype(np.uint64) * np.uint64(1 << 20) + n.astype(np.uint64)) ^ mix(name[begin])
-    span, other = (mix(sums(tokens)(first, first + n - 1 + width) ^ shape).astype(np.int64) for sums in (Sums, other_sums))
+    span, other = (mix(sums(first, first + n - 1 + width) ^ shape).astype(np.int64) for sums in (Sums(tokens), PrimeSums(others)))
     return name[begin].astype(np.int64), span, other, part[first], first - offsets[part[first]], n
 
 
@@ -125,10 +119,10 @@ def open_windows(joined: DataFrame, width: int) -> DataFrame:
             of, first, n, kind = of[opened], first[opened].astype(np.int64), n[opened].astype(np.int64), kind[opened]
             if not len(of):
                 continue
-            tokens, sizes = word_tokens(b.column(1).cast(pa.binary()).to_pylist())
+            tokens, others, sizes = word_tokens(b.column(1).cast(pa.binary()).to_pylist())
             start, r = every((np.cumsum(sizes) - sizes)[of] + first, n)
             place = (start - (np.cumsum(sizes) - sizes)[of[r]] - first[r]).astype(np.int32)
-            hashes = (sums(tokens)(start, start + width).astype(np.int64) for sums in (Sums, other_sums))
+            hashes = (sums(start, start + width).astype(np.int64) for sums in (Sums(tokens), PrimeSums(others)))
             held.append((*hashes, b.column(0).to_numpy()[of[r]], first[r].astype(np.int32), place, kind[r] == 1))
             if sum(len(h[0]) for h in held) > ANCHORS_HELD:
                 yield from rows()

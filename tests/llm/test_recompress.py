@@ -12,7 +12,7 @@ words = st.lists(st.sampled_from("abc"), min_size=0, max_size=60) | st.lists(st.
 def test_equal_windows_have_equal_anchors_at_equal_places(before, shared, after, before_too, after_too, width, times):
     """Whatever stands around a window, and in whichever text, its anchor is the same one."""
     texts = [[*map(str, x)] for x in ([*before, *shared * times, *after], [*before_too, *shared * times, *after_too])]
-    tokens, sizes = recompress.word_tokens([" ".join(t).encode() for t in texts])
+    tokens, _, sizes = recompress.word_tokens([" ".join(t).encode() for t in texts])
     assert sizes.tolist() == [len(t) for t in texts]
     part = np.repeat([0, 1], sizes)
     starts = np.array([i + o for o, t in zip((0, len(texts[0])), texts) for i in range(len(t) - width + 1)], int)
@@ -35,22 +35,22 @@ def test_words_are_those_of_split(texts, held):
     raw = [t.encode() for t in texts]
     before, recompress.BYTES_HELD = recompress.BYTES_HELD, held
     try:
-        tokens, sizes = recompress.word_tokens(raw)
+        tokens, others, sizes = recompress.word_tokens(raw)
     finally:
         recompress.BYTES_HELD = before
     split = [t.split() for t in raw]
     assert sizes.tolist() == [len(s) for s in split]
     of = {}
-    for w, t in zip((w for s in split for w in s), tokens.tolist(), strict=True):
+    for w, t in zip((w for s in split for w in s), zip(tokens.tolist(), others.tolist(), strict=True), strict=True):
         assert of.setdefault(w, t) == t
-    assert len(set(of.values())) == len(of)
+    assert all(len({t[k] for t in of.values()}) == len(of) for k in (0, 1))
 
 
 def test_spans():
     tokens = recompress.mix(np.arange(50, dtype=np.uint64) % np.uint64(7))
-    h = recompress.Sums(tokens)
     starts = np.arange(40)
-    got = h(starts, starts + 10)
-    for i in range(40):
-        for j in range(40):
-            assert (got[i] == got[j]) == (i % 7 == j % 7)
+    for h in (recompress.Sums(tokens), recompress.PrimeSums(tokens)):
+        got = h(starts, starts + 10)
+        for i in range(40):
+            for j in range(40):
+                assert (got[i] == got[j]) == (i % 7 == j % 7)

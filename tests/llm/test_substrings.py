@@ -75,5 +75,21 @@ def test_rows_that_share_one_hash_alone_are_not_the_same():
 def test_hashes_are_independent_of_each_other():
     tokens = recompress.mix(np.arange(3000, dtype=np.uint64) % np.uint64(11))
     at = np.arange(2900)
-    one, other = recompress.Sums(tokens)(at, at + 40), substrings.other_sums(tokens)(at, at + 40)
+    one, other = recompress.Sums(tokens)(at, at + 40), recompress.PrimeSums(tokens)(at, at + 40)
     assert len(set(one.tolist())) == len(set(other.tolist())) == 11 and not set(one.tolist()) & set(other.tolist())
+
+
+def thue_morse(n, x, y):
+    return [x if bin(i).count("1") % 2 else y for i in range(n)]
+
+
+def test_words_that_polynomials_modulo_powers_of_two_confuse(spark):
+    """Long words, and long passages, of two letters by the Thue-Morse rule: no power of two as a modulus tells them from their complement."""
+    same = [f"w{i}" for i in range(34)]
+    word = lambda x, y: "".join(thue_morse(2048, x, y))
+    texts = [" ".join([*same, word("a", "b")]), " ".join([*same, word("b", "a")])]
+    assert [r.n_removed for r in substrings.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()] == [0, 0]
+    tokens, others, _ = recompress.word_tokens([" ".join(thue_morse(4096, *pair)).encode() for pair in (("a", "b"), ("b", "a"))])
+    start = np.array([0, 4096])
+    assert len(set(recompress.Sums(tokens)(start, start + 4096).tolist())) == 1  # so it is known for the first
+    assert len(set(recompress.PrimeSums(others)(start, start + 4096).tolist())) == 2
