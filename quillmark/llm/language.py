@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -15,14 +16,13 @@ from quillmark.llm.common import quoted
 #: Each of the two n-gram lengths has 2**BUCKET_BITS embeddings of DIM numbers.
 BUCKET_BITS, DIM = 14, 16
 BUCKETS = 2 << BUCKET_BITS
-#: The classifier is fitted on a sample of about this many documents of each language, chosen by a hash of the id, and of no more
-#: than SAMPLED in all; of a sampled document's distinct n-grams, no more than KEPT_GRAMS, chosen by a hash as well. That
-#: bounds what goes to the driver at 16 bytes * KEPT_GRAMS * SAMPLED.
+#: The classifier is fitted on a sample of about this many documents of each language, chosen by a hash of id and text, and of about
+#: SAMPLED in all, never over twice that; each language has one at least, so no more than SAMPLED languages are learned (those of most documents;
+#: Model.left_out counts documents of others). Of a sampled document's distinct n-grams no more than KEPT_GRAMS go in, chosen by a hash
+#: as well. That bounds what goes to the driver at 32 bytes * KEPT_GRAMS * SAMPLED.
 SAMPLE_PER_LANGUAGE, SAMPLED, KEPT_GRAMS = 600, 12_000, 2048
 #: Bytes looked at together.
 SLICE = 1 << 18
-#: So many languages are learned, those of most documents; it bounds what is sent to the tasks. Model.left_out counts documents of others.
-MOST_LANGUAGES = 500
 NOT_LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -40,18 +40,26 @@ def grams(text: str) -> Iterator[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # what each bucket adds to each language's logit, before the mean
+    embeddings: np.ndarray  # of each bucket
+    weights: np.ndarray  # by which a text's mean embedding gives each language's logit
     bias: np.ndarray
     temperature: float
     threshold: float
     left_out: int = 0
 
+    @cached_property
+    def scores(self) -> np.ndarray | None:
+        """What each bucket adds to each language's logit, where that is no more numbers than its embedding."""
+        return (self.embeddings @ self.weights).astype(np.float32) if len(self.languages) <= DIM else None
+
     def probabilities(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.languages)), 0
+        of = self.embeddings if self.scores is None else self.scores
+        total, n = np.zeros(of.shape[1]), 0
         for h in grams(text):
-            total += self.scores.take(h, axis=0).sum(0, dtype=np.float64)
+            total += of.take(h, axis=0).sum(0, dtype=np.float64)
             n += len(h)
-        return softmax((total / max(n, 1) + self.bias) / self.temperature)
+        mean = total / max(n, 1)
+        return softmax(((mean @ self.weights if self.scores is None else mean) + self.bias) / self.temperature)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -59,30 +67,35 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def sample(labelled: DataFrame, per_language: int, most_languages: int = MOST_LANGUAGES) -> tuple[list[tuple[str, np.ndarray, np.ndarray]], int]:
-    """Bucket counts of about per_language documents of each language, and how many documents are of languages too rare to be learned."""
-    counted = labelled.groupBy("lang").count()
+def sample(labelled: DataFrame, per_language: int, most_languages: int = SAMPLED) -> tuple[list[tuple[str, np.ndarray, np.ndarray]], int]:
+    """Bucket counts of about per_language different documents of each language, and how many are of languages too rare to be learned.
+
+    Rows are drawn by a hash of id and text, so that neither null nor repeated ids share a draw; rows that are alike in both are one.
+    """
+    labelled = labelled.select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text", F.lit("sample")).alias("draw"))
+    counted = labelled.select("lang", "draw").distinct().groupBy("lang").count()
     sizes = counted.orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not sizes:
         return [], 0
     left_out = counted.agg(F.sum("count")).first()[0] - sum(r["count"] for r in sizes)
     each = min(per_language, max(1, SAMPLED // len(sizes)))
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, each / r["count"]))))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < F.coalesce(share[F.col("lang")], F.lit(0.0)) * 1_000_000)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in sizes], "lang string, share double")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    chosen = drawn.dropDuplicates(["lang", "draw"]).orderBy("draw", "lang").limit(2 * SAMPLED)
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for lang, doc_id, of, text in zip(pdf.lang, pdf.doc_id, pdf.of, pdf.text, strict=True):
+            for lang, draw, text in zip(pdf.lang, pdf.draw, pdf.text, strict=True):
                 h, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *grams(text)]), return_counts=True)
                 if len(h) > KEPT_GRAMS:
                     few = np.sort(np.argsort(h * np.uint32(2654435761), kind="stable")[:KEPT_GRAMS])
                     h, n = h[few], n[few]
-                rows.append((lang, doc_id, of, h.astype(np.int32), n.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["lang", "doc_id", "of", "h", "n"])
+                rows.append((lang, draw, h.astype(np.int32), n.astype(np.int32)))
+            yield pd.DataFrame(rows, columns=["lang", "draw", "h", "n"])
 
-    found = chosen.select("lang", "doc_id", F.xxhash64("text").alias("of"), "text").mapInPandas(run, "lang string, doc_id long, of long, h array<int>, n array<int>").toArrow()
-    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("of", "ascending")]).combine_chunks()
+    found = chosen.mapInPandas(run, "lang string, draw long, h array<int>, n array<int>").toArrow()
+    found = found.sort_by([("lang", "ascending"), ("draw", "ascending")]).combine_chunks()
     parts = {c: (found[c].combine_chunks().values.to_numpy(), found[c].combine_chunks().offsets.to_numpy()) for c in ("h", "n")}
     cut = lambda c, i: parts[c][0][parts[c][1][i] : parts[c][1][i + 1]]
     rows = [(lang, cut("h", i), cut("n", i)) for i, lang in enumerate(found["lang"].to_pylist())]
@@ -122,8 +135,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
             b -= 0.1 * step * error
             np.subtract.at(e, h, step * share * back * 20)
             done += 1
-    scores = e @ w
-    logits = np.array([(scores[rows[i][1]] * (rows[i][2] / rows[i][2].sum())[:, None]).sum(0) + b for i in held])
+    logits = np.array([(e[rows[i][1]] * (rows[i][2] / rows[i][2].sum())[:, None]).sum(0) @ w + b for i in held])
     heat = np.geomspace(0.05, 20, 80)
     loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in heat]
     temperature = float(heat[int(np.argmin(loss))])
@@ -131,10 +143,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     right = p.max(1)[p.argmax(1) == y[held]]
     least = float(np.quantile(right, most_rejected, method="lower")) if len(right) else 0.0
     threshold = least / (2 - least)  # odds of p / (1 - p), halved
-    return Model(languages, scores.astype(np.float32), b, temperature, threshold)
+    return Model(languages, e.astype(np.float32), w, b, temperature, threshold)
 
 
-def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> Model | None:
+def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = SAMPLED) -> Model | None:
     """A model of the documents with text, a letter and lang; None where there are none."""
     rows, left_out = sample(docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")), per_language, most_languages)
     return replace(train(rows), left_out=left_out) if rows else None

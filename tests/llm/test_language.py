@@ -61,3 +61,26 @@ def test_columns_of_the_result_are_replaced_and_others_stay(docs):
     got = language.identify(odd, None)
     assert got.columns == [c for c in odd.columns if c not in ("score", "rejected")] + ["lang_pred", "score", "rejected"]
     assert got.select("_found").first()[0] == "x" and got.count() == docs.count()
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id, or all of one, are drawn as others are; a row that repeats is drawn once."""
+    rng = random.Random(8)
+    rows = [(prose(rng, lang, rng.randint(20, 60)), lang) for lang in ["en", "de"] * 900]
+    for same in (None, 133709):
+        docs = spark.createDataFrame([(same, t, lang) for t, lang in rows], "doc_id long, text string, lang string")
+        drawn, _ = language.sample(docs, 300)
+        assert all(200 < sum(lang == x for x, _, _ in drawn) < 400 for lang in ("en", "de"))
+        found = language.identify(docs.limit(100), language.fit(docs)).collect()
+        assert sum(r.lang_pred == r.lang for r in found) > 95
+    docs = spark.createDataFrame([(1, rows[0][0], "en")] * 3000 + [(2, rows[1][0], "de")], "doc_id long, text string, lang string")
+    assert len(language.sample(docs, 300)[0]) == 2
+
+
+def test_many_languages(spark):
+    """More labels than an embedding has numbers, one document each or two; none is left out."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, "en", 30) + f" {chr(97 + i % 26)}{i % 40}x" * 30, f"l{i % 40}") for i in range(80)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 40 and model.left_out == 0 and model.scores is None
+    assert abs(model.probabilities(rows[0][1]).sum() - 1) < 1e-9
