@@ -112,7 +112,8 @@ def training_order(docs: DataFrame, knots: Column | None = None) -> DataFrame:
 
     A copy that is cut has the first of its words, joined by one space. Rows that repeat are taken each.
     """
-    docs = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text", "lang").alias("_text"))
+    known = lambda c: F.coalesce(F.md5(F.col(c).cast("binary")), F.lit("null"))
+    docs = docs.select("doc_id", "text", "lang", "source", F.unhex(F.md5(F.concat_ws(" ", known("text"), known("lang")).cast("binary"))).alias("_text"))
     planned = plan(docs, knots, ("_text",)).select(F.col("doc_id").alias("_doc"), F.col("_text").alias("_hash"), F.col("source").alias("_source"), "size", "copies")
     repeated = Window.partitionBy("_doc", "_source", "_hash")
     planned = written(planned.withColumn("_n", F.count("*").over(repeated)).withColumn("copy", F.explode("copies")).drop("copies"))

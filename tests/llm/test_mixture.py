@@ -77,3 +77,9 @@ def test_rows_that_repeat_under_two_sources_keep_theirs(spark):
     for r in mixture.training_order(docs, mixture.curriculum(F.col("weight"))).collect():
         got[r.source] = got.get(r.source, 0) + r.words
     assert got == planned and set(got) == {"x", "y", None}
+
+
+def test_a_null_is_no_text_of_its_neighbour(spark):
+    rows = [(1, None, "en", "s"), (1, "en", None, "s")]
+    got = mixture.training_order(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert [(r.text, r.lang, r.words) for r in got] == [("en", None, 1)]
