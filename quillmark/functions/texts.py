@@ -116,6 +116,12 @@ def flat_space(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"\s+", " "))
 
 
+def stripped(value: Column) -> Column:
+    """Without what is blank at the ends; nothing inside is changed."""
+    blank = r"[\s\p{Z}\x1C-\x1F\x85]+"
+    return F.regexp_replace(value, f"^{blank}|{blank}\\z", "")
+
+
 def newlines(value: Column) -> Column:
     """CR LF and CR made LF, and nothing blank at the ends."""
     return F.regexp_replace(F.regexp_replace(value, r"\r\n?", "\n"), r"^\s+|\s+$", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.sources.folders import shared_folder
@@ -51,3 +51,54 @@ def current(log: DataFrame) -> DataFrame:
     """Aliases that hold after a log(alias_id, canonical_id, action, at, id) of merges and revocations."""
     last = log.groupBy("alias_id").agg(F.max_by(F.struct("action", "canonical_id"), F.struct("at", "id")).alias("_last"))
     return last.where("_last.action = 'merged'").select("alias_id", F.col("_last.canonical_id").alias("canonical_id"))
+
+
+def _pointed(entries: DataFrame) -> DataFrame:
+    """entries(of, seq, points, open, cut, ...) with what stood before each in its work's log: waits, whether a revocation there is not decided, and
+    first, what the work points to: the first of `points` since the last revocation that holds (cut)."""
+    log = Window.partitionBy("of").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    rows = entries.withColumns({"waits": F.coalesce(F.bool_or("open").over(log), F.lit(False)), "since": F.max("cut").over(log)})
+    return rows.withColumn("first", F.min("points").over(Window.partitionBy("of", "since").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)))
+
+
+def decided(log: DataFrame, works: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
+    """(seq, outcome, root) of a log(seq, action, alias_id, canonical_id, evidence) of merges and revocations, one after the other.
+
+    A merge makes its alias point to the root that its canonical work has at that moment: later merges of that root are followed, and what is
+    revoked later doesn't move it. outcome: merged; replayed for the same root and evidence while it holds, alias_conflict for others;
+    alias_cycle where the root is the alias itself; revoked; alias_missing where there is nothing to revoke; alias_revocation_conflict where
+    the same root was revoked for that alias before, which leaves the alias as it is; work_missing; identity_corrupt beyond most_hops. root:
+    of a merge its canonical work's at that moment, of a revocation what it was about. seq is a unique long.
+
+    What a work points to at a moment follows from its own log before that. So roots are followed for all entries at once, a hop a round; an
+    entry waits where what it depends on is not settled. The first one never waits, so rounds end, after as many as entries depend on one
+    another. One work's log is read in order by one task, which holds no more than a row of it; works that are never an alias, however often they
+    are named, are ends without that.
+    """
+    known = works.select("work_id").distinct()
+    found = lambda c, name: known.select(F.col("work_id").alias(c), F.lit(True).alias(name))
+    merge = F.col("action") == "merge"
+    rows = log.join(found("alias_id", "_alias"), "alias_id", "left").join(found("canonical_id", "_canonical"), "canonical_id", "left")
+    missing = F.col("_alias").isNull() | (merge & F.col("_canonical").isNull())
+    kind = log.schema["alias_id"].dataType
+    rows = _saved(rows.select("seq", F.col("alias_id").alias("node"), merge.alias("merge"), "evidence", F.when(merge, F.col("canonical_id")).otherwise(F.col("alias_id")).alias("cursor"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("root"), F.when(missing, "work_missing").alias("outcome")))
+    refused, rows = rows.where("outcome is not null"), rows.where("outcome is null")
+    aliases = _saved(rows.select(F.col("node").alias("of")).distinct())
+    points = F.when(F.col("merge") & F.col("outcome").isNull() & ~F.coalesce(F.col("root") == F.col("node"), F.lit(False)), F.struct("seq", F.col("root").isNotNull().alias("known"), "root", "evidence"))
+    entries = lambda df: df.select(F.col("node").alias("of"), "seq", points.alias("points"), (~F.col("merge") & F.col("outcome").isNull()).alias("open"), F.when(F.col("outcome") == "revoked", F.col("seq")).alias("cut"), F.lit(False).alias("asks"))
+    while (asking := rows.where("outcome is null and root is null").select(F.col("cursor").alias("of"), "seq")).limit(1).count():
+        ends = asking.join(aliases, "of", "left_anti").select("seq", F.lit(False).alias("waits"), F.lit(None).cast("struct<known:boolean>").alias("first"), F.col("of").alias("end"))
+        asking = asking.join(aliases, "of", "left_semi")
+        line = entries(rows).join(asking.select("of").distinct(), "of", "left_semi").unionByName(asking.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+        told = _pointed(line).where("asks").select("seq", "waits", "first.known", F.col("first.root").alias("next"), F.when(F.col("first").isNull() & ~F.col("waits"), F.col("of")).alias("end"))
+        told = told.unionByName(ends.select("seq", "waits", "first.known", "end"), allowMissingColumns=True)
+        gone = rows.where("outcome = 'revoked'").select("node", F.col("root").alias("next"), F.lit(True).alias("gone"))
+        rows = rows.join(told, "seq", "left").join(gone, ["node", "next"], "left")
+        hop, end = F.col("known") & ~F.col("waits"), F.col("end").isNotNull()
+        far = F.col("merge") & hop & (F.col("hops") >= most_hops)
+        outcome = F.when(far, "identity_corrupt").when(~F.col("merge") & end, "alias_missing").when(~F.col("merge") & hop, F.when(F.col("gone"), "alias_revocation_conflict").otherwise("revoked")).otherwise(F.col("outcome"))
+        root = F.when(F.col("merge") & end, F.col("end")).when(~F.col("merge") & hop, F.col("next")).otherwise(F.col("root"))
+        rows = _saved(rows.select("seq", "node", "merge", "evidence", F.when(F.col("merge") & hop, F.col("next")).otherwise(F.col("cursor")).alias("cursor"), (F.col("hops") + F.when(hop, 1).otherwise(0)).alias("hops"), root.alias("root"), outcome.alias("outcome")))
+    told = _pointed(entries(rows)).select("seq", F.col("first.root").alias("now"), F.col("first.evidence").alias("by"), F.col("first").isNotNull().alias("holds"))
+    merged = F.when(F.col("holds"), F.when((F.col("now") == F.col("root")) & F.col("by").eqNullSafe(F.col("evidence")), "replayed").otherwise("alias_conflict")).when(F.col("root") == F.col("node"), "alias_cycle").otherwise("merged")
+    return rows.join(told, "seq").select("seq", F.coalesce("outcome", merged).alias("outcome"), "root").union(refused.select("seq", "outcome", "root"))

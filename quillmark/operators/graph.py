@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions import identifiers, texts
+from quillmark.functions import identifiers, texts, values
 from quillmark.functions.hashing import framed_sha256
 
 #: Relations within a work, and between works.
@@ -31,22 +31,24 @@ def relation_entries(items: DataFrame) -> DataFrame:
     """(item_id, predicate, place, ordinal, id_type, target, asserted_by, class, gap) of items(item_id, json).
 
     A row for each entry, by predicate and place. gap says why it can't be used (and the ordinal, which counts usable
-    entries, is null then): entries_not_list, target_missing or asserted_by_invalid.
+    entries, is null then): not_object for the relations as a whole, predicate_invalid, entries_not_list, entry_not_object, target_missing or asserted_by_invalid.
     """
-    lists = F.from_json(F.get_json_object("json", "$.relation"), "map<string,string>")
-    rows = items.select("item_id", F.explode(F.map_entries(lists)).alias("e")).select("item_id", F.col("e.key").alias("predicate"), F.col("e.value").alias("_list"))
-    entries = F.from_json("_list", "array<string>")
-    rows = rows.select("item_id", "predicate", "_list", F.posexplode_outer(F.when(F.col("_list").startswith("["), entries)).alias("place", "_entry"))
-    rows = rows.withColumn("_e", F.from_json("_entry", "struct<`id-type`:string,id:string,`asserted-by`:string>"))
-    get = lambda k: F.col("_e")[k]
-    usable = lambda k, n: F.when(texts.valid_text(get(k), n), get(k))
+    relation = values.member(F.try_parse_json("json"), "relation")
+    rows = items.select("item_id", relation.alias("_all")).where(values.there(F.col("_all")))
+    rows = rows.select("item_id", F.explode_outer(values.members(F.col("_all"))).alias("predicate", "_list"), (values.kind(F.col("_all")) == "object").alias("_object")).where("not (_object and predicate is null)")
+    named = texts.valid_text(F.col("predicate"), 256)
+    rows = rows.select("item_id", "predicate", "_object", named.alias("_named"), values.kind(F.col("_list")).alias("_kind"), F.posexplode_outer(F.when(named, values.elements(F.col("_list")))).alias("place", "_e"))
+    rows = rows.where("not (_named and _kind = 'array' and place is null)")
+    usable = lambda k, n: values.plain(values.member(F.col("_e"), k), n)
     gap = (
-        F.when(F.col("place").isNull(), "entries_not_list")
-        .when(~F.coalesce(F.col("_entry").startswith("{"), F.lit(False)), "entry_not_object")
+        F.when(~F.col("_object"), "not_object")
+        .when(~F.col("_named"), "predicate_invalid")
+        .when(F.col("_kind") != "array", "entries_not_list")
+        .when(values.kind(F.col("_e")) != "object", "entry_not_object")
         .when(usable("id-type", 128).isNull() | usable("id", 4096).isNull(), "target_missing")
-        .when(get("asserted-by").isNotNull() & usable("asserted-by", 128).isNull(), "asserted_by_invalid")
+        .when(values.there(values.member(F.col("_e"), "asserted-by")) & usable("asserted-by", 128).isNull(), "asserted_by_invalid")
     )
-    out = rows.where("not (place is null and _list = '[]')").withColumn("gap", gap)
+    out = rows.withColumn("gap", gap)
     order = Window.partitionBy("item_id", F.col("gap").isNull()).orderBy("predicate", F.asc_nulls_first("place"))
     return out.select(
         "item_id",
@@ -65,16 +67,19 @@ def _updates(items: DataFrame) -> DataFrame:
     """(item_id, direction, path, ordinal, _raw): entries of both directions' lists, and what is no list with null ordinal."""
 
     def one(key: str) -> DataFrame:
-        rows = items.select("item_id", F.get_json_object("json", f"$['{key}']").alias("_all")).where("_all is not null")
-        entries = F.when(F.col("_all").startswith("["), F.from_json("_all", "array<string>"))
-        rows = rows.select("item_id", "_all", F.posexplode_outer(entries).alias("ordinal", "_raw")).where("not (ordinal is null and _all = '[]')")
+        rows = items.select("item_id", values.member(F.try_parse_json("json"), key).alias("_all")).where(values.there(F.col("_all")))
+        rows = rows.select("item_id", values.kind(F.col("_all")).alias("_kind"), F.posexplode_outer(values.elements(F.col("_all"))).alias("ordinal", "_raw")).where("not (_kind = 'array' and ordinal is null)")
         path = F.when(F.col("ordinal").isNull(), key).otherwise(F.format_string(f"{key}[%d]", "ordinal"))
         return rows.select("item_id", F.lit(key.replace("-", "_")).alias("direction"), path.alias("path"), "ordinal", "_raw")
 
     rows = one("update-to").union(one("updated-by"))
-    get = lambda k: F.get_json_object("_raw", f"$.{k}")
-    rows = rows.withColumns({"_object": F.coalesce(F.col("_raw").startswith("{"), F.lit(False)), "_doi": get("DOI"), "_type": get("type"), "_source": get("source"), "_label": get("label"), "_updated": get("updated")})
-    return rows.withColumn("_date", texts.provider_date(F.col("_updated")))
+    fields = {"doi": ("DOI", 2048), "type": ("type", 256), "source": ("source", 256), "label": ("label", 1024)}
+    rows = rows.withColumn("_object", F.coalesce(values.kind(F.col("_raw")) == "object", F.lit(False)))
+    for name, (key, longest) in fields.items():
+        value = values.member(F.col("_raw"), key)
+        rows = rows.withColumns({f"_{name}": values.plain(value, longest), f"_{name}_wrong": values.there(value) & values.plain(value, longest).isNull()})
+    updated = values.member(F.col("_raw"), "updated")
+    return rows.withColumns({"_updated": values.there(updated), "_date": texts.provider_date(F.when(values.kind(updated) == "object", F.to_json(updated)))})
 
 
 def integrity_entries(items: DataFrame) -> DataFrame:
@@ -83,22 +88,21 @@ def integrity_entries(items: DataFrame) -> DataFrame:
     What can't be read is null here and a row of integrity_gaps; an entry that is no object is only there.
     """
     rows = _updates(items).where("_object")
-    usable = lambda c, n: F.when(texts.valid_text(F.col(c), n), F.col(c))
-    kind = F.coalesce(texts.integrity_kind(usable("_type", 256)), F.lit("other_update"))
-    return rows.select("item_id", "direction", "ordinal", usable("_doi", 2048).alias("counterparty"), kind.alias("kind"), F.col("_date.value").alias("updated"), F.col("_date.precision").alias("precision"))
+    kind = F.coalesce(texts.integrity_kind(F.col("_type")), F.lit("other_update"))
+    return rows.select("item_id", "direction", "ordinal", F.col("_doi").alias("counterparty"), kind.alias("kind"), F.col("_date.value").alias("updated"), F.col("_date.precision").alias("precision"))
 
 
 def integrity_gaps(items: DataFrame) -> DataFrame:
     """(item_id, path, code) of what in the updates can't be read."""
     rows = _updates(items)
     gap = lambda when, path, code: F.when(when, F.struct(F.concat("path", F.lit(path)).alias("path"), F.lit(code).alias("code")))
-    wrong = lambda c, n: F.col("_object") & F.col(c).isNotNull() & ~texts.valid_text(F.col(c), n)
+    wrong = lambda c: F.col("_object") & F.col(f"_{c}_wrong")
     gaps = F.array_compact(F.array(
         gap(F.col("ordinal").isNull(), "", "integrity_updates_not_list"),
         gap(F.col("ordinal").isNotNull() & ~F.col("_object"), "", "integrity_update_not_object"),
-        gap(wrong("_doi", 2048), ".DOI", "integrity_counterparty_doi_invalid_text"),
-        *(gap(wrong(f"_{c}", n), f".{c}", "integrity_field_invalid") for c, n in (("type", 256), ("source", 256), ("label", 1024))),
-        gap(F.col("_object") & F.col("_updated").isNotNull() & F.col("_date.value").isNull(), ".updated", "integrity_updated_invalid"),
+        gap(wrong("doi"), ".DOI", "integrity_counterparty_doi_invalid_text"),
+        *(gap(wrong(c), f".{c}", "integrity_field_invalid") for c in ("type", "source", "label")),
+        gap(F.col("_object") & F.col("_updated") & F.col("_date.value").isNull(), ".updated", "integrity_updated_invalid"),
     ))
     return rows.select("item_id", F.explode(gaps).alias("g")).select("item_id", "g.path", "g.code")
 

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions import texts
 from quillmark.functions.hashing import framed_sha256
+from quillmark.operators.clusters import saved
+
+#: Kinds of manifestations and states of publications.
+MANIFESTATION_KINDS = ["preprint", "publication", "notice", "repository_copy"]
+PUBLICATION_STATES = ["preprint", "published", "corrected", "retracted", "withdrawn", "unknown"]
+#: What an observation says; one that comes again under its id must say the same.
+OBSERVED = ["namespace", "value", "native_version", "title", "fingerprint", "manifestation_kind", "landing_url", "publication_status", "observed_at", "source_updated_at", "published_at"]
+#: What belongs to a revision, and may not differ while its content is the same.
+OF_REVISION = ["native_version", "title", "source_updated_at", "published_at"]
 
 
 def resolved(observations: DataFrame) -> DataFrame:
@@ -37,3 +47,64 @@ def freshest(candidates: DataFrame, key: str, *freshness: str) -> DataFrame:
     best = candidates.groupBy(key).agg(F.max(order).alias("_best"))
     top = candidates.join(best, key).where(order == F.col("_best"))
     return top.groupBy(key).agg(F.min("candidate_id").alias("candidate_id"), (F.count("*") > 1).alias("tied"))
+
+
+def well_formed(id_length: int = 128, longest: int = 8192) -> Column:
+    """Whether an observation's fields are what they must be: an id, plain title and address, a fingerprint, known kinds, and no update after it was observed."""
+    fits = (
+        F.col("source_observation_id").rlike(f"^[A-Za-z0-9][A-Za-z0-9:_-]{{0,{id_length - 1}}}\\z")
+        & texts.valid_text(F.col("title"), longest)
+        & texts.valid_text(F.col("landing_url"), longest)
+        & F.col("fingerprint").rlike("^[0-9a-f]{64}\\z")
+        & F.col("manifestation_kind").isin(MANIFESTATION_KINDS)
+        & F.col("publication_status").isin(PUBLICATION_STATES)
+        & F.col("observed_at").isNotNull()
+        & (F.col("source_updated_at").isNull() | (F.col("source_updated_at") <= F.col("observed_at")))
+    )
+    return F.coalesce(fits, F.lit(False))
+
+
+def registered(observations: DataFrame) -> DataFrame:
+    """observations (seq, source_observation_id and OBSERVED) taken one by one in the order of seq: error, ids, and what each creates.
+
+    invalid_observation: not well_formed. source_observation_conflict: its id came before with anything else. manifestation_conflict: its
+    identifier has another kind of manifestation. revision_conflict: its content is known with another version, title or date. Such a one
+    leaves nothing behind, so it is no reason to refuse a later one. seq is unique.
+
+    What an observation is compared with is the first accepted one of its id, of its identifier, and of its content. These are looked up for
+    all rows at once, as if all were accepted but those known to be refused; decisions hold as soon as those before them do, so rounds
+    end when none changes, after as many as refusals depend on one another.
+    """
+    said = F.sha2(F.to_json(F.struct(*OBSERVED), {"ignoreNullFields": "false"}), 256)
+    about = F.sha2(F.to_json(F.struct(*OF_REVISION), {"ignoreNullFields": "false"}), 256)
+    rows = observations.withColumns({"_said": said, "_about": about, "_valid": well_formed(), "_key": F.concat_ws(":", "namespace", "value")})
+    rows = saved(rows.select("seq", "source_observation_id", "_key", "fingerprint", "manifestation_kind", "_said", "_about", "_valid"))
+    decided = saved(rows.select("seq", F.when(~F.col("_valid"), "invalid_observation").alias("error")))
+    groups = {"said": (["source_observation_id"], "_said"), "kind": (["_key"], "manifestation_kind"), "about": (["_key", "fingerprint"], "_about")}
+    while True:
+        fine = rows.join(decided, "seq")
+        met = fine
+        for name, (keys, what) in groups.items():
+            first = fine.where("error is null").groupBy(*keys).agg(F.min(F.struct(F.col("seq").alias("at"), F.col(what).alias("what"))).alias(name))
+            met = met.join(first, keys, "left")
+        differs = lambda name, what: (F.col(name)["at"] < F.col("seq")) & (F.col(name)["what"] != F.col(what))
+        error = F.when(~F.col("_valid"), "invalid_observation")
+        for name, code in (("said", "source_observation_conflict"), ("kind", "manifestation_conflict"), ("about", "revision_conflict")):
+            error = error.when(differs(name, groups[name][1]), code)
+        new = saved(met.select("seq", error.alias("error"), "_key", "fingerprint", (F.col("error").isNull() & (F.col("kind")["at"] == F.col("seq"))).alias("created_work"), (F.col("error").isNull() & (F.col("about")["at"] == F.col("seq"))).alias("created_revision")))
+        changed = new.join(decided.select("seq", F.col("error").alias("_was")), "seq").where(~F.col("error").eqNullSafe(F.col("_was"))).limit(1).count()
+        decided = new.select("seq", "error")
+        if not changed:
+            break
+    fine = lambda c: F.when(F.col("error").isNull(), c)
+    manifestation = F.concat(F.lit("manifestation:"), framed_sha256(F.lit("manifestation-identity-v1"), F.col("_key")))
+    return new.select(
+        "seq",
+        "error",
+        fine(F.concat(F.lit("work:"), framed_sha256(F.lit("work-identity-v1"), F.col("_key")))).alias("work_id"),
+        fine(manifestation).alias("manifestation_id"),
+        fine(F.concat(F.lit("revision:"), framed_sha256(F.lit("revision-identity-v1"), manifestation, F.col("fingerprint")))).alias("revision_id"),
+        F.coalesce("created_work", F.lit(False)).alias("created_work"),
+        F.coalesce("created_work", F.lit(False)).alias("created_manifestation"),
+        F.coalesce("created_revision", F.lit(False)).alias("created_revision"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions import texts, timing
+from quillmark.functions import rates, texts, timing, values
 from quillmark.operators import evidence, ledgers, planning, providers, revisions, traversal
 from quillmark.plans.registry import query
 from quillmark.sources import feeds
@@ -221,7 +221,7 @@ def strict_texts(spark: SparkSession, folder: str) -> DataFrame:
     body = F.when(n == 0, '{"a":1,"a":2}').when(n == 1, '{"a":NaN}').when(n == 2, "{a}").when(n == 3, F.concat(F.repeat(F.lit("["), F.lit(70)), F.repeat(F.lit("]"), F.lit(70)))).otherwise('{"a":[1]}')
     flat = texts.flat_space(F.concat(F.lit(" "), F.col("lang"), F.lit(" \n a\t b ")))
     lines = texts.newlines(F.concat(F.lit(" \r\n"), F.col("lang"), F.lit("\r\n"), F.col("source"), F.lit("\rx\n ")))
-    return table(spark, folder, "documents").select("doc_id", feeds.strict_json()(body).alias("error"), flat.alias("flat"), lines.alias("lines"))
+    return table(spark, folder, "documents").select("doc_id", values.problem(body).alias("error"), flat.alias("flat"), lines.alias("lines"))
 
 
 @query("""

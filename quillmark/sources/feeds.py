@@ -101,46 +101,6 @@ def returned_as_asked(asked: Column, returned: Column) -> Column:
     return (F.size(F.array_except(asked, returned)) == 0) & (F.size(F.array_except(returned, asked)) == 0)
 
 
-def strict_json(most_depth: int = 64, most_nodes: int = 100_000):
-    """A column function: null, or why a text isn't strict JSON within bounds."""
-
-    @F.pandas_udf(StringType())
-    def check(texts: pd.Series) -> pd.Series:
-        def unique(pairs):
-            if len(dict(pairs)) < len(pairs):
-                raise KeyError
-            return dict(pairs)
-
-        def constant(name):
-            raise ArithmeticError
-
-        def one(text):
-            try:
-                left, nodes = [(json.loads(text, object_pairs_hook=unique, parse_constant=constant), 1)], 0
-            except KeyError:
-                return "duplicate_key"
-            except ArithmeticError:
-                return "not_finite"
-            except (ValueError, TypeError):
-                return "invalid"
-            except RecursionError:
-                return "too_deep"
-            while left:
-                value, depth = left.pop()
-                nodes += 1
-                if depth > most_depth:
-                    return "too_deep"
-                if nodes > most_nodes:
-                    return "too_large"
-                inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-                left += [(x, depth + 1) for x in inner]
-            return None
-
-        return pd.Series([one(t) for t in texts], dtype=object)
-
-    return check
-
-
 def storage_problems(registry: DataFrame, files: DataFrame) -> DataFrame:
     """(path, code) of registry(path, sha256, state) against files(path, sha256): what is missing, changed or not available, and
     what nobody registered."""

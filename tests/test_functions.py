@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.functions import hashing, identifiers, texts, timing
+from quillmark.functions import hashing, identifiers, rates, texts, timing
+from quillmark.functions import values as json_values
 from quillmark.operators import aliases, evidence, ledgers, revisions, traversal
 from quillmark.sources import feeds
 
@@ -43,7 +44,7 @@ def test_json(spark):
     cases = ['{"b": 1.50, "a": "é"}', '{"a":1,"a":2}', "[NaN]", "{", None]
     assert values(spark, hashing.canonical_json_ascii(F.col("a")), cases) == ['{"a":"\\u00e9","b":1.5}', None, None, None, None]
     assert values(spark, hashing.canonical_json_utf8(F.col("a")), cases)[0] == '{"a":"é","b":1.5}'
-    assert values(spark, feeds.strict_json(most_depth=3)(F.col("a")), [*cases, "[[[[1]]]]"]) == [None, "duplicate_key", "not_finite", "invalid", "invalid", "too_deep"]
+    assert values(spark, json_values.problem(F.col("a"), most_depth=3), [*cases, "[[[[1]]]]"]) == [None, "duplicate_key", "not_finite", "invalid", "invalid", "too_deep"]
 
 
 def test_local_cutoff(spark):
