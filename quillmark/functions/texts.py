@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,15 +140,26 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f looks at it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def counted(items: Column) -> Column:
-    """An array as a multiset: sorted distinct struct(item, n)."""
-    return F.transform(F.array_sort(F.array_distinct(items)), lambda x: F.struct(x.alias("item"), F.size(F.filter(items, lambda y: y == x)).alias("n")))
+    """An array as a multiset: sorted distinct struct(item, n). It is sorted once, and cut where an item differs from the one before."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))).otherwise(F.array().cast("array<int>"))
+        return bound(starts, lambda at: F.transform(at, lambda a, k: F.struct(F.get(s, a).alias("item"), (F.coalesce(F.get(at, k + 1), n) - a).alias("n"))))
+
+    return bound(F.array_sort(items), runs)
 
 
 def contained(left: Column, right: Column) -> Column:
-    """Whether each item of left is in right at least as often."""
-    times = lambda xs, y: F.size(F.filter(xs, lambda x: x == y))
-    return F.forall(F.array_distinct(left), lambda y: times(left, y) <= times(right, y))
+    """Whether each item of left is in right at least as often. Both are sorted, and right is walked through once: an item of left that is passed over isn't in it."""
+    found = lambda s: F.aggregate(s["r"], F.lit(0), lambda at, y: at + F.when(F.get(s["l"], at) == y, 1).otherwise(0)) == F.size(s["l"])
+    return F.when(left.isNotNull() & right.isNotNull(), bound(F.struct(F.array_sort(left).alias("l"), F.array_sort(right).alias("r")), found))
 
 
 def unit_name(unit: Column) -> Column:

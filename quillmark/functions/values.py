@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,11 +53,6 @@ def elements(value: Column) -> Column:
     return F.when(kind(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
 
 
-def bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is computed once, however often f looks at it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def problem(text: Column, most_depth: int = 64, most_nodes: int = 100_000) -> Column:
     """Why a text isn't strict JSON within bounds, or null: too_deep and too_large by its brackets, before it is parsed; then invalid, not_finite,
     duplicate_key. Numbers beyond a double aren't finite.
@@ -84,7 +77,7 @@ def problem(text: Column, most_depth: int = 64, most_nodes: int = 100_000) -> Co
 
     bare = F.regexp_replace(text, STRING, "0")
     rest = F.aggregate(F.sequence(F.lit(1), F.lit(most_depth)), bare, lambda left, _: F.regexp_replace(left, INNERMOST, "0"))
-    return F.when(text.isNull(), "invalid").otherwise(bound(F.struct(bare.alias("bare"), rest.alias("rest"), F.get_json_object(text, "$").alias("lenient")), judged))
+    return F.when(text.isNull(), "invalid").otherwise(texts.bound(F.struct(bare.alias("bare"), rest.alias("rest"), F.get_json_object(text, "$").alias("lenient")), judged))
 
 
 def sent(array: Column, body: Column, path: str) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from quillmark.functions import values
+
 OPEN = ("reserved", "dispatching")
 
 
@@ -103,3 +105,63 @@ def maintenance(finalise: DataFrame, repair: DataFrame, budget: int) -> DataFram
     """(window_id, action) within one tick's budget: windows to finalise first, then repairs, each in its own order (place)."""
     both = finalise.select("window_id", "place", F.lit("finalise").alias("action"), F.lit(0).alias("_k")).union(repair.select("window_id", "place", F.lit("repair"), F.lit(1)))
     return both.orderBy("_k", "place", "window_id").limit(budget).select("window_id", "action")
+
+
+def framing(headers: Column) -> Column:
+    """struct(length, error) of headers array<struct<key,value>>: the stated length of a body, null where it isn't stated or comes in chunks.
+
+    invalid_response_framing: either header twice, both, a coding other than chunked, or a length that is no number of up to 18 digits.
+    """
+    own = lambda name: F.transform(F.filter(headers, lambda h: h["key"] == name), lambda h: F.trim(h["value"]))
+    lengths, codings = own("content-length"), F.transform(own("transfer-encoding"), F.lower)
+    length = F.when(F.get(lengths, F.lit(0)).rlike(r"^[0-9]{1,18}\z"), F.get(lengths, F.lit(0)).try_cast("long"))
+    wrong = (F.size(lengths) > 1) | (F.size(codings) > 1) | ((F.size(lengths) > 0) & ((F.size(codings) > 0) | length.isNull())) | ((F.size(codings) > 0) & (F.get(codings, F.lit(0)) != "chunked"))
+    return F.struct(F.when(~wrong, length).alias("length"), F.when(wrong, "invalid_response_framing").alias("error"))
+
+
+def receipt(content: Column) -> Column:
+    """struct(attempt_key, fingerprint, body_sha256, body_size, complete, error) of a receipt's JSON; attempt_key is null for what is no receipt.
+
+    crossref_orphan_receipt_invalid: of another version, without a sound hash or size, or with an object that isn't the body's hash.
+    """
+    value = F.when(F.octet_length(content) <= MOST_RECEIPT, F.try_parse_json(content))
+    text = lambda k, v=value: F.when(values.kind(values.member(v, k)) == "text", F.try_variant_get(values.member(v, k), "$", "string"))
+    whole = lambda k: F.when(values.kind(values.member(value, k)) == "integer", F.try_variant_get(values.member(value, k), "$", "bigint"))
+    complete = F.when(values.kind(values.member(value, "complete")) == "boolean", F.try_variant_get(values.member(value, "complete"), "$", "boolean"))
+    sha, size = text("body_sha256"), whole("body_size")
+    sound = (whole("schema_version") == 1) & sha.rlike(r"^[0-9a-f]{64}\z") & (text("body_object_id") == F.concat(F.lit("raw:"), sha)) & (size >= 0) & complete.isNotNull()
+    error = F.when(~F.coalesce(sound, F.lit(False)), "crossref_orphan_receipt_invalid")
+    return F.struct(text("attempt_key").alias("attempt_key"), text("request_fingerprint", values.member(value, "request")).alias("fingerprint"), sha.alias("body_sha256"), size.alias("body_size"), complete.alias("complete"), error.alias("error"))
+
+
+#: The longest receipt.
+MOST_RECEIPT = 1 << 20
+
+
+def orphan_receipts(pages: DataFrame, objects: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(page_id, outcome, receipt_id): what becomes of pages whose answer may have been stored without being noted.
+
+    pages(page_id, fingerprint, active); objects(object_id, sha256, size, state, content) of raw bytes; attempts(receipt_id). Objects that no attempt has are looked
+    through: attached where exactly one is a receipt for the page and its request; crossref_orphan_receipt_ambiguous for several; crossref_orphan_request_mismatch or
+    crossref_orphan_receipt_invalid for one that doesn't fit or isn't sound; none. crossref_orphan_page_not_active for other pages. If any object looked through
+    is registered wrongly or isn't what its hash says, no page can be settled: the error of the first such object, by id, is each active page's.
+    """
+    free = objects.join(attempts.select(F.col("receipt_id").alias("object_id")).distinct(), "object_id", "left_anti")
+    wrong = (
+        F.when(~F.coalesce((F.col("object_id") == F.concat(F.lit("raw:"), F.col("sha256"))) & F.col("sha256").rlike(r"^[0-9a-f]{64}\z") & (F.col("size") >= 0), F.lit(False)), "crossref_orphan_registry_corrupt")
+        .when(~F.coalesce((F.col("state") == "available") & (F.octet_length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("sha256")), F.lit(False)), "crossref_orphan_object_unreadable")
+    )
+    free = free.select("object_id", wrong.alias("wrong"), receipt(F.col("content")).alias("r"))
+    blocked = free.where("wrong is not null").agg(F.min(F.struct("object_id", "wrong")).alias("first")).select(F.col("first.wrong").alias("blocked"))  # one row
+    found = free.where("wrong is null and r.attempt_key is not null").groupBy(F.col("r.attempt_key").alias("page_id")).agg(F.count("*").alias("n"), F.min(F.struct("object_id", "r")).alias("one"))
+    rows = pages.join(found, "page_id", "left").crossJoin(F.broadcast(blocked))
+    outcome = (
+        F.when(~F.col("active"), "crossref_orphan_page_not_active")
+        .when(F.col("blocked").isNotNull(), F.col("blocked"))
+        .when(F.col("n").isNull(), "none")
+        .when(F.col("n") > 1, "crossref_orphan_receipt_ambiguous")
+        .when(F.col("one.r.error").isNotNull(), F.col("one.r.error"))
+        .when(~F.col("one.r.fingerprint").eqNullSafe(F.col("fingerprint")), "crossref_orphan_request_mismatch")
+        .otherwise("attached")
+    )
+    return rows.withColumn("outcome", outcome).select("page_id", "outcome", F.when(F.col("outcome") == "attached", F.col("one.object_id")).alias("receipt_id"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What a delivery is, by the state of its outbox and its digest, and what an item is, by outbox and ledger.
+from quillmark.operators.folds import Step, folded
+
+#: What a delivery is, by the state of its outbox and its digest.
 DELIVERY_STATUS = {
     ("pending", "queued"): "pending",
     ("sending", "queued"): "sending",
@@ -15,14 +16,6 @@ DELIVERY_STATUS = {
     ("unknown", "unknown"): "unknown",
     ("cancelled", "cancelled"): "cancelled",
 }
-ITEM_STATUS = {
-    ("pending", "reserved"): "pending",
-    ("sending", "reserved"): "sending",
-    ("provider_accepted", "accepted"): "sent",
-    ("failed", "reserved"): "failed",
-    ("unknown", "unknown"): "unknown",
-    ("cancelled", "cancelled"): "cancelled",
-}
 #: By what a sender reports, the states of attempt, outbox, digest and ledger; anything else makes all unknown.
 SENT_STATES = {
     "provider_accepted": ("provider_accepted", "provider_accepted", "sent", "accepted"),
@@ -38,22 +31,23 @@ def budget_used(reservations: DataFrame) -> DataFrame:
     return reservations.groupBy("period", "currency").agg(F.coalesce(F.sum(amount), F.lit(0)).alias("used"))
 
 
+ADMITTED = "period string, currency string, request_id long, decision string"
+
+
+def admission(limit: int) -> Step:
+    """A request is reserved unless it would pass the limit; a blocked one leaves room for a smaller later one."""
+
+    def step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+        fits = state[0] + row["amount"] <= limit
+        return (state[0] + row["amount"] * fits,), (row["period"], row["currency"], row["request_id"], "reserved" if fits else "blocked")
+
+    return step
+
+
 def admitted(requests: DataFrame, limit: int) -> DataFrame:
-    """requests(period, currency, request_id, at, amount) with decision: each is reserved unless it would pass the limit, in the
-    order of time and id. A blocked one leaves room for a smaller later one, so this is a fold, in one task for each period
-    and currency."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "request_id"])
-        used, decisions = 0, []
-        for amount in rows.amount:
-            fits = used + amount <= limit
-            used += amount if fits else 0
-            decisions.append("reserved" if fits else "blocked")
-        return rows.assign(decision=decisions)[["period", "currency", "request_id", "decision"]]
-
-    schema = "period string, currency string, request_id long, decision string"
-    return requests.select("period", "currency", "request_id", "at", "amount").groupBy("period", "currency").applyInPandas(fold, schema)
+    """requests(period, currency, request_id, at, amount) with decision, by time and id in each period and currency; see `admission`."""
+    rows = requests.select("period", "currency", "request_id", "at", "amount")
+    return folded(rows, ["period", "currency"], ["at", "request_id"], (0,), admission(limit), ADMITTED)
 
 
 def known_runs(requests: DataFrame, runs: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 from quillmark.functions import texts, timing, values
 from quillmark.functions.hashing import canonical_json_ascii
+from quillmark.operators.rows import pinned
 
 #: Keys of an item that make up its content.
 SEMANTIC_KEYS = [
@@ -28,12 +29,14 @@ def decoded_pages(pages: DataFrame) -> DataFrame:
     Length, brackets and keys are checked before anything is taken out. A page with an error has none of the others. A page of fewer items than asked for (rows) is the last of its traversal; any
     other must say where it goes on, and not where it began.
     """
-    rows = pages.withColumn("_problem", values.problem(F.col("body"), MOST_DEPTH, MOST_NODES)).withColumn("_v", F.when(F.col("_problem").isNull(), F.try_parse_json("body")))
+    own = ["page_id", "body", "cursor", "rows", "sha256", "status"]
+    rows = pinned(pages, own, _problem=values.problem(F.col("body"), MOST_DEPTH, MOST_NODES))
+    rows = pinned(rows, own, _v=F.when(F.col("_problem").isNull(), F.try_parse_json("body")))
     message = values.member(F.col("_v"), "message")
     items, cursor, total = (values.member(message, k) for k in ("items", "next-cursor", "total-results"))
     text = lambda v: F.when(values.kind(v) == "text", F.try_variant_get(v, "$", "string"))
-    rows = rows.withColumns({"_items": values.elements(items), "_cursor": values.there(cursor), "next_cursor": text(cursor), "_total": values.there(total), "total": F.when(values.kind(total) == "integer", F.try_variant_get(total, "$", "bigint"))})
-    rows = rows.withColumn("items", values.sent(F.col("_items"), F.col("body"), "message.items"))
+    rows = pinned(rows, [*own, "_v"], _items=values.elements(items), _cursor=values.there(cursor), next_cursor=text(cursor), _total=values.there(total), total=F.when(values.kind(total) == "integer", F.try_variant_get(total, "$", "bigint")))
+    rows = pinned(rows, [*own, "_v", "_cursor", "next_cursor", "_total", "total"], items=values.sent(F.col("_items"), F.col("body"), "message.items"))
     says = lambda k, what: F.coalesce(text(values.member(F.col("_v"), k)) == what, F.lit(False))
     wrong = (values.kind(F.col("_v")) != "object") | ~says("status", "ok") | ~says("message-type", "work-list") | F.col("items").isNull()
     bad_total = F.col("_total") & (F.col("total").isNull() | (F.col("total") < 0))
@@ -48,14 +51,15 @@ def decoded_pages(pages: DataFrame) -> DataFrame:
         .when(~last & ~F.col("_cursor"), "crossref_next_cursor_missing")
         .when(~last & ((F.col("next_cursor") == F.col("cursor")) | (F.col("next_cursor") == "*")), "crossref_cursor_no_progress")
     )
-    rows = rows.withColumn("error", error)
+    rows = pinned(rows, ["page_id", "rows", "next_cursor", "total", "items"], error=error)
     fine = lambda c: F.when(F.col("error").isNull(), c)
     return rows.select("page_id", "error", fine(F.col("next_cursor")).alias("next_cursor"), fine(F.col("total")).alias("total"), fine(last).alias("end_hint"), fine(F.col("items")).alias("items"))
 
 
 def decoded_items(decoded: DataFrame) -> DataFrame:
     """(page_id, ordinal, state, raw_doi, sha256, error) for each item of decoded pages; an item without a usable DOI is quarantined alone."""
-    rows = decoded.select("page_id", F.posexplode("items").alias("ordinal", "_raw")).withColumn("_doi", values.member(F.try_parse_json("_raw"), "DOI"))
+    rows = decoded.select("page_id", F.posexplode("items").alias("ordinal", "_raw"))
+    rows = pinned(rows, ["page_id", "ordinal", "_raw"], _doi=values.member(F.try_parse_json("_raw"), "DOI"))
     rows = rows.withColumn("raw_doi", F.when(values.kind(F.col("_doi")) == "text", F.try_variant_get("_doi", "$", "string"))).withColumn("sha256", F.sha2(canonical_json_ascii(F.col("_raw")), 256))
     error = F.when(~texts.valid_text(F.col("raw_doi"), LONGEST_DOI), "crossref_item_doi_field_invalid")
     return rows.select("page_id", "ordinal", F.when(error.isNull(), "decoded").otherwise("quarantined").alias("state"), "raw_doi", "sha256", error.alias("error"))

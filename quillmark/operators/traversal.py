@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmark.operators.aliases import closure
+
 
 def accounting(items: DataFrame, quarantined: DataFrame) -> DataFrame:
     """A row for each pass of items(pass_id, page_no, ordinal, doi, decoded, reported_total, end_hint).
@@ -53,6 +55,37 @@ def split_violations(windows: DataFrame, splits: DataFrame) -> DataFrame:
     return joined.withColumn("reason", reason).where("reason is not null").select("parent_id", "reason")
 
 
+def split_tree(windows: DataFrame, splits: DataFrame, most_depth: int = 32) -> DataFrame:
+    """(window_id, root_id, depth, leaf, reason) of windows(window_id, from_at, until_at) and splits(parent_id, left_id, right_id).
+
+    reason: two_parents, or split_twice, where a window is more than a leaf was; too_deep beyond most_depth, or where splits go round in a
+    circle (root and depth are null then); a reason of split_violations for a parent; leaves_do_not_tile for a root whose leaves, in order, leave a gap or
+    overlap. Depths come from looking twice as far in each round, so 32 take five joins.
+    """
+    child = lambda c: splits.select(F.col(c).alias("alias_id"), F.col("parent_id").alias("canonical_id"))
+    up = child("left_id").union(child("right_id"))
+    parents = up.groupBy("alias_id").agg(F.min("canonical_id").alias("canonical_id"), F.count("*").alias("n_parents"))
+    ends = closure(parents.select("alias_id", "canonical_id"), most_depth).select(F.col("alias_id").alias("window_id"), F.col("canonical_id").alias("root_id"), F.col("hops").alias("depth"), F.lit(True).alias("_child"))
+    n_splits = splits.groupBy(F.col("parent_id").alias("window_id")).agg(F.count("*").alias("n_splits"))
+    rows = windows.join(ends, "window_id", "left").join(parents.select(F.col("alias_id").alias("window_id"), "n_parents"), "window_id", "left").join(n_splits, "window_id", "left")
+    top = F.col("_child").isNull()
+    rows = rows.select("window_id", "from_at", "until_at", F.when(top, F.col("window_id")).otherwise(F.col("root_id")).alias("root_id"), F.when(top, 0).otherwise(F.col("depth")).alias("depth"), F.col("n_splits").isNull().alias("leaf"), "n_parents", "n_splits")
+    leaves_ = Window.partitionBy("root_id").orderBy("from_at", "until_at")
+    cover = rows.where("leaf and root_id is not null").withColumn("_before", F.lag("until_at").over(leaves_)).groupBy("root_id").agg(
+        F.min("from_at").alias("_from"), F.max("until_at").alias("_until"), F.bool_and(F.col("_before").isNull() | (F.col("_before") == F.col("from_at"))).alias("_joined"))
+    uneven = split_violations(windows, splits).groupBy(F.col("parent_id").alias("window_id")).agg(F.min("reason").alias("uneven"))
+    rows = rows.join(uneven, "window_id", "left").join(cover.withColumnRenamed("root_id", "window_id"), "window_id", "left")
+    tiled = F.col("_joined") & (F.col("_from") == F.col("from_at")) & (F.col("_until") == F.col("until_at"))
+    reason = (
+        F.when(F.col("n_parents") > 1, "two_parents")
+        .when(F.col("n_splits") > 1, "split_twice")
+        .when(F.col("root_id").isNull(), "too_deep")
+        .when(F.col("uneven").isNotNull(), F.col("uneven"))
+        .when((F.col("root_id") == F.col("window_id")) & ~F.coalesce(tiled, F.lit(False)), "leaves_do_not_tile")
+    )
+    return rows.select("window_id", "root_id", "depth", "leaf", reason.alias("reason"))
+
+
 def watermarks(windows: DataFrame, stream: str = "stream") -> DataFrame:
     """(stream, watermark, n_windows): how far windows(stream, from_at, until_at, finalised) are finalised without a gap.
 

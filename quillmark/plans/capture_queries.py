@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from quillmark.operators import captures, evidence, ranking
+from quillmark.operators import captures, evidence, ranking, registers
 from quillmark.plans.registry import query
 from quillmark.sources import configuration
 from quillmark.sources.tables import table
@@ -168,3 +168,45 @@ def digest_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     body = F.when(k % 3 == 1, configuration.artifact(items, F.array(F.lit("note")))).otherwise(old)
     read = table(spark, folder, "events").select("event_id", configuration.read_artifact(body).alias("a"))
     return read.select("event_id", "a.version", F.get("a.items", F.lit(0))["title"].alias("title"), F.get("a.items", F.lit(0))["priority"].alias("priority"))
+
+
+RECEIPTS = """
+WITH r AS (
+  SELECT *, '{"attempt_key":"p' || l_orderkey || '","body_object_id":"raw:' || sha256(l_partkey::VARCHAR) || '","body_sha256":"' || sha256(l_partkey::VARCHAR) || '","body_size":' || l_suppkey || ',"complete":true,"request":{"request_fingerprint":"' ||
+    sha256((CASE WHEN l_quantity < 5 THEN 1 ELSE 0 END + l_orderkey)::VARCHAR) || '"},"schema_version":' || CASE WHEN l_tax >= 0.08 THEN 2 ELSE 1 END || '}' AS content
+  FROM lineitem WHERE l_returnflag <> 'R'
+), o AS (SELECT DISTINCT l_orderkey, l_quantity, l_tax, 'raw:' || sha256(content) AS object_id, content FROM r),
+free AS (SELECT * FROM o WHERE object_id NOT IN (SELECT object_id FROM o WHERE l_quantity > 30)),
+f AS (SELECT l_orderkey, count(DISTINCT object_id) AS n, min(object_id) AS object_id, arg_min(l_tax >= 0.08, object_id) AS unsound, arg_min(l_quantity < 5, object_id) AS other FROM free GROUP BY 1)
+"""
+
+
+@query(RECEIPTS + """
+SELECT 'p' || o_orderkey AS page_id, CASE WHEN o_orderstatus <> 'O' THEN 'crossref_orphan_page_not_active' WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'crossref_orphan_receipt_ambiguous'
+  WHEN unsound THEN 'crossref_orphan_receipt_invalid' WHEN other THEN 'crossref_orphan_request_mismatch' ELSE 'attached' END AS outcome,
+  CASE WHEN o_orderstatus = 'O' AND n = 1 AND NOT unsound AND NOT other THEN object_id END AS receipt_id
+FROM orders LEFT JOIN f ON l_orderkey = o_orderkey
+""")
+def orphan_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as pages and their items as receipts that were stored; those of more than 30 pieces were noted."""
+    text = lambda c: F.col(c).cast("string")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    body = F.sha2(text("l_partkey"), 256)
+    fingerprint = F.sha2((F.when(F.col("l_quantity") < 5, 1).otherwise(0) + F.col("l_orderkey")).cast("string"), 256)
+    content = say('{"attempt_key":"p', text("l_orderkey"), '","body_object_id":"raw:', body, '","body_sha256":"', body, '","body_size":', text("l_suppkey"), ',"complete":true,"request":{"request_fingerprint":"', fingerprint, '"},"schema_version":', F.when(F.col("l_tax") >= 0.08, "2").otherwise("1"), "}")
+    stored = table(spark, folder, "lineitem").where("l_returnflag <> 'R'").select(content.alias("content"), "l_quantity").withColumn("sha256", F.sha2("content", 256)).withColumn("object_id", F.concat(F.lit("raw:"), F.col("sha256")))
+    objects = stored.select("object_id", "sha256", F.octet_length("content").cast("long").alias("size"), F.lit("available").alias("state"), "content").distinct()
+    attempts = stored.where("l_quantity > 30").select(F.col("object_id").alias("receipt_id"))
+    pages = table(spark, folder, "orders").select(F.concat(F.lit("p"), text("o_orderkey")).alias("page_id"), F.sha2(text("o_orderkey"), 256).alias("fingerprint"), (F.col("o_orderstatus") == "O").alias("active"))
+    return captures.orphan_receipts(pages, objects, attempts)
+
+
+@query("""
+WITH p AS (SELECT o_custkey // 2 AS id, o_orderpriority || '|' || o_orderstatus || '|' || floor(o_totalprice / 20000)::BIGINT AS said, min(o_orderkey) AS first_seq, count(*) AS n FROM orders GROUP BY 1, 2),
+w AS (SELECT *, min(first_seq) OVER (PARTITION BY id) AS id_seq, min(first_seq) OVER (PARTITION BY said) AS said_seq FROM p)
+SELECT id, first_seq, n, CASE WHEN id_seq < first_seq THEN 'payload_conflict' WHEN said_seq < first_seq THEN 'id_conflict' ELSE 'kept' END AS outcome, CASE WHEN id_seq < first_seq THEN id_seq WHEN said_seq < first_seq THEN said_seq END AS against FROM w
+""")
+def record_conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as records of pairs of customers: what their content breaks of one payload for an id, one id for a payload."""
+    rows = table(spark, folder, "orders").select(F.floor(F.col("o_custkey") / 2).cast("long").alias("id"), "o_orderpriority", "o_orderstatus", F.floor(F.col("o_totalprice") / 20_000).alias("price"), "o_orderkey")
+    return registers.content_register(rows, "id", ["o_orderpriority", "o_orderstatus", "price"], "o_orderkey").drop("sha256")

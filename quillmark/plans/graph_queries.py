@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import graph
 from quillmark.plans.registry import query
-from quillmark.sources import feeds
+from quillmark.sources import feeds, xml_pages
 from quillmark.sources.tables import table
 
 PREDICATES = ["is-preprint-of", "References", "is-part-of", "is-like"]
@@ -104,23 +104,40 @@ def assertion_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     return assertions.join(n, "assertion_id").select("source", "target", "kind", "n_observations", F.unix_micros("first_observed").alias("first_us"))
 
 
-@query("""
-SELECT doc_id AS page_id, CASE WHEN doc_id % 9 <> 0 THEN 0 END AS place, CASE WHEN doc_id % 9 <> 0 THEN 'http://example.org/abs/' || CAST(doc_id AS VARCHAR) END AS id,
-  CASE WHEN doc_id % 9 <> 0 THEN CAST(doc_id % 3 + 1 AS INTEGER) END AS version, CASE WHEN doc_id % 9 <> 0 THEN 'Title of ' || lang END AS title, CASE WHEN doc_id % 9 <> 0 THEN CAST(2 AS BIGINT) END AS n_authors,
-  CASE WHEN doc_id % 9 = 0 THEN 'invalid_xml' WHEN doc_id % 4 = 0 THEN 'duplicate_title' END AS error
-FROM documents
+FEED = """
+WITH d AS (SELECT doc_id, coalesce(lang, '-') AS lang, coalesce(source, '-') AS source, coalesce(n_chars, 0) AS n FROM documents),
+e AS (
+  SELECT *, place, '24' || lpad((n % 12 + 1)::VARCHAR, 2, '0') || '.' || lpad(((doc_id * 2 + place) % 100000)::VARCHAR, 5, '0') AS base, n % 9 + 1 AS version,
+    CASE WHEN n % 10 = 0 THEN 'malformed_xml' WHEN n % 11 = 0 THEN 'invalid_page_counts' WHEN n % 7 = 0 THEN 'unsupported_text_markup' WHEN n % 10 = 1 THEN 'duplicate_field' WHEN n % 10 = 2 THEN 'missing_field'
+      WHEN n % 60 = 59 THEN 'invalid_timestamp' END AS error
+  FROM d, range(2) t(place)
+)
+"""
+
+
+@query(FEED + """
+SELECT doc_id AS page_id, place::INTEGER AS place, base || 'v' || version AS id, version::INTEGER AS version, 'On ' || source || ' & <' || lang || '>' AS title, '10.1000/' || n AS doi, [source, 'B'] AS authors,
+  CAST(epoch_us(TIMESTAMP '2024-01-02 03:00:00' + to_minutes((n % 60)::INTEGER) - INTERVAL 2 HOURS) AS BIGINT) AS updated_us, lang AS primary_category, NULL AS error FROM e WHERE error IS NULL
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM e WHERE error IS NOT NULL AND place = 0
 """)
 def feed_parse(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("doc_id").cast("string")
-    title = F.concat(F.lit("<title>Title  of\n"), F.col("lang"), F.lit("</title>"))
-    body = F.concat(
-        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>http://example.org/abs/'), k, F.lit("v"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("</id>"),
-        title, F.when(F.col("doc_id") % 4 == 0, title).otherwise(""), F.lit("<author><name>A B</name></author><author><name>C</name></author></entry>"),
-        F.when(F.col("doc_id") % 9 == 0, "<feed>").otherwise("</feed>"),
+    """Documents as pages of two entries, made of their source, language and length."""
+    n, lang, source = F.coalesce("n_chars", F.lit(0).cast("long")), F.coalesce("lang", F.lit("-")), F.coalesce("source", F.lit("-"))
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    tag = lambda name, *parts: say(f"<{name}>", *parts, f"</{name}>")
+    title = tag("title", "\n On ", source, " &amp; ", F.when(n % 7 == 0, "<i>x</i>").otherwise(""), "<![CDATA[<]]>", lang, "&gt; ")
+    minute = F.lpad((n % 60).cast("string"), 2, "0")
+    entry = lambda place: tag(
+        "entry", tag("id", "http://arxiv.org/abs/24", F.lpad((n % 12 + 1).cast("string"), 2, "0"), ".", F.lpad(((F.col("doc_id") * 2 + place) % 100_000).cast("string"), 5, "0"), "v", (n % 9 + 1).cast("string")),
+        title, F.when(n % 10 == 1, title).otherwise(""), tag("author", tag("name", source), "<a:affiliation>X</a:affiliation>"), tag("author", tag("name", "B")),
+        F.when(n % 10 == 2, "").otherwise(say('<category term="', lang, '"/><category term="other" scheme="s"/>')), say('<a:primary_category term="', lang, '"/>'),
+        tag("published", "2024-01-02T03:04:05Z"), tag("updated", "2024-01-02T03:", minute, F.when(n % 60 == 59, "").otherwise(":00"), "+02:00"), tag("a:doi", " 10.1000/", n.cast("string")), '<link href="https://example.org/"/>',
     )
-    records = feeds.atom_records(table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), body.alias("body")))
-    n = F.when(F.col("authors").isNotNull(), F.size("authors").cast("long"))
-    return records.select("page_id", "place", "id", "version", "title", n.alias("n_authors"), "error")
+    items = F.when(n % 11 == 0, "1").otherwise("50")
+    body = say('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom" xmlns:a="http://arxiv.org/schemas/atom" xmlns:opensearch="http://a9.com/-/spec/opensearch/1.1/">', tag("opensearch:totalResults", "9"), tag("opensearch:startIndex", "0"), tag("opensearch:itemsPerPage", items), entry(0), entry(1), F.when(n % 10 == 0, "<feed>").otherwise("</feed>"))
+    pages = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), body.alias("body"), F.lit(100).alias("max_results"))
+    found = xml_pages.atom_records(pages)
+    return found.select("page_id", "place", "id", "version", "title", "doi", F.transform("authors", lambda a: a["name"]).alias("authors"), F.unix_micros("updated").alias("updated_us"), "primary_category", "error")
 
 
 @query("""

@@ -11,10 +11,10 @@ from quillmark.plans.registry import query
 from quillmark.sources.tables import table
 
 
-def reservations(spark: SparkSession, folder: str) -> DataFrame:
+def reservations(spark: SparkSession, folder: str, orders: DataFrame | None = None) -> DataFrame:
     state = F.when(F.col("o_orderkey") % 5 == 0, "released").when(F.col("o_orderstatus") == "F", "settled").when(F.col("o_orderstatus") == "O", "reserved").otherwise("unknown")
     amount = F.floor("o_totalprice").cast("long")
-    return table(spark, folder, "orders").select(
+    return (table(spark, folder, "orders") if orders is None else orders).select(
         F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.when(F.col("o_custkey") % 2 == 0, "USD").otherwise("EUR").alias("currency"),
         "o_orderkey", "o_orderdate", state.alias("state"), amount.alias("reserved"), F.floor(F.col("o_totalprice") / 2).cast("long").alias("actual"),
     )

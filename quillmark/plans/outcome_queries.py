@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.operators import evidence, graph, ledgers, traversal
 from quillmark.plans.registry import query
-from quillmark.sources import feeds
+from quillmark.sources import xml_pages
 from quillmark.sources.tables import table
 
 
@@ -109,13 +109,28 @@ def published_watermarks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey AS page_id, CASE WHEN p_partkey % 5 > 0 THEN 0 END AS place, CASE WHEN p_partkey % 5 > 1 THEN CAST(p_partkey AS VARCHAR) END AS pmid, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS title,
-  CASE WHEN p_partkey % 5 > 0 THEN p_brand || chr(10) || p_type END AS abstract, CASE p_partkey % 5 WHEN 0 THEN 'invalid_xml' WHEN 1 THEN 'field_missing' END AS error FROM part
+WITH p AS (
+  SELECT *, CASE WHEN p_size % 9 = 0 THEN 'malformed_xml' WHEN p_size % 9 = 1 THEN 'invalid_pubmed_identifier' WHEN p_size % 9 = 2 THEN 'duplicate_field' WHEN p_size % 9 = 3 THEN 'pubmed_batch_identity_mismatch' END AS error FROM part
+)
+SELECT p_partkey AS page_id, 0 AS place, CAST(p_partkey + 1 AS VARCHAR) AS pmid, p_name || ' of 10 2 m < ' || p_size AS title, 'AIM: ' || p_brand || chr(10) || p_type AS abstract, [split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1), p_brand] AS authors,
+  '2024-' || p_size AS publication_date, 'month' AS precision, '10.1000/' || lower(p_type) AS doi, 'PMC' || p_partkey AS pmcid, ['eng', 'fre'] AS languages, [p_type, 'Review'] AS publication_types, NULL AS error FROM p WHERE error IS NULL
+UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM p WHERE error IS NOT NULL
 """)
 def article_parse(spark: SparkSession, folder: str) -> DataFrame:
-    n, text = F.col("p_partkey") % 5, lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag.split()[0]}>"))
-    pmid = F.when(n == 1, "").otherwise(text("PMID", F.col("p_partkey").cast("string")))
-    abstract = F.concat(F.lit("<Abstract>"), text("AbstractText", F.col("p_brand")), text("AbstractText", F.concat(F.lit(" "), F.col("p_type"), F.lit("\n"))), F.lit("</Abstract>"))
-    body = F.concat(F.lit("<PubmedArticleSet><PubmedArticle>"), pmid, text("ArticleTitle", F.col("p_name")), abstract, F.when(n == 0, "").otherwise("</PubmedArticle></PubmedArticleSet>"))
-    pages = table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), body.alias("body"))
-    return feeds.article_records(pages).select("page_id", "place", "pmid", "title", "abstract", "error")
+    """Parts as pages of one article, made of their names, brands and sizes."""
+    n, size = F.col("p_size") % 9, F.col("p_size").cast("string")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    tag = lambda name, *parts: say(f"<{name}>", *parts, f"</{name.split()[0]}>")
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    author = say(tag("Author", tag("LastName", word(2)), tag("ForeName", word(1)), tag("Initials", "X")), tag("Author", tag("CollectiveName", F.col("p_brand"))), "<Author/>")
+    article = tag(
+        "Article", tag("Journal", tag("JournalIssue", tag("PubDate", tag("Year", "2024"), tag("Month", size))), tag("Title", "J")), tag("ArticleTitle", F.col("p_name"), " of <b>10<sup> 2</sup></b>\n m &lt; ", size),
+        tag("Abstract", tag('AbstractText Label="AIM"', F.col("p_brand")), tag("AbstractText", " ", F.col("p_type"), "\n"), "<AbstractText/>"), tag("AuthorList", author),
+        tag("Language", "fre"), tag("Language", "eng"), tag("Language", "eng"), tag("PublicationTypeList", tag('PublicationType UI="D1"', F.col("p_type")), tag("PublicationType", "Review")),
+    )
+    doi = tag('ArticleId IdType="doi"', "10.1000/", F.col("p_type"))
+    ids = tag("ArticleIdList", doi, F.when(n == 2, doi).otherwise(""), tag('ArticleId IdType="pmc"', "pmc", F.col("p_partkey").cast("string")))
+    pmid = tag('PMID Version="1"', F.when(n == 1, "x").otherwise("0"), (F.col("p_partkey") + 1).cast("string"))
+    body = tag("PubmedArticleSet", tag("PubmedArticle", tag("MedlineCitation", pmid, article), tag("PubmedData", ids)), F.when(n == 0, "<x>").otherwise(""))
+    expected = F.array((F.col("p_partkey") + F.when(n == 3, 2).otherwise(1)).cast("string"))
+    return xml_pages.article_records(table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), body.alias("body"), expected.alias("expected"))).drop("journal")

@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.plans.registry import query
+from quillmark.plans.ledger_queries import reservations
+from quillmark.plans.registry import ORACLES, query
+from quillmark.plans.workflow_queries import lease_commands
 from quillmark.sources.folders import shared_folder
 from quillmark.sources.tables import table
 from quillmark.streaming import events as streams
+from quillmark.streaming import folds
 
 
 def stream_folder(spark: SparkSession) -> str:
@@ -42,3 +45,26 @@ def streamed_windows(spark: SparkSession, folder: str) -> DataFrame:
     counts = streams.windowed_counts(source, 24 * 60, "2 days").select(F.unix_micros("window.start").alias("day_us"), "event_kind", "n")
     counts.writeStream.format("parquet").option("path", f"{place}/days").option("checkpointLocation", f"{place}/offsets").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(counts.schema).parquet(f"{place}/days")
+
+
+def _finished(rows: DataFrame, place: str) -> DataFrame:
+    """A stream run to its end, and what it has written."""
+    spark = rows.sparkSession
+    with folds.state_store(spark):
+        rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/offsets").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{place}/out")
+
+
+@query(ORACLES["lease_replay"])
+def streamed_leases(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of lease_replay as a stream, with the state of each job in the state store."""
+    source = streams.read_stream(spark, f"{folder}/events*.parquet", table(spark, folder, "events"))
+    return _finished(folds.lease_stream(lease_commands(source), 86_400), stream_folder(spark))
+
+
+@query(ORACLES["budget_admission"])
+def streamed_admission(spark: SparkSession, folder: str) -> DataFrame:
+    """The requests of budget_admission as a stream, with what is reserved of each budget in the state store."""
+    source = streams.read_stream(spark, f"{folder}/orders*.parquet", table(spark, folder, "orders"))
+    requests = reservations(spark, folder, source).select("period", "currency", F.col("o_orderkey").alias("request_id"), F.col("o_orderdate").alias("at"), F.col("reserved").alias("amount"))
+    return _finished(folds.admission_stream(requests, 900_000), stream_folder(spark))

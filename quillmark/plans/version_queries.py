@@ -202,3 +202,40 @@ FROM o
 def subscription_policy(spark: SparkSession, folder: str) -> DataFrame:
     out = revisions.policy_versions(table(spark, folder, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], ["o_orderstatus", "o_orderpriority"])
     return out.select("o_orderkey", "policy_version")
+
+
+TREE = """
+WITH range_of AS (SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS lo, CAST(epoch_us(max(ts)) + 1 AS BIGINT) AS hi FROM events GROUP BY user_id),
+n AS (
+  SELECT user_id, k, (((CAST(epoch_us(ts) AS BIGINT) - lo) * (1 << k)) // (hi - lo))::BIGINT AS b, count(*) AS n FROM events JOIN range_of USING (user_id), range(8) t(k) GROUP BY ALL
+), split AS (SELECT user_id, k, b FROM n WHERE n > 3 AND k < 7),
+w AS (
+  SELECT user_id, 0 AS k, 0 AS b FROM range_of
+  UNION ALL SELECT s.user_id, s.k + 1, s.b * 2 + side FROM split s, range(2) t(side) WHERE EXISTS (SELECT 1 FROM n WHERE n.user_id = s.user_id AND n.k = s.k + 1 AND n.b = s.b * 2 + side)
+)
+"""
+
+
+@query(TREE + """
+, marked AS (
+  SELECT user_id, k, b, EXISTS (SELECT 1 FROM split s WHERE s.user_id = w.user_id AND s.k = w.k AND s.b = w.b) AS splits,
+    (SELECT count(*) FROM w c WHERE c.user_id = w.user_id AND c.k = w.k + 1 AND c.b // 2 = w.b) AS children FROM w
+), broken AS (SELECT DISTINCT user_id FROM marked WHERE splits AND children < 2)
+SELECT user_id * 1000 + (1 << k) + b AS window_id, user_id * 1000 + 1 AS root_id, k::INTEGER AS depth, NOT splits AS leaf,
+  CASE WHEN splits AND children < 2 THEN 'window_missing' WHEN k = 0 AND user_id IN (SELECT user_id FROM broken) THEN 'leaves_do_not_tile' END AS reason
+FROM marked
+""")
+def window_split_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's time, split in the middle while more than three events fall into a part, to seven levels; parts without events were never recorded."""
+    events = table(spark, folder, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    spans = events.groupBy("user_id").agg(F.min("at").alias("lo"), (F.max("at") + 1).alias("hi"))
+    each = events.join(spans, "user_id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    n = each.groupBy("user_id", "lo", "hi", "k", F.expr("((at - lo) * shiftleft(1L, k)) div (hi - lo)").alias("b")).count()
+    node = lambda k, b: F.expr(f"user_id * 1000 + shiftleft(1L, {k}) + {b}")
+    split = n.where("count > 3 and k < 7")
+    splits = split.select(node("k", "b").alias("parent_id"), node("k + 1", "b * 2").alias("left_id"), node("k + 1", "b * 2 + 1").alias("right_id"))
+    parts = split.select("user_id", (F.col("k") + 1).alias("k"), F.explode(F.array(F.col("b") * 2, F.col("b") * 2 + 1)).alias("b"))
+    there = n.join(parts.union(spans.select("user_id", F.lit(0), F.lit(0).cast("long"))), ["user_id", "k", "b"], "left_semi")
+    edge = lambda b: F.expr(f"lo + ((hi - lo) * ({b})) div shiftleft(1L, k)")
+    windows = there.select(node("k", "b").alias("window_id"), edge("b").alias("from_at"), edge("b + 1").alias("until_at"))
+    return traversal.split_tree(windows, splits)

@@ -64,11 +64,15 @@ WITH RECURSIVE c AS (
 SELECT job_id, command_id, outcome, tok AS fencing_token FROM f WHERE n > 0
 """)
 def lease_replay(spark: SparkSession, folder: str) -> DataFrame:
+    return leases.replayed(lease_commands(table(spark, folder, "events")), 86_400)
+
+
+def lease_commands(events: DataFrame) -> DataFrame:
+    """Events as commands: each user is a job, views and clicks claim it, all others complete it."""
     k = F.col("event_id")
     state = F.when((F.col("event_type") == "purchase") & (k % 10 == 0), "succeeded").otherwise("failed")
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)).cast("long")
-    commands = table(spark, folder, "events").select(F.col("user_id").alias("job_id"), k.alias("command_id"), F.when(F.col("event_type").isin("view", "click"), "claim").otherwise("complete").alias("kind"), (k % 3).cast("string").alias("owner"), (k % 2 + 1).alias("token"), at.alias("at"), state.alias("state"))
-    return leases.replayed(commands, 86_400)
+    return events.select(F.col("user_id").alias("job_id"), k.alias("command_id"), F.when(F.col("event_type").isin("view", "click"), "claim").otherwise("complete").alias("kind"), (k % 3).cast("string").alias("owner"), (k % 2 + 1).alias("token"), at.alias("at"), state.alias("state"))
 
 
 BINDINGS = """

@@ -1,86 +1,9 @@
-"""Provider pages as rows: feeds in XML, lists of ids in JSON, and strict JSON."""
+"""Lists of ids in JSON, and what a storage holds against its register."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from xml.etree import ElementTree
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-ATOM = "{http://www.w3.org/2005/Atom}"
-RECORD = "page_id long, place int, id string, version int, title string, abstract string, published string, updated string, authors array<string>, categories array<string>, error string"
-ARTICLE = "page_id long, place int, pmid string, title string, abstract string, authors array<string>, journal string, error string"
-
-
-def _text(node: ElementTree.Element | None) -> str | None:
-    return " ".join("".join(node.itertext()).split()) if node is not None else None
-
-
-def _atom(page_id: int, body: str) -> Iterator[tuple]:
-    nothing = (None,) * 8
-    try:
-        root = ElementTree.fromstring(body)
-    except (ElementTree.ParseError, TypeError):
-        yield page_id, None, *nothing, "invalid_xml"
-        return
-    if root.tag != f"{ATOM}feed":
-        yield page_id, None, *nothing, "not_a_feed"
-        return
-    for place, entry in enumerate(root.findall(f"{ATOM}entry")):
-        one = {}
-        error = None
-        for field in ("id", "title", "summary", "published", "updated"):
-            found = entry.findall(f"{ATOM}{field}")
-            if len(found) > 1:
-                error = f"duplicate_{field}"
-            one[field] = _text(found[0]) if found else None
-        if not one["id"] or not one["title"]:
-            error = error or "field_missing"
-        base, _, version = (one["id"] or "").rpartition("v")
-        numbered = bool(base) and version.isdecimal()
-        authors = [_text(a.find(f"{ATOM}name")) for a in entry.findall(f"{ATOM}author")]
-        categories = [c.get("term") for c in entry.findall(f"{ATOM}category")]
-        yield page_id, place, base if numbered else one["id"], int(version) if numbered else None, one["title"], one["summary"], one["published"], one["updated"], authors, categories, error
-
-
-def atom_records(pages: DataFrame) -> DataFrame:
-    """A row for each entry of pages(page_id, body) in Atom; one with an error for a page that is none."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [r for page_id, body in zip(pdf.page_id, pdf.body, strict=True) for r in _atom(page_id, body)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-
-    return pages.select("page_id", "body").mapInPandas(run, RECORD)
-
-
-def _articles(page_id: int, body: str) -> Iterator[tuple]:
-    try:
-        root = ElementTree.fromstring(body)
-    except (ElementTree.ParseError, TypeError):
-        yield page_id, None, None, None, None, None, None, "invalid_xml"
-        return
-    for place, article in enumerate(root.iter("PubmedArticle")):
-        pmid, title = _text(article.find(".//PMID")), _text(article.find(".//ArticleTitle"))
-        parts = [_text(x) for x in article.findall(".//AbstractText")]
-        authors = [" ".join(filter(None, (_text(a.find("ForeName")), _text(a.find("LastName"))))) for a in article.findall(".//Author")]
-        error = None if pmid and pmid.isdecimal() and title else "field_missing"
-        yield page_id, place, pmid, title, "\n".join(filter(None, parts)) or None, authors, _text(article.find(".//Journal/Title")), error
-
-
-def article_records(pages: DataFrame) -> DataFrame:
-    """A row for each article of pages(page_id, body) of bibliographic XML."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [r for page_id, body in zip(pdf.page_id, pdf.body, strict=True) for r in _articles(page_id, body)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ARTICLE.split(", ")])
-
-    return pages.select("page_id", "body").mapInPandas(run, ARTICLE)
 
 
 def id_page(body: Column) -> Column:

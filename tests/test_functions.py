@@ -1,10 +1,13 @@
+import random
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions import hashing, identifiers, rates, texts, timing
 from quillmark.functions import values as json_values
 from quillmark.operators import aliases, evidence, ledgers, revisions, traversal
-from quillmark.sources import feeds
 
 
 def values(spark, f, inputs):
@@ -77,15 +80,6 @@ def test_expired_facts_are_not_replaced_by_older_ones(spark):
     assert got == {100: (10, "current"), 101: (11, "expired"), 102: (None, "missing"), 103: (None, "missing"), 104: (11, "current")}
 
 
-def test_feeds(spark):
-    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>u/1v3</id><title>T</title></entry><entry><id>u/2</id></entry></feed>'
-    pages = spark.createDataFrame([(1, atom), (2, "<x/>"), (3, "<"), (4, None)], "page_id long, body string")
-    assert [(r.page_id, r.id, r.version, r.error) for r in feeds.atom_records(pages).orderBy("page_id", "place").collect()] == [(1, "u/1", 3, None), (1, "u/2", None, "field_missing"), (2, None, None, "not_a_feed"), (3, None, None, "invalid_xml"), (4, None, None, "invalid_xml")]
-    xml = "<S><PubmedArticle><PMID>7</PMID><ArticleTitle>A <i>b</i></ArticleTitle><AbstractText>x</AbstractText><Author><ForeName>J</ForeName><LastName>K</LastName></Author></PubmedArticle></S>"
-    (row,) = feeds.article_records(spark.createDataFrame([(1, xml)], "page_id long, body string")).collect()
-    assert (row.pmid, row.title, row.abstract, row.authors, row.error) == ("7", "A b", "x", ["J K"], None)
-
-
 def test_coverage(spark):
     rows = spark.sql("SELECT * FROM VALUES (0, 'full', true, array('a'), array()), (1, 'full', false, array('a'), array('b')), (2, 'abstract', false, array('abstract'), array()), (3, 'full', false, array('a'), array('a')), (4, 'full', true, array('a'), array('b')) AS t(i, s, c, x, y)")
     got = rows.select("i", evidence.coverage(F.col("s"), F.col("c"), F.col("x").cast("array<string>"), F.col("y").cast("array<string>")).alias("level")).orderBy("i").collect()
@@ -96,3 +90,15 @@ def test_findings(spark):
     rows = spark.createDataFrame([(1, "took 5 hours", "5 Hour and 6"), (2, "5 kg", "5 m"), (3, "7", "8")], "pair_id int, text string, source string")
     assert sorted(map(tuple, evidence.findings(rows).collect())) == [(2, "unit_mismatch"), (3, "number_mismatch")]
     assert (1, "number_mismatch") in map(tuple, evidence.findings(rows, all_numbers=True).collect())
+
+
+def test_multisets(spark):
+    rng = random.Random(6)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 6))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))]) for _ in range(200)] + [(["x"] * 100_000, ["x"] * 99_999 + ["y"]), ([str(i) for i in range(100_000)], [str(i) for i in reversed(range(100_000))])]
+    df = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "n int, a array<string>, b array<string>")
+    began = time.time()
+    got = {r.n: r for r in df.select("n", texts.contained(F.col("a"), F.col("b")).alias("c"), texts.counted(F.col("a")).alias("m")).collect()}
+    assert time.time() - began < 60
+    for n, (a, b) in enumerate(pairs):
+        assert got[n].c == (not Counter(a) - Counter(b))
+        assert [(m.item, m.n) for m in got[n].m] == sorted(Counter(a).items())
