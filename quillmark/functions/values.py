@@ -66,7 +66,7 @@ def problem(text: Column, most_depth: int = 64, most_nodes: int = 100_000) -> Co
         nodes = 1 + F.regexp_count(bare, F.lit(",")) + F.regexp_count(bare, F.lit(r"[\[{](?!\s*[\]}])"))
         beyond = lambda t: F.regexp_count(t, F.lit('"-?Infinity"'))
         return (
-            F.when(rest.rlike(r"[\[{]") & ~rest.rlike(r"^[^\[{]*[\]}]"), "too_deep")
+            F.when(rest.rlike(INNERMOST) | (F.regexp_count(rest, F.lit(r"[\[{]")) > most_depth), "too_deep")
             .when(nodes > most_nodes, "too_large")
             .when(bare.rlike(r"(?<![\w.+-])-?(?:NaN|Infinity)(?![\w.+-])"), "not_finite")
             .when(~rest.rlike(r"^[ \t\n\r]*[^\s\[\]{},:]+[ \t\n\r]*\z"), "invalid")

@@ -35,11 +35,12 @@ def plan(bindings: DataFrame, active: DataFrame, now: Column) -> DataFrame:
     return due.unionByName(others).select("binding", "outcome", "until_at", "place")
 
 
-def digest_blocked(planned: DataFrame, explanations: DataFrame) -> DataFrame:
-    """One row: whether digests wait because something is harvested or explained (explanations(state))."""
-    busy = planned.agg(F.coalesce(F.bool_or(F.col("outcome").isin("running", "harvest")), F.lit(False)).alias("a"))
-    open_ = explanations.agg(F.coalesce(F.bool_or(F.col("state").isin("pending", "running")), F.lit(False)).alias("b"))
-    return busy.crossJoin(open_).select((F.col("a") | F.col("b")).alias("blocked"))
+def digests_blocked(cases: DataFrame, planned: DataFrame, explanations: DataFrame, key: str) -> DataFrame:
+    """cases(key) with blocked: whether digests of a case wait because something of it is harvested (planned(key, outcome)) or explained (explanations(key, state))."""
+    busy = planned.where(F.col("outcome").isin("running", "harvest")).select(key)
+    open_ = explanations.where(F.col("state").isin("pending", "running")).select(key)
+    waits = busy.union(open_).distinct().withColumn("blocked", F.lit(True))
+    return cases.join(waits, key, "left").withColumn("blocked", F.coalesce("blocked", F.lit(False)))
 
 
 def repairs(windows: DataFrame, lookback: int, cutoff: Column, most: int) -> DataFrame:

@@ -233,17 +233,36 @@ def deferred_filters(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(k, F.array_join(F.transform(found, lambda x: F.concat(x["name"], F.lit(">"), x["stage"])), " ").alias("deferred"))
 
 
+@query("""
+WITH e AS (SELECT event_id, round(value * 100)::BIGINT AS v, user_id AS u, event_type AS t FROM events),
+f AS (
+  SELECT *, CASE t WHEN 'error' THEN 503 WHEN 'view' THEN 429 WHEN 'click' THEN 200 ELSE 302 END AS status, CASE WHEN u % 5 = 0 THEN NULL ELSE (v % 90)::DOUBLE END AS wait, u % 7 AS failures,
+    CASE WHEN v % 4 = 0 THEN NULL ELSE greatest(1.0, (u % 40 + 1)::DOUBLE / (v % 9 + 1)) END AS stated FROM e
+)
+SELECT event_id, CASE WHEN status IN (429, 503) THEN 'retry' WHEN status = 200 THEN 'accept' ELSE 'stop' END AS action,
+  CASE status WHEN 429 THEN 'crossref_rate_limited' WHEN 503 THEN 'crossref_server_error' WHEN 302 THEN 'crossref_redirect' END AS code,
+  CASE WHEN status IN (429, 503) THEN greatest(coalesce(stated, 1.0), coalesce(wait, 0.0), least(300.0, pow(2.0, failures + 1)) * 0.75) ELSE 0.0 END AS delay, coalesce(stated, 1.0)::DOUBLE AS interval_s,
+  CASE WHEN stated IS NULL THEN ['crossref_rate_headers_missing'] ELSE [] END AS warnings FROM f
+""")
+def rate_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as answers with headers: what each means for the next request."""
+    v, u, text = F.round(F.col("value") * 100).cast("long"), F.col("user_id"), lambda c: c.cast("string")
+    header = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    headers = F.array_compact(F.array(
+        F.when(u % 5 != 0, header("Retry-After", text(v % 90))), F.when(v % 4 != 0, header("X-Rate-Limit-Limit", text(v % 9 + 1))), F.when(v % 4 != 0, header("x-rate-limit-interval", F.concat(text(u % 40 + 1), F.lit("s")))),
+    ))
+    status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "view", 429).when(F.col("event_type") == "click", 200).otherwise(302)
+    made = rates.decision(status, headers, F.col("ts").cast("timestamp"), (u % 7).cast("int"), F.lit(0.5), F.lit(None).cast("string"))
+    return table(spark, folder, "events").select("event_id", made.alias("d")).select("event_id", "d.action", "d.code", "d.delay", F.col("d.interval").alias("interval_s"), "d.warnings")
+
+
 @query("""
 SELECT l_linenumber AS case_id, (SELECT bool_or(o_orderstatus = 'P' AND o_orderkey % 7 = l_linenumber) FROM orders) OR (SELECT bool_or(o_orderpriority = '1-URGENT' AND o_orderkey % 90 = l_linenumber) FROM orders) AS blocked
 FROM (SELECT DISTINCT l_linenumber FROM lineitem)
 """)
 def digests_blocked(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
-    cases = sorted(r[0] for r in table(spark, folder, "lineitem").select("l_linenumber").distinct().collect())  # seven at most
-    out = None
-    for n in cases:
-        planned = orders.select(F.when((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 7 == n), "harvest").otherwise("recent").alias("outcome"))
-        open_ = orders.select(F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderkey") % 90 == n), "pending").otherwise("done").alias("state"))
-        row = planning.digest_blocked(planned, open_).select(F.lit(n).alias("case_id"), "blocked")
-        out = row if out is None else out.union(row)
-    return out
+    case = lambda n: (F.col("o_orderkey") % n).cast("int").alias("case_id")
+    planned = orders.select(case(7), F.when(F.col("o_orderstatus") == "P", "harvest").otherwise("recent").alias("outcome"))
+    open_ = orders.select(case(90), F.when(F.col("o_orderpriority") == "1-URGENT", "pending").otherwise("done").alias("state"))
+    return planning.digests_blocked(table(spark, folder, "lineitem").select(F.col("l_linenumber").alias("case_id")).distinct(), planned, open_, "case_id")

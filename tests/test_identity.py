@@ -116,7 +116,7 @@ def merged_one_by_one(log, works):
     return out
 
 
-@pytest.mark.parametrize("n_works,n,revoked,seed", [(4, 60, 0.3, 1), (15, 150, 0.2, 2), (60, 150, 0.05, 3), (200, 120, 0.5, 4)])
+@pytest.mark.parametrize("n_works,n,revoked,seed", [(4, 40, 0.3, 1), (12, 60, 0.2, 2), (60, 60, 0.5, 3)])
 def test_merges_one_by_one(spark, n_works, n, revoked, seed):
     rng = random.Random(seed)
     log = []
