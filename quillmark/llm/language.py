@@ -106,7 +106,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     """Stochastic gradient descent over four fifths of the rows; the last fifth sets the temperature and the threshold.
 
     Every second step sees a short random draw of a document's n-grams, so that short texts are known as well. The
-    threshold is where at most most_rejected of the right answers lie below, with half the odds, for the held rows are few.
+    threshold is where at most most_rejected of the right answers lie below, with half the odds; with fewer than 1 / most_rejected rows held out, with less.
     """
     languages = sorted({r[0] for r in rows})
     y = np.array([languages.index(r[0]) for r in rows], int)
@@ -142,7 +142,9 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
     p = softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == y[held]]
     least = float(np.quantile(right, most_rejected, method="lower")) if len(right) else 0.0
-    threshold = least / (2 - least)  # odds of p / (1 - p), halved
+    # the odds of p / (1 - p), halved, and lowered further where the rows held out are too few to show that quantile
+    share = 0.5 * min(1.0, (len(right) * most_rejected) ** 0.5)
+    threshold = least * share / (least * share + 1 - least) if least < 1 or share else 0.0
     return Model(languages, e.astype(np.float32), w, b, temperature, threshold)
 
 
