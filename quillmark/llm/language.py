@@ -137,11 +137,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], *, epochs: int = 6, ra
             done += 1
     logits = np.array([(e[rows[i][1]] * (rows[i][2] / rows[i][2].sum())[:, None]).sum(0) @ w + b for i in held])
     heat = np.geomspace(0.05, 20, 80)
-    loss = [-np.log(softmax(logits / t)[np.arange(len(held)), y[held]] + 1e-12).mean() for t in heat]
+    # Laplace's rule: held-out rows that are all right don't show that the next one is; without it the smallest temperature wins, and every probability is 1
+    due = (np.eye(len(languages))[y[held]] * len(held) + 1) / (len(held) + len(languages))
+    loss = [-(due * np.log(softmax(logits / t) + 1e-12)).sum(1).mean() for t in heat]
     temperature = float(heat[int(np.argmin(loss))])
     p = softmax(logits / temperature)
     right = p.max(1)[p.argmax(1) == y[held]]
-    least = float(np.quantile(right, most_rejected, method="lower")) if len(right) else 0.0
+    # sums of probabilities are rounded: no threshold may come so near to 1 that a right answer can fall below it
+    least = min(float(np.quantile(right, most_rejected, method="lower")), 1 - 1e-6) if len(right) else 0.0
     # the odds of p / (1 - p), halved, and lowered further where the rows held out are too few to show that quantile
     share = 0.5 * min(1.0, (len(right) * most_rejected) ** 0.5)
     threshold = least * share / (least * share + 1 - least) if least < 1 or share else 0.0

@@ -84,3 +84,15 @@ def test_many_languages(spark):
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(model.languages) == 40 and model.left_out == 0 and model.scores is None
     assert abs(model.probabilities(rows[0][1]).sum() - 1) < 1e-9
+
+
+def test_languages_that_are_told_apart_without_an_error_are_not_rejected(spark):
+    """With all held-out rows right, probabilities of 1 gave a threshold that every document fell below."""
+    rng = random.Random(4)
+    alphabets = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop"}
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(rng.randint(40, 90)))
+    docs = spark.createDataFrame([(n, text(alphabets[lang]), lang) for n, lang in enumerate(list(alphabets) * 150)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert 0 < model.threshold < 0.99 and model.temperature > 0.06
+    found = language.identify(docs, model).collect()
+    assert not any(r.rejected for r in found) and all(r.lang_pred == r.lang for r in found)
