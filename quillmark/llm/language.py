@@ -96,7 +96,8 @@ def sample(labelled: DataFrame, per_language: int, most_languages: int = SAMPLED
 
     found = chosen.mapInPandas(run, "lang string, draw long, h array<int>, n array<int>").toArrow()
     found = found.sort_by([("lang", "ascending"), ("draw", "ascending")]).combine_chunks()
-    parts = {c: (found[c].combine_chunks().values.to_numpy(), found[c].combine_chunks().offsets.to_numpy()) for c in ("h", "n")}
+    held = {c: found[c].combine_chunks() for c in ("h", "n")}
+    parts = {c: (a.values.to_numpy(), a.offsets.to_numpy()) for c, a in held.items()}
     cut = lambda c, i: parts[c][0][parts[c][1][i] : parts[c][1][i + 1]]
     rows = [(lang, cut("h", i), cut("n", i)) for i, lang in enumerate(found["lang"].to_pylist())]
     return [r for r in rows if len(r[1])], left_out

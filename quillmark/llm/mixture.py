@@ -84,7 +84,8 @@ def plan(docs: DataFrame, knots: Column | None = None, carry: tuple[str, ...] =
     sources = sources.withColumn("_pieces", integrated(constant(F.col("weight")) if knots is None else knots)).withColumn("_goal", F.round("target").cast("long"))
     before = F.coalesce(F.sum("_words").over(Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select(F.col("source").alias("_source"), F.col("_part").alias("_of"), before.alias("_before"))
-    parts = parts.join(sources, parts._source.eqNullSafe(sources._source)).drop(sources._source)
+    # a row for each part; written, so that the driver doesn't plan the targets together with the documents
+    parts = written(parts.join(sources, parts._source.eqNullSafe(sources._source)).drop(sources._source))
     inside = Window.partitionBy("source", "_part").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = own.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(parts, placed.source.eqNullSafe(parts._source) & (placed._part == parts._of))

@@ -83,3 +83,8 @@ def test_a_null_is_no_text_of_its_neighbour(spark):
     rows = [(1, None, "en", "s"), (1, "en", None, "s")]
     got = mixture.training_order(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert [(r.text, r.lang, r.words) for r in got] == [("en", None, 1)]
+
+
+def test_targets_are_planned_apart_from_documents(docs):
+    """The driver's memory: the windows of targets and of parts stood in one plan with the documents' joins."""
+    assert mixture.plan(docs)._jdf.queryExecution().optimizedPlan().toString().count("Window ") <= 2
