@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.operators import requests
@@ -63,9 +63,10 @@ PAGE_SIZE = 3
 
 def parts_as_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Parts by brand as the items of a search, three on a page; a page's position is its first item's place."""
-    own = table(spark, folder, "part").groupBy(F.col("p_brand").alias("search")).agg(F.array_sort(F.collect_list("p_partkey")).alias("items"))
-    starts = F.sequence(F.lit(0), F.size("items") - 1, F.lit(PAGE_SIZE))
-    return own.select("search", F.size("items").alias("total"), "items", F.explode(starts).alias("start")).select("search", "total", "start", F.slice("items", F.col("start") + 1, F.lit(PAGE_SIZE)).alias("items"))
+    one = Window.partitionBy("search")
+    place = F.row_number().over(one.orderBy("p_partkey")) - 1
+    parts = table(spark, folder, "part").select(F.col("p_brand").alias("search"), "p_partkey").withColumns({"start": place - place % PAGE_SIZE, "total": F.count("*").over(one).cast("int")})
+    return parts.groupBy("search", "total", "start").agg(F.array_sort(F.collect_list("p_partkey")).alias("items"))
 
 
 @query("""

@@ -1,7 +1,8 @@
 """Pages of providers as a data source: each page that was asked for is a file in a folder, and a reader knows which pages belong to a search.
 
 A search by starts can be read in any order, so its pages are partitions. A search by cursors tells only with a page where the next one is,
-so a stream reads it, with the cursor as its offset.
+so a stream reads it, with the cursor as its offset: a batch has all pages that are there. cursor_no_progress: a page that leads to itself or to the
+start; cursor_cycle: one that leads to another page before it. Both end a search.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, pairwise
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 PAGE = "search string, position string, body string, sha256 string, error string"
-#: Pages that a batch of a stream follows a cursor through.
+#: Pages of a partition of a stream.
 FOLLOWED = 100
 
 
@@ -75,12 +77,25 @@ class ByStart(DataSourceReader):
             yield page(system, folder, part.search, str(start))
 
 
-class ByCursor(SimpleDataSourceStreamReader):
-    """Follows a search from page to page: the offset is the cursor that comes next, or how it ended. A page that isn't there yet is waited for."""
+@dataclass
+class Followed(InputPartition):
+    cursor: str | None
+    pages: int
+    ends: bool
+
+
+class ByCursor(DataSourceStreamReader):
+    """Follows a search from page to page: the offset is the cursor that comes next, or how it ended. A page that isn't there yet is waited for.
+
+    The driver walks through all pages that are there and keeps of each only a digest of its cursor, and the cursors where partitions begin; tasks read the pages again.
+    """
 
     def __init__(self, options: dict):
         self.path, self.search, self.field = options["path"], options["search"], options.get("next", "message.next-cursor")
         self.size, self.items = int(options["page_size"]), options.get("items", "message.items")
+        self.at: dict | None = None
+        self.marks: list[tuple[int, str]] = []
+        self.seen: set[bytes] = set()
 
     def initialOffset(self) -> dict:
         return {"cursor": "*", "pages": 0}
@@ -96,27 +111,47 @@ class ByCursor(SimpleDataSourceStreamReader):
         items, after = self._found(value, self.items), self._found(value, self.field)
         return after if isinstance(items, list) and len(items) >= self.size and isinstance(after, str) else None
 
-    def _walk(self, offset: dict, until: dict | None) -> tuple[list[tuple], dict]:
+    def _walk(self, cursor: str | None) -> Iterator[tuple[str, tuple, str | None]]:
+        """Each page from a cursor on that is there: its cursor, its row, and where the next one is."""
         system, folder = located(self.path)
-        rows, cursor, n = [], offset["cursor"], offset["pages"]
-        while cursor is not None and (n < until["pages"] if until else len(rows) < FOLLOWED):
+        while cursor is not None:
             row = page(system, folder, self.search, cursor)
             if row[4] == "page_missing":
                 break
-            rows.append(row)
-            after, n = (None if row[4] else self._next(row[2])), n + 1
+            after = None if row[4] else self._next(row[2])
             if after == cursor or after == "*":
-                rows[-1] = (*row[:4], "cursor_no_progress")
-                after = None
+                row, after = (*row[:4], "cursor_no_progress"), None
+            yield cursor, row, after
             cursor = after
-        return rows, {"cursor": cursor, "pages": n}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._walk(start, None)
-        return iter(rows), end
+    def _met(self, cursor: str) -> bytes:
+        return hashlib.sha256(cursor.encode()).digest()[:16]
+
+    def latestOffset(self) -> dict:
+        at = self.at or self.initialOffset()
+        end, n = at["cursor"], at["pages"]
+        for cursor, _, after in self._walk(end):
+            if n % FOLLOWED == 0:
+                self.marks.append((n, cursor))
+            self.seen.add(self._met(cursor))
+            end, n = after, n + 1
+            if after is not None and self._met(after) in self.seen:
+                end = None
+                break
+        self.at = {"cursor": end, "pages": n}
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[Followed]:
+        if self.at is None:  # Spark asks for the last batch first when a stream starts again
+            self.at = end
+            self.seen = {self._met(cursor) for cursor, _, _ in islice(self._walk("*"), end["pages"])}
+        self.marks = [m for m in self.marks if m[0] > start["pages"]]
+        cuts = [(start["pages"], start["cursor"]), *(m for m in self.marks if m[0] < end["pages"]), (end["pages"], end["cursor"])]
+        return [Followed(cursor, after - n, end["cursor"] is None and after == end["pages"]) for (n, cursor), (after, _) in pairwise(cuts)]
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._walk(start, end)[0])
+    def read(self, part: Followed) -> Iterator[tuple]:
+        for n, (_, row, after) in enumerate(islice(self._walk(part.cursor), part.pages), 1):
+            yield (*row[:4], "cursor_cycle") if part.ends and n == part.pages and after is not None else row
 
     def commit(self, end: dict) -> None:
         pass
@@ -159,7 +194,7 @@ class ProviderPages(DataSource):
     def reader(self, schema) -> ByStart:
         return ByStart(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> ByCursor:
+    def streamReader(self, schema) -> ByCursor:
         return ByCursor(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> Store:

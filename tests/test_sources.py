@@ -118,6 +118,25 @@ def test_pages_by_cursor(spark, tmp_path, monkeypatch):
     assert [r.error for r in spark.read.parquet(out + "2").collect()] == ["cursor_no_progress"]
 
 
+def test_long_searches_by_cursor(spark, tmp_path):
+    """All pages that are there are one batch's, in several partitions; a stream that starts again goes on behind them, and a circle ends."""
+    path = str(tmp_path / "p")
+    body = lambda k, after: ("*" if k == 0 else f"c{k}", json.dumps({"message": {"items": [k], "next-cursor": after}}))
+    put = lambda search, pages: paging.store(spark.createDataFrame([(search, *p) for p in pages], "search string, position string, body string").repartition(4), path)
+
+    def read(search):
+        out = str(tmp_path / search)
+        paging.by_cursor(spark, path, search, 1).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-c").trigger(once=True).start().awaitTermination()
+        return [(r.position, r.error) for r in spark.read.schema("position string, error string").parquet(out).collect()]
+
+    names = ["*", *(f"c{k}" for k in range(1, 330))]
+    put("s", [body(k, f"c{k + 1}") for k in range(250)])
+    assert sorted(read("s")) == sorted((c, None) for c in names[:250])
+    put("s", [body(k, f"c{k + 1}" if k < 329 else "c7") for k in range(250, 330)])
+    want = sorted((c, "cursor_cycle" if c == "c329" else None) for c in names)
+    assert sorted(read("s")) == want and sorted(read("s")) == want
+
+
 def test_requests(spark):
     rows = [([], [], ["w"], [], [], []), (["b c", "a"], ["a"], [], ["z"], ["y", "z"], []), (["x" * 16_000], [], [], [], [], [])]
     df = spark.createDataFrame(rows, "a array<string>, i array<string>, w array<string>, e array<string>, u array<string>, l array<string>").coalesce(1)
