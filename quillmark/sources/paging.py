@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 PAGE = "search string, position string, body string, sha256 string, error string"
 #: Pages of a partition of a stream.
 FOLLOWED = 100
+#: About as many partitions has a read by starts at most, besides one for each search.
+PARTITIONS = 2000
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -58,17 +60,17 @@ class Pages(InputPartition):
 
 
 class ByStart(DataSourceReader):
-    """Pages of the searches of option `searches` (JSON: name, total and page size of each), so many in a partition."""
+    """Pages of the searches of option `searches` (JSON: name, total and page size of each), so many in a partition, or more where that made over PARTITIONS."""
 
     def __init__(self, options: dict):
         self.path, self.each = options["path"], int(options.get("pages", 16))
-        self.searches, self.most = json.loads(options["searches"]), int(options.get("most", 30_000))
+        self.searches = json.loads(options["searches"])
 
     def partitions(self) -> list[Pages]:
-        out = []
-        for search, total, size in self.searches:
-            starts = range(0, min(total, self.most), size)
-            out += [Pages(search, starts[at : at + self.each]) for at in range(0, len(starts), self.each)]
+        out, own = [], [(search, range(0, total, size)) for search, total, size in self.searches]
+        each = max(self.each, -(-sum(len(starts) for _, starts in own) // PARTITIONS))
+        for search, starts in own:
+            out += [Pages(search, starts[at : at + each]) for at in range(0, len(starts), each)]
         return out or [Pages("", range(0))]
 
     def read(self, part: Pages) -> Iterator[tuple]:

@@ -98,6 +98,15 @@ def test_pages_by_start(spark, tmp_path):
     assert rows["b", "0"] == ("y", None) and rows["a", "10"] == (None, "page_damaged")
 
 
+def test_long_searches_by_start(spark, tmp_path):
+    """No start is left out, however many there are, and partitions grow then."""
+    paging.store(spark.createDataFrame([("a", "40000", "x")], "search string, position string, body string"), str(tmp_path))
+    got = paging.by_start(spark, str(tmp_path), [("a", 40_001, 1), ("b", 3, 2)], pages=4)
+    assert got.rdd.getNumPartitions() <= paging.PARTITIONS + 2
+    counts = {(r.search, r.error): (r.n, r.least, r.most) for r in got.groupBy("search", "error").agg(F.count("*").alias("n"), F.min(F.col("position").cast("int")).alias("least"), F.max(F.col("position").cast("int")).alias("most")).collect()}
+    assert counts == {("a", None): (1, 40_000, 40_000), ("a", "page_missing"): (40_000, 0, 39_999), ("b", "page_missing"): (2, 0, 2)}
+
+
 def test_pages_by_cursor(spark, tmp_path, monkeypatch):
     """A stream follows the cursors, waits for a page that isn't there yet, and goes on from its checkpoint."""
     path, out = str(tmp_path / "p"), str(tmp_path / "o")
