@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources.folders import shared_folder
+from quillmark.sources.folders import CLEANED, shared_folder, written  # noqa: F401
 
 #: Between words: space and the five ASCII controls from tab to carriage return. bytes.split() cuts at the same six.
 GAP = r"[\x20\x09-\x0D]+"
@@ -101,19 +100,3 @@ def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import _parse_datatype_string
 
     return to_arrow_schema(_parse_datatype_string(schema))
-
-
-#: Whether what a query has shuffled is removed from the executors' disks when it ends, not when the driver happens to clear its memory.
-CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the checkpoint folder, which all executors share: smaller than a checkpoint of as many rows."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANED, None)
-    spark.conf.set(CLEANED, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
-    return spark.read.schema(df.schema).parquet(path)

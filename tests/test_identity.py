@@ -1,10 +1,13 @@
 """Registers, clusters and alias logs against plain loops over random logs."""
 
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
 from quillmark.operators import aliases, clusters, identity
+from quillmark.sources.folders import shared_folder
 
 OBSERVED = "seq long, source_observation_id string, namespace string, value string, native_version string, title string, fingerprint string, manifestation_kind string, landing_url string, publication_status string, observed_at long, source_updated_at long, published_at long"
 
@@ -45,6 +48,18 @@ def test_register(spark, seed, spread):
     assert found >= {None, "invalid_observation", "source_observation_conflict"} and (spread < 40 or {"manifestation_conflict", "revision_conflict"} & found)
 
 
+def test_rounds_of_a_register_write_only_what_is_open(spark):
+    """However many rounds a log takes, its rows are written about twice."""
+    rng = random.Random(7)
+    rows = [observation(rng, i, 4000) for i in range(12_000)]
+    observations = spark.createDataFrame(rows, OBSERVED).repartition(4)
+    size = lambda: sum(p.stat().st_size for p in Path(urlparse(shared_folder(spark)).path).rglob("*") if p.is_file())
+    before = size()
+    got = {r.seq: (r.error, r.created_work, r.created_revision) for r in identity.registered(observations).collect()}
+    assert got == replayed(rows)
+    assert size() - before < 250 * len(rows)
+
+
 def test_ids_follow_from_what_is_observed(spark):
     rng = random.Random(5)
     rows = [observation(rng, i, 30) for i in range(60)]
