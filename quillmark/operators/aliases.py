@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.sources.folders import shared_folder
+from quillmark.operators.folds import folded
+from quillmark.sources.folders import shared_folder, written
 
 MOST_HOPS = 128
 
@@ -53,12 +56,56 @@ def current(log: DataFrame) -> DataFrame:
     return last.where("_last.action = 'merged'").select("alias_id", F.col("_last.canonical_id").alias("canonical_id"))
 
 
-def _pointed(entries: DataFrame) -> DataFrame:
-    """entries(of, seq, points, open, cut, ...) with what stood before each in its work's log: waits, whether a revocation there is not decided, and
-    first, what the work points to: the first of `points` since the last revocation that holds (cut)."""
-    log = Window.partitionBy("of").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    rows = entries.withColumns({"waits": F.coalesce(F.bool_or("open").over(log), F.lit(False)), "since": F.max("cut").over(log)})
-    return rows.withColumn("first", F.min("points").over(Window.partitionBy("of", "since").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)))
+#: An entry of a log on its way: cursor is where its canonical work's root is looked for, ends whether its root is never an alias.
+ENTRY = ["seq", "node", "merge", "evidence", "cursor", "hops", "root", "ends", "outcome"]
+
+
+def _step(state: tuple, row: dict) -> tuple[tuple, tuple]:
+    """What a work points to (root, evidence, ends), the roots revoked for it, and whether that waits for an entry: each entry moves it, each question is told."""
+    pointer, gone, waits = state
+    root, outcome, told = row["root"], row["outcome"], (None, None, None)
+    if row["asks"]:
+        if not waits:
+            told = (pointer[0], pointer[2], None) if pointer else (None, None, True)
+    elif outcome != "identity_corrupt":
+        outcome = None
+        if waits:
+            pass
+        elif row["merge"]:
+            if root is None:
+                waits = pointer is None
+            elif pointer:
+                outcome = "replayed" if pointer[:2] == (root, row["evidence"]) else "alias_conflict"
+            elif root == row["node"]:
+                outcome = "alias_cycle"
+            else:
+                outcome, pointer = "merged", (root, row["evidence"], row["ends"])
+        elif not pointer:
+            outcome = "alias_missing"
+        else:
+            root, gone = pointer[0], set() if gone is None else gone
+            outcome = "alias_revocation_conflict" if root in gone else "revoked"
+            if outcome == "revoked":
+                gone.add(root)
+                pointer = None
+    return (pointer, gone, waits), (*(row[c] for c in ENTRY[:6]), root, row["ends"], outcome, row["asks"], *told)
+
+
+def _told(entries: DataFrame, asking: DataFrame, kind: str) -> DataFrame:
+    """Logs' entries, decided as far as they can be, and the asking entries with what the work at their cursor points to just before them."""
+    line = entries.select(*ENTRY, F.lit(False).alias("asks"), F.col("node").alias("of")).union(asking.select(*ENTRY, F.lit(True), "cursor"))
+    schema = f"seq long, node {kind}, merge boolean, evidence {dict(entries.dtypes)['evidence']}, cursor {kind}, hops int, root {kind}, ends boolean, outcome string, asks boolean, next {kind}, next_ends boolean, stops boolean"
+    return folded(line, ["of"], ["seq", F.desc("asks")], (None, None, False), _step, schema)
+
+
+def _moved(told: DataFrame, most_hops: int) -> DataFrame:
+    """Entries with a hop done, or with the root that they have found."""
+    hop, stops, last = F.col("next").isNotNull(), F.coalesce("stops", F.lit(False)), F.coalesce("next_ends", F.lit(False))
+    far = hop & (F.col("hops") >= most_hops)
+    return told.select(
+        "seq", "node", "merge", "evidence", F.when(hop & ~far, F.col("next")).otherwise(F.col("cursor")).alias("cursor"), (F.col("hops") + F.when(hop, 1).otherwise(0)).alias("hops"),
+        F.when(stops, F.col("cursor")).when(last & ~far, F.col("next")).otherwise(F.col("root")).alias("root"), (F.col("ends") | last).alias("ends"), F.when(far, "identity_corrupt").otherwise(F.col("outcome")).alias("outcome"),
+    )
 
 
 def decided(log: DataFrame, works: DataFrame, most_hops: int = MOST_HOPS) -> DataFrame:
@@ -70,35 +117,32 @@ def decided(log: DataFrame, works: DataFrame, most_hops: int = MOST_HOPS) -> Dat
     the same root was revoked for that alias before, which leaves the alias as it is; work_missing; identity_corrupt beyond most_hops. root:
     of a merge its canonical work's at that moment, of a revocation what it was about. seq is a unique long.
 
-    What a work points to at a moment follows from its own log before that. So roots are followed for all entries at once, a hop a round; an
-    entry waits where what it depends on is not settled. The first one never waits, so rounds end, after as many as entries depend on one
-    another. One work's log is read in order by one task, which holds no more than a row of it; works that are never an alias, however often they
-    are named, are ends without that.
+    What a work points to at a moment follows from its own log before that, and only works that a merge names are ever asked for it. So the logs of
+    those come first: questions are followed for all entries at once, a hop a round, and wait where what they depend on is not settled. The first entry never
+    waits, so rounds end, after as many as entries depend on one another. Entries of other works then need a round for each hop only. One work's
+    log, with what is asked of it, is streamed through one task, which holds what the work points to and the roots that were revoked for it; works that are
+    never an alias, however often they are named, are ends without that.
     """
     known = works.select("work_id").distinct()
-    found = lambda c, name: known.select(F.col("work_id").alias(c), F.lit(True).alias(name))
+    found = lambda df, of, c, name: df.join(of.toDF(c).distinct().withColumn(name, F.lit(True)), c, "left")
     merge = F.col("action") == "merge"
-    rows = log.join(found("alias_id", "_alias"), "alias_id", "left").join(found("canonical_id", "_canonical"), "canonical_id", "left")
+    rows = found(found(log, known, "alias_id", "_alias"), known, "canonical_id", "_canonical")
     missing = F.col("_alias").isNull() | (merge & F.col("_canonical").isNull())
-    kind = log.schema["alias_id"].dataType
-    rows = _saved(rows.select("seq", F.col("alias_id").alias("node"), merge.alias("merge"), "evidence", F.when(merge, F.col("canonical_id")).otherwise(F.col("alias_id")).alias("cursor"), F.lit(0).alias("hops"), F.lit(None).cast(kind).alias("root"), F.when(missing, "work_missing").alias("outcome")))
-    refused, rows = rows.where("outcome is not null"), rows.where("outcome is null")
-    aliases = _saved(rows.select(F.col("node").alias("of")).distinct())
-    points = F.when(F.col("merge") & F.col("outcome").isNull() & ~F.coalesce(F.col("root") == F.col("node"), F.lit(False)), F.struct("seq", F.col("root").isNotNull().alias("known"), "root", "evidence"))
-    entries = lambda df: df.select(F.col("node").alias("of"), "seq", points.alias("points"), (~F.col("merge") & F.col("outcome").isNull()).alias("open"), F.when(F.col("outcome") == "revoked", F.col("seq")).alias("cut"), F.lit(False).alias("asks"))
-    while (asking := rows.where("outcome is null and root is null").select(F.col("cursor").alias("of"), "seq")).limit(1).count():
-        ends = asking.join(aliases, "of", "left_anti").select("seq", F.lit(False).alias("waits"), F.lit(None).cast("struct<known:boolean>").alias("first"), F.col("of").alias("end"))
-        asking = asking.join(aliases, "of", "left_semi")
-        line = entries(rows).join(asking.select("of").distinct(), "of", "left_semi").unionByName(asking.withColumn("asks", F.lit(True)), allowMissingColumns=True)
-        told = _pointed(line).where("asks").select("seq", "waits", "first.known", F.col("first.root").alias("next"), F.when(F.col("first").isNull() & ~F.col("waits"), F.col("of")).alias("end"))
-        told = told.unionByName(ends.select("seq", "waits", "first.known", "end"), allowMissingColumns=True)
-        gone = rows.where("outcome = 'revoked'").select("node", F.col("root").alias("next"), F.lit(True).alias("gone"))
-        rows = rows.join(told, "seq", "left").join(gone, ["node", "next"], "left")
-        hop, end = F.col("known") & ~F.col("waits"), F.col("end").isNotNull()
-        far = F.col("merge") & hop & (F.col("hops") >= most_hops)
-        outcome = F.when(far, "identity_corrupt").when(~F.col("merge") & end, "alias_missing").when(~F.col("merge") & hop, F.when(F.col("gone"), "alias_revocation_conflict").otherwise("revoked")).otherwise(F.col("outcome"))
-        root = F.when(F.col("merge") & end, F.col("end")).when(~F.col("merge") & hop, F.col("next")).otherwise(F.col("root"))
-        rows = _saved(rows.select("seq", "node", "merge", "evidence", F.when(F.col("merge") & hop, F.col("next")).otherwise(F.col("cursor")).alias("cursor"), (F.col("hops") + F.when(hop, 1).otherwise(0)).alias("hops"), root.alias("root"), outcome.alias("outcome")))
-    told = _pointed(entries(rows)).select("seq", F.col("first.root").alias("now"), F.col("first.evidence").alias("by"), F.col("first").isNotNull().alias("holds"))
-    merged = F.when(F.col("holds"), F.when((F.col("now") == F.col("root")) & F.col("by").eqNullSafe(F.col("evidence")), "replayed").otherwise("alias_conflict")).when(F.col("root") == F.col("node"), "alias_cycle").otherwise("merged")
-    return rows.join(told, "seq").select("seq", F.coalesce("outcome", merged).alias("outcome"), "root").union(refused.select("seq", "outcome", "root"))
+    kind, text = log.schema["alias_id"].dataType.simpleString(), F.lit(None).cast("string")
+    rows = written(rows.select("seq", F.col("alias_id").cast(kind).alias("node"), merge.alias("merge"), "evidence", F.when(merge, F.col("canonical_id").cast(kind)).alias("cursor"), missing.alias("missing")))
+    refused, rows = rows.where("missing").select("seq", F.lit("work_missing").alias("outcome"), F.lit(None).cast(kind).alias("root")), rows.where("not missing").drop("missing")
+    rows = found(found(rows, rows.select("node"), "cursor", "_again"), rows.where("merge").select("cursor"), "node", "_named")
+    ends = F.col("merge") & F.col("_again").isNull()
+    rows = written(rows.select("seq", "node", "merge", "evidence", "cursor", F.lit(0).alias("hops"), F.when(ends, F.col("cursor")).alias("root"), ends.alias("ends"), text.alias("outcome"), F.col("_named").isNotNull().alias("named")))
+    named, others, asks = rows.where("named").drop("named"), rows.where("not named").drop("named"), "merge and root is null and outcome is null"
+    while named.where("outcome is null").limit(1).count():
+        told = _told(named, named.where(asks), kind)
+        one = told.groupBy("seq").agg(*(F.max(c).alias(c) for c in told.columns if c not in ("seq", "asks")))  # an entry, and what it was told
+        named = written(_moved(one, most_hops))
+    settled, asking = [others.where(f"not ({asks})")], others.where(asks)
+    while asking.limit(1).count():
+        met = written(_moved(_told(named, asking, kind).where("asks"), most_hops))
+        settled.append(met.where(f"not ({asks})"))
+        asking = met.where(asks)
+    rest = _told(reduce(DataFrame.union, settled), asking.limit(0), kind)
+    return named.select("seq", "outcome", "root").union(rest.select("seq", "outcome", "root")).union(refused)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -13,7 +13,7 @@ from pyspark.sql.types import _parse_datatype_string
 Step = Callable[[tuple, dict], tuple[tuple, tuple]]
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], start: tuple, step: Step, schema: str) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str | Column], start: tuple, step: Step, schema: str) -> DataFrame:
     """A row of `schema` for each of rows: step takes a state, first `start`, and a row as a dict, by key in the given order.
 
     Rows are sorted by Spark and streamed through their task, which holds one state and one batch however many rows a key has.

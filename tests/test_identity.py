@@ -144,6 +144,20 @@ def test_merges_one_by_one(spark, n_works, n, revoked, seed):
     assert got == merged_one_by_one(log, works)
 
 
+def test_rounds_of_merges_are_few_jobs(spark):
+    """Each round is a fold and not a dozen of joins, and what no merge names isn't part of rounds until the rest is settled."""
+    rng = random.Random(4)
+    log = [(i, "merge" if rng.random() < 0.8 else "revoke", rng.randrange(12) if i < 60 else i, rng.randrange(12), rng.choice("xy")) for i in range(300)]
+    df = spark.createDataFrame(log, "seq long, action string, alias_id long, canonical_id long, evidence string")
+    works = spark.createDataFrame([(w,) for w in range(300)], "work_id long")
+    spark.sparkContext.setJobGroup("merges", "")
+    got = {r.seq: (r.outcome, r.root) for r in aliases.decided(df, works).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("merges"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == merged_one_by_one(log, set(range(300)))
+    assert jobs < 150
+
+
 def test_long_chains_of_merges(spark):
     """Each root becomes an alias in turn; what was merged before follows, up to the bound."""
     log = [(0, "merge", 100, 0, "x")] + [(i, "merge", i - 1, i, "x") for i in range(1, 8)] + [(20, "merge", 200, 100, "x"), (21, "merge", 201, 0, "x"), (22, "revoke", 3, None, "x"), (23, "merge", 202, 100, "x")]
