@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from quillmark.functions import values
+from quillmark.sources.folders import written
 
 OPEN = ("reserved", "dispatching")
 
@@ -145,23 +146,35 @@ def orphan_receipts(pages: DataFrame, objects: DataFrame, attempts: DataFrame) -
     through: attached where exactly one is a receipt for the page and its request; crossref_orphan_receipt_ambiguous for several; crossref_orphan_request_mismatch or
     crossref_orphan_receipt_invalid for one that doesn't fit or isn't sound; none. crossref_orphan_page_not_active for other pages. If any object looked through
     is registered wrongly or isn't what its hash says, no page can be settled: the error of the first such object, by id, is each active page's.
+
+    Objects are judged where they are read, so that no content is shuffled, only hashes of those that are receipts of active pages or wrong. An object that comes several
+    times is one.
     """
-    free = objects.join(attempts.select(F.col("receipt_id").alias("object_id")).distinct(), "object_id", "left_anti")
     wrong = (
         F.when(~F.coalesce((F.col("object_id") == F.concat(F.lit("raw:"), F.col("sha256"))) & F.col("sha256").rlike(r"^[0-9a-f]{64}\z") & (F.col("size") >= 0), F.lit(False)), "crossref_orphan_registry_corrupt")
         .when(~F.coalesce((F.col("state") == "available") & (F.octet_length("content") == F.col("size")) & (F.sha2("content", 256) == F.col("sha256")), F.lit(False)), "crossref_orphan_object_unreadable")
     )
-    free = free.select("object_id", wrong.alias("wrong"), receipt(F.col("content")).alias("r"))
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    name = lambda c: F.when(c.rlike(r"^raw:[0-9a-f]{64}\z"), F.unhex(F.substring(c, 5, 64))).otherwise(digest(c))
+    seen = objects.select("object_id", wrong.alias("wrong"), receipt(F.col("content")).alias("r")).where("wrong is not null or r.attempt_key is not null")
+    fault = F.col("wrong").isNotNull()
+    narrow = seen.select(
+        name(F.col("object_id")).alias("name"), "wrong", F.when(fault, F.col("object_id")).alias("object_id"), F.when(fault, F.col("object_id")).otherwise(F.col("r.attempt_key")).alias("key"),
+        F.when(~fault, F.substring(digest(F.col("r.fingerprint")), 1, 16)).alias("asked"), F.when(~fault, F.col("r.error")).alias("error"),
+    )
+    open_pages = pages.where(F.coalesce("active", F.lit(True))).select(F.col("page_id").alias("key"), F.lit(True).alias("open")).distinct()
+    asked = written(narrow.join(open_pages, "key", "left").where("wrong is not null or open").drop("open"))
+    free = written(asked.join(attempts.select(name(F.col("receipt_id")).alias("name")), "name", "left_anti"))
     blocked = free.where("wrong is not null").agg(F.min(F.struct("object_id", "wrong")).alias("first")).select(F.col("first.wrong").alias("blocked"))  # one row
-    found = free.where("wrong is null and r.attempt_key is not null").groupBy(F.col("r.attempt_key").alias("page_id")).agg(F.count("*").alias("n"), F.min(F.struct("object_id", "r")).alias("one"))
+    found = free.where("wrong is null").groupBy(F.col("key").alias("page_id")).agg(F.min("name").alias("name"), (F.min("name") != F.max("name")).alias("several"), F.min("asked").alias("asked"), F.min("error").alias("error"))
     rows = pages.join(found, "page_id", "left").crossJoin(F.broadcast(blocked))
     outcome = (
         F.when(~F.col("active"), "crossref_orphan_page_not_active")
         .when(F.col("blocked").isNotNull(), F.col("blocked"))
-        .when(F.col("n").isNull(), "none")
-        .when(F.col("n") > 1, "crossref_orphan_receipt_ambiguous")
-        .when(F.col("one.r.error").isNotNull(), F.col("one.r.error"))
-        .when(~F.col("one.r.fingerprint").eqNullSafe(F.col("fingerprint")), "crossref_orphan_request_mismatch")
+        .when(F.col("name").isNull(), "none")
+        .when(F.col("several"), "crossref_orphan_receipt_ambiguous")
+        .when(F.col("error").isNotNull(), F.col("error"))
+        .when(~F.col("asked").eqNullSafe(F.substring(digest(F.col("fingerprint")), 1, 16)), "crossref_orphan_request_mismatch")
         .otherwise("attached")
     )
-    return rows.withColumn("outcome", outcome).select("page_id", "outcome", F.when(F.col("outcome") == "attached", F.col("one.object_id")).alias("receipt_id"))
+    return rows.withColumn("outcome", outcome).select("page_id", "outcome", F.when(F.col("outcome") == "attached", F.concat(F.lit("raw:"), F.lower(F.hex("name")))).alias("receipt_id"))

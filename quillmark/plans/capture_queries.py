@@ -195,7 +195,7 @@ def orphan_receipts(spark: SparkSession, folder: str) -> DataFrame:
     fingerprint = F.sha2((F.when(F.col("l_quantity") < 5, 1).otherwise(0) + F.col("l_orderkey")).cast("string"), 256)
     content = say('{"attempt_key":"p', text("l_orderkey"), '","body_object_id":"raw:', body, '","body_sha256":"', body, '","body_size":', text("l_suppkey"), ',"complete":true,"request":{"request_fingerprint":"', fingerprint, '"},"schema_version":', F.when(F.col("l_tax") >= 0.08, "2").otherwise("1"), "}")
     stored = table(spark, folder, "lineitem").where("l_returnflag <> 'R'").select(content.alias("content"), "l_quantity").withColumn("sha256", F.sha2("content", 256)).withColumn("object_id", F.concat(F.lit("raw:"), F.col("sha256")))
-    objects = stored.select("object_id", "sha256", F.octet_length("content").cast("long").alias("size"), F.lit("available").alias("state"), "content").distinct()
+    objects = stored.select("object_id", "sha256", F.octet_length("content").cast("long").alias("size"), F.lit("available").alias("state"), "content")
     attempts = stored.where("l_quantity > 30").select(F.col("object_id").alias("receipt_id"))
     pages = table(spark, folder, "orders").select(F.concat(F.lit("p"), text("o_orderkey")).alias("page_id"), F.sha2(text("o_orderkey"), 256).alias("fingerprint"), (F.col("o_orderstatus") == "O").alias("active"))
     return captures.orphan_receipts(pages, objects, attempts)

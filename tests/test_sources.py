@@ -167,6 +167,18 @@ def receipt(key, fingerprint="f", **more):
     return json.dumps({"schema_version": 1, "attempt_key": key, "request": {"request_fingerprint": fingerprint}, "body_sha256": sha, "body_object_id": "raw:" + sha, "body_size": 4, "complete": True} | more)
 
 
+def test_orphan_receipts_that_come_again(spark):
+    """An object that comes twice is one."""
+    contents = [receipt(f"p{k}") for k in range(40)] + [receipt("p39", pad="y")]
+    rows = [("raw:" + hashlib.sha256(c.encode()).hexdigest(), hashlib.sha256(c.encode()).hexdigest(), len(c), "available", c) for c in contents]
+    objects = spark.createDataFrame(rows + rows[:20], "object_id string, sha256 string, size long, state string, content string")
+    pages = spark.createDataFrame([(f"p{k}", "f", k > 0) for k in range(41)], "page_id string, fingerprint string, active boolean")
+    attempts = spark.createDataFrame([(rows[5][0],)], "receipt_id string")
+    got = {r.page_id: (r.outcome, r.receipt_id) for r in captures.orphan_receipts(pages, objects, attempts).collect()}
+    want = {f"p{k}": ("attached", rows[k][0]) for k in range(40)} | {"p0": ("crossref_orphan_page_not_active", None), "p5": ("none", None), "p39": ("crossref_orphan_receipt_ambiguous", None), "p40": ("none", None)}
+    assert got == want
+
+
 def test_orphan_receipts(spark):
     kept = lambda content, **more: {"sha256": hashlib.sha256(content.encode()).hexdigest(), "size": len(content.encode()), "state": "available", "content": content} | more
     contents = [receipt("one"), receipt("two"), receipt("two", complete=False), receipt("other", "g"), receipt("old", schema_version=2), receipt("noted"), "no json", "[1]", receipt(5)]
